@@ -159,3 +159,300 @@ def q_forecast_input(spark, sf):
                      F.posexplode(F.arrays_zip("seq", "seq_scaled")).alias("pos", "z")
                      ).select("ticker", "as_of", "pos", F.col("z.seq").alias("v"),
                               F.col("z.seq_scaled").alias("v_scaled"))
+
+
+# ---------------------------------------------------------------- keyed store
+
+from ..operators import kv as KV  # noqa: E402
+from ..functions import scalars as S  # noqa: E402
+
+SQL_WRITES = """writes AS (
+  SELECT 'cust_' || CAST(o_custkey AS VARCHAR) AS key,
+         CASE WHEN o_orderstatus = 'F'
+              THEN '{"orderkey": ' || CAST(o_orderkey AS VARCHAR) || ', "status": "F"}'
+              ELSE 'raw-' || CAST(o_orderkey AS VARCHAR) END AS value,
+         o_orderdate AS written_at, o_orderkey AS seq,
+         CASE WHEN o_orderpriority = '1-URGENT' THEN CAST(trunc(o_totalprice) AS BIGINT) END
+           AS ttl_seconds
+  FROM orders),
+store AS (
+  SELECT key, value, written_at, seq, ttl_seconds FROM (
+    SELECT *, row_number() OVER (PARTITION BY key ORDER BY written_at DESC, seq DESC) AS rn
+    FROM writes) WHERE rn = 1),
+probe AS (SELECT 'cust_' || CAST(c_custkey AS VARCHAR) AS key, c_mktsegment FROM customer)"""
+
+UPSERT_SPLIT = "1998-01-01 00:00:00"
+TTL_AS_OF = "2000-01-01 00:00:00"
+
+
+def _writes(spark, sf):
+    return T.kv_writes(spark, sf)
+
+
+def _probe(spark, sf):
+    return T.table(spark, sf, "customer").select(
+        F.concat(F.lit("cust_"), F.col("c_custkey").cast("string")).alias("key"), "c_mktsegment")
+
+
+@query("kv_upsert_latest", f"""
+WITH {SQL_WRITES}
+SELECT key, value, written_at, seq, CAST(ttl_seconds AS DOUBLE) AS ttl_seconds FROM store""")
+def q_kv_upsert_latest(spark, sf):
+    w = _writes(spark, sf)
+    cut = F.lit(UPSERT_SPLIT).cast("timestamp_ntz")
+    old = KV.latest_per_key(w.where(F.col("written_at") < cut), "key", "written_at", "seq")
+    new = KV.upsert(old, w.where(F.col("written_at") >= cut))
+    # nullable integers are returned as DOUBLE so both engines hand back the same column type
+    return new.withColumn("ttl_seconds", F.col("ttl_seconds").cast("double"))
+
+
+@query("kv_lookup", f"""
+WITH {SQL_WRITES}
+SELECT p.key, s.value IS NOT NULL AS found, s.value,
+       coalesce(json_valid(s.value), false) AS is_json,
+       CASE WHEN json_valid(s.value)
+            THEN CAST(CAST(json_extract_string(s.value, '$.orderkey') AS BIGINT) AS DOUBLE)
+       END AS orderkey,
+       CASE WHEN json_valid(s.value) THEN json_extract_string(s.value, '$.status') END AS status
+FROM probe p LEFT JOIN store s USING (key)""")
+def q_kv_lookup(spark, sf):
+    store = KV.state(_writes(spark, sf))
+    r = KV.lookup(store, _probe(spark, sf), "orderkey BIGINT, status STRING")
+    return r.select("key", "found", "value", "is_json",
+                    F.col("parsed.orderkey").cast("double").alias("orderkey"),
+                    F.col("parsed.status").alias("status"))
+
+
+@query("kv_exists", f"""
+WITH {SQL_WRITES}
+SELECT key FROM probe p WHERE EXISTS (SELECT 1 FROM store s WHERE s.key = p.key)""")
+def q_kv_exists(spark, sf):
+    return KV.exists(KV.state(_writes(spark, sf)), _probe(spark, sf)).select("key")
+
+
+@query("kv_delete", f"""
+WITH {SQL_WRITES}
+SELECT key, value, written_at FROM store s
+WHERE NOT EXISTS (SELECT 1 FROM probe p WHERE p.key = s.key AND p.c_mktsegment = 'AUTOMOBILE')""")
+def q_kv_delete(spark, sf):
+    dels = _probe(spark, sf).where(F.col("c_mktsegment") == "AUTOMOBILE")
+    remaining, _ = KV.delete(KV.state(_writes(spark, sf)), dels)
+    return remaining.select("key", "value", "written_at")
+
+
+@query("kv_ttl_live", f"""
+WITH {SQL_WRITES},
+latest_asof AS (SELECT key, value, written_at, ttl_seconds FROM (
+    SELECT *, row_number() OVER (PARTITION BY key ORDER BY written_at DESC, seq DESC) AS rn
+    FROM writes WHERE written_at <= TIMESTAMP '{TTL_AS_OF}') WHERE rn = 1),
+e AS (SELECT key, value, written_at,
+             CASE WHEN ttl_seconds IS NOT NULL THEN written_at + to_seconds(ttl_seconds) END
+               AS expires_at FROM latest_asof)
+SELECT * FROM e WHERE expires_at IS NULL OR expires_at > TIMESTAMP '{TTL_AS_OF}'""")
+def q_kv_ttl_live(spark, sf):
+    return KV.state(_writes(spark, sf), TTL_AS_OF).select("key", "value", "written_at",
+                                                          "expires_at")
+
+
+@query("latest_per_key", """
+SELECT o_orderpriority AS key, o_orderkey, o_orderdate, o_totalprice FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_orderpriority
+                               ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders)
+WHERE rn = 1""")
+def q_latest_per_key(spark, sf):
+    o = T.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("key"), "o_orderkey",
+                                            "o_orderdate", "o_totalprice")
+    return KV.latest_per_key(o, "key", "o_orderdate", "o_orderkey")
+
+
+# ---------------------------------------------------------------- time, keys, JSON, parsing
+
+SQL_NY = "((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York')"
+SQL_K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
+
+
+def _events(spark, sf):
+    return T.table(spark, sf, "events")
+
+
+def _k():
+    return F.from_json("props", "k BIGINT")["k"]
+
+
+@query("result_key", f"""
+SELECT event_id, strftime({SQL_NY}, '%Y-%m-%d') || '_' || strftime({SQL_NY}, '%I:%M %p') || '_'
+       || event_type AS result_key FROM events""")
+def q_result_key(spark, sf):
+    e = _events(spark, sf)
+    return e.select("event_id", S.result_key(F.col("ts"), S.friendly_time(S.ny_local(F.col("ts"))),
+                                             F.col("event_type")).alias("result_key"))
+
+
+@query("slot_format", f"""
+WITH m AS (SELECT event_id, ts, {SQL_NY} AS ny, date_diff('minute', ts, {SQL_NY}) AS off FROM events)
+SELECT event_id, strftime(ny, '%I:%M %p') AS friendly, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso19,
+       strftime(ts, '%Y-%m-%dT%H:%M:%S')
+         || CASE WHEN strftime(ts, '%f') = '000000' THEN '' ELSE '.' || strftime(ts, '%f') END
+         || 'Z' AS iso_utc,
+       strftime(ny, '%Y-%m-%dT%H:%M:%S') || CASE WHEN off < 0 THEN '-' ELSE '+' END
+         || lpad(CAST(abs(off) // 60 AS VARCHAR), 2, '0') || ':'
+         || lpad(CAST(abs(off) % 60 AS VARCHAR), 2, '0') AS iso_ny
+FROM m""")
+def q_slot_format(spark, sf):
+    ts = F.col("ts")
+    return _events(spark, sf).select(
+        "event_id", S.friendly_time(S.ny_local(ts)).alias("friendly"), S.iso19(ts).alias("iso19"),
+        S.iso_utc_z(ts).alias("iso_utc"), S.iso_ny(ts).alias("iso_ny"))
+
+
+@query("payload_json", f"""
+SELECT event_id, event_type AS company, strftime({SQL_NY}, '%I:%M %p') AS time,
+       value AS predicted_stock_algo,
+       value + (({SQL_K} - 50) / 50.0) / 10 AS predicted_stock_senti
+FROM events""")
+def q_payload_json(spark, sf):
+    e = _events(spark, sf)
+    senti = (_k() - 50) / F.lit(50.0)
+    js = F.to_json(S.payload_struct(F.col("event_type"), S.friendly_time(S.ny_local(F.col("ts"))),
+                                    F.col("value"), senti))
+    return e.select("event_id", F.from_json(js, S.PAYLOAD_SCHEMA).alias("p")).select(
+        "event_id", "p.*")
+
+
+@query("json_props", f"SELECT event_id, {SQL_K} AS k FROM events")
+def q_json_props(spark, sf):
+    return _events(spark, sf).select("event_id", _k().alias("k"))
+
+
+@query("json_default", """
+SELECT event_id,
+       coalesce(json_extract_string(props, '$.scheduled_time_ny_friendly'), 'N/A') AS slot_friendly,
+       coalesce(json_extract_string(props, '$.k'), 'N/A') AS k_text
+FROM events""")
+def q_json_default(spark, sf):
+    return _events(spark, sf).select(
+        "event_id", S.json_field_or_default(F.col("props"), "scheduled_time_ny_friendly")
+        .alias("slot_friendly"), S.json_field_or_default(F.col("props"), "k").alias("k_text"))
+
+
+def _reply():
+    k = F.get_json_object("props", "$.k")
+    return (F.when(F.col("event_type") == "error", F.lit(""))
+            .when(F.col("event_type") == "signup", F.lit("positive"))
+            .when(F.col("event_type") == "view", F.concat(F.lit(" 0."), k, F.lit(" ")))
+            .otherwise(F.regexp_extract("props", r'"k":(.*)}', 1)))
+
+
+@query("parse_score", """
+WITH r AS (SELECT event_id,
+  CASE event_type WHEN 'error' THEN '' WHEN 'signup' THEN 'positive'
+       WHEN 'view' THEN ' 0.' || json_extract_string(props, '$.k') || ' '
+       ELSE regexp_extract(props, '"k":(.*)}', 1) END AS reply FROM events),
+p AS (SELECT event_id, reply, CASE WHEN upper(trim(reply)) <> ''
+                                   THEN TRY_CAST(upper(trim(reply)) AS DOUBLE) END AS score FROM r)
+SELECT event_id, reply, score, coalesce(abs(score) > 1, false) AS out_of_range FROM p""")
+def q_parse_score(spark, sf):
+    r = _events(spark, sf).select("event_id", _reply().alias("reply"))
+    s = r.withColumn("score", S.parse_score(F.col("reply")))
+    return s.withColumn("out_of_range", F.coalesce(F.abs("score") > 1, F.lit(False)))
+
+
+@query("blend", f"SELECT event_id, value + (({SQL_K} - 50) / 50.0) / 10 AS blended FROM events")
+def q_blend(spark, sf):
+    e = _events(spark, sf)
+    return e.select("event_id", S.blend(F.col("value"), (_k() - 50) / F.lit(50.0)).alias("blended"))
+
+
+# ---------------------------------------------------------------- pages and articles
+
+from ..operators import text as X  # noqa: E402
+
+_BLOCK_SQL = X._BLOCK_TAGS
+
+
+def _sql_entities(x: str) -> str:
+    for ent, ch in X.ENTITIES:
+        ch_sql = ch.replace("'", "''")
+        x = f"replace({x}, '{ent}', '{ch_sql}')"
+    return x
+
+
+SQL_PAGE_TEXT = f"""
+WITH a AS (SELECT page_id, url, regexp_replace(html,
+       '(?is)<!--.*?-->|<script\\b.*?</script>|<style\\b.*?</style>', '', 'g') AS h FROM pages),
+b AS (SELECT page_id, url, list_filter(list_transform(string_split_regex(h, '(?i)<p(?:\\s[^>]*)?>')[2:],
+       lambda x: trim(regexp_replace({_sql_entities(f"regexp_replace(regexp_replace(x, '(?is)</?(?:{_BLOCK_SQL})\\b.*$', '', 'g'), '<[^>]*>', ' ', 'g')")},
+       '\\s+', ' ', 'g'))), lambda x: x <> '') AS ps FROM a),
+c AS (SELECT page_id, url, array_to_string(ps, ' ') AS j FROM b)
+SELECT page_id, url, coalesce(nullif(j, ''), '{X.NO_CONTENT}') AS text,
+       CASE WHEN j = '' THEN 'empty' ELSE 'ok' END AS status FROM c"""
+
+
+@query("page_paragraph_text", SQL_PAGE_TEXT)
+def q_page_paragraph_text(spark, sf):
+    return X.page_text(T.pages(spark, sf))
+
+
+SQL_ARTICLES = f"""arts AS (
+  SELECT doc_id, source AS company, lang,
+         TIMESTAMP '{T.ARTICLE_ORIGIN}' + to_minutes(doc_id * {T.ARTICLE_SPACING_MINUTES})
+           AS published_at,
+         regexp_extract(text, '^[^.\\n]*', 0) AS title,
+         'doc://' || source || '/' || CAST(doc_id AS VARCHAR) AS url, text
+  FROM documents)"""
+
+SEARCH_COMPANY = "the"
+SEARCH_START, SEARCH_END = "2024-01-01 00:00:00", "2024-02-01 00:00:00"
+
+
+@query("news_search", f"""
+WITH {SQL_ARTICLES},
+s AS (SELECT doc_id, title, substring(text, 1, 200) AS description, url,
+             CAST(len(list_filter(list_filter(string_split_regex(lower(text), '[^a-z]+'),
+                                              lambda t: t <> ''),
+                                  lambda t: t IN ('{SEARCH_COMPANY}', 'stock'))) AS INTEGER) AS score
+      FROM arts WHERE lang = 'en' AND published_at >= TIMESTAMP '{SEARCH_START}'
+        AND published_at < TIMESTAMP '{SEARCH_END}')
+SELECT * FROM s WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 100""")
+def q_news_search(spark, sf):
+    return X.search(X.articles_between(spark, sf, SEARCH_START, SEARCH_END), SEARCH_COMPANY)
+
+
+NEWS_AS_OF = "2024-01-20 12:00:00"
+
+
+@query("news_window", f"""
+WITH {SQL_ARTICLES}
+SELECT doc_id, company, published_at, title FROM arts
+WHERE published_at >= TIMESTAMP '{NEWS_AS_OF}' - INTERVAL 25 HOUR
+  AND published_at < TIMESTAMP '{NEWS_AS_OF}' - INTERVAL 24 HOUR""")
+def q_news_window(spark, sf):
+    from datetime import datetime
+    start, end = X.news_window_bounds(datetime.fromisoformat(NEWS_AS_OF))
+    return X.articles_between(spark, sf, start, end).select("doc_id", "company", "published_at",
+                                                            "title")
+
+
+SQL_TOP_N = f"""{SQL_ARTICLES},
+ranked AS (SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY company ORDER BY published_at DESC, doc_id DESC) AS rank
+  FROM arts) WHERE rank <= 10)"""
+
+
+@query("news_top_n", f"""
+WITH {SQL_TOP_N}
+SELECT company, doc_id, CAST(rank AS INTEGER) AS rank, title, url FROM ranked""")
+def q_news_top_n(spark, sf):
+    return X.top_n_per_company(T.articles(spark, sf), 10).select("company", "doc_id", "rank",
+                                                                 "title", "url")
+
+
+@query("news_text_concat", f"""
+WITH {SQL_TOP_N},
+c AS (SELECT company, CAST(count(*) AS INTEGER) AS n_articles,
+             string_agg(title || text, '' ORDER BY rank) AS t FROM ranked GROUP BY company)
+SELECT company, n_articles, md5(t) AS text_md5, CAST(length(t) AS INTEGER) AS n_chars FROM c""")
+def q_news_text_concat(spark, sf):
+    c = X.concat_per_group(X.top_n_per_company(T.articles(spark, sf), 10))
+    return c.select("company", "n_articles", F.md5("news_text").alias("text_md5"),
+                    F.length("news_text").alias("n_chars"))
