@@ -456,3 +456,120 @@ def q_news_text_concat(spark, sf):
     c = X.concat_per_group(X.top_n_per_company(T.articles(spark, sf), 10))
     return c.select("company", "n_articles", F.md5("news_text").alias("text_md5"),
                     F.length("news_text").alias("n_chars"))
+
+
+# ---------------------------------------------------------------- sentiment
+
+from ..operators import sentiment as SN  # noqa: E402
+
+# Stand-in lexicon of tokens frequent in the test documents (the shipped dictionary has no hit in
+# them); it has 1-, 2-, 3- and 4-word terms so phrase matching and covering are exercised.
+PROBE_LEXICON = (
+    ("with", "positive"), ("by", "positive"), ("for", "positive"), ("the", "positive"),
+    ("from", "negative"), ("was", "negative"), ("at", "negative"), ("the the the the", "negative"),
+    ("this", "revert"), ("of the", "revert"), ("are", "increment"), ("the the the", "increment"),
+    ("as", "decrement"),
+)
+
+
+def _sql_values(pairs) -> str:
+    return ", ".join(f"('{t}', '{c}')" for t, c in pairs)
+
+
+SQL_LEXICON = f"""
+WITH lex(term, cls) AS (VALUES {_sql_values(PROBE_LEXICON)}),
+d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda t: t <> '') AS toks
+      FROM documents WHERE lang = 'en'),
+tok AS (SELECT doc_id, unnest(range(len(toks))) AS pos, unnest(toks) AS w FROM d),
+g AS (SELECT doc_id, pos, w,
+             w || ' ' || lead(w, 1) OVER o AS w2,
+             w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o AS w3,
+             w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o AS w4
+      FROM tok WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+m AS (SELECT g.doc_id, g.pos, coalesce(l4.cls, l3.cls, l2.cls, l1.cls) AS cls,
+             CASE WHEN l4.cls IS NOT NULL THEN 4 WHEN l3.cls IS NOT NULL THEN 3
+                  WHEN l2.cls IS NOT NULL THEN 2 WHEN l1.cls IS NOT NULL THEN 1 ELSE 0 END AS len
+      FROM g LEFT JOIN lex l1 ON l1.term = g.w LEFT JOIN lex l2 ON l2.term = g.w2
+             LEFT JOIN lex l3 ON l3.term = g.w3 LEFT JOIN lex l4 ON l4.term = g.w4),
+c AS (SELECT doc_id, pos, cls,
+             coalesce(lag(len, 1) OVER o > 1, false) OR coalesce(lag(len, 2) OVER o > 2, false)
+               OR coalesce(lag(len, 3) OVER o > 3, false) AS cov
+      FROM m WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+f AS (SELECT doc_id, pos, cov,
+             CASE WHEN cov THEN 0.0 WHEN cls = 'positive' THEN 1.0 WHEN cls = 'negative' THEN -1.0
+                  ELSE 0.0 END AS pol,
+             CASE WHEN cov THEN 1.0 WHEN cls = 'revert' THEN -1.0 WHEN cls = 'increment' THEN 2.0
+                  WHEN cls = 'decrement' THEN 0.5 ELSE 1.0 END AS md FROM c),
+x AS (SELECT doc_id, cov, CAST(pol AS DOUBLE) * coalesce(lag(md, 1) OVER o, 1.0)
+             * coalesce(lag(md, 2) OVER o, 1.0) * coalesce(lag(md, 3) OVER o, 1.0) AS sc
+      FROM f WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+a AS (SELECT doc_id, count(*) AS n_tokens, sum(sc) AS s,
+             sum(CASE WHEN sc > 0 THEN sc + 1 ELSE 0 END) AS p,
+             sum(CASE WHEN sc < 0 THEN 1 - sc ELSE 0 END) AS n,
+             CAST(sum(CASE WHEN sc = 0 AND NOT cov THEN 1 ELSE 0 END) AS DOUBLE) AS z,
+             count(*) FILTER (WHERE sc > 0) AS n_pos, count(*) FILTER (WHERE sc < 0) AS n_neg
+      FROM x GROUP BY doc_id),
+r AS (SELECT d.doc_id, CAST(coalesce(a.n_tokens, 0) AS INTEGER) AS n_tokens,
+             CAST(coalesce(a.s, 0) AS DOUBLE) AS s, CAST(coalesce(a.p, 0) AS DOUBLE) AS p,
+             CAST(coalesce(a.n, 0) AS DOUBLE) AS n, coalesce(a.z, 0) AS z,
+             CAST(coalesce(a.n_pos, 0) AS INTEGER) AS n_pos,
+             CAST(coalesce(a.n_neg, 0) AS INTEGER) AS n_neg
+      FROM d LEFT JOIN a USING (doc_id))
+SELECT doc_id, n_tokens, s AS score_sum,
+       CASE WHEN p + n + z > 0 THEN p / (p + n + z) ELSE 0.0 END AS pos,
+       CASE WHEN p + n + z > 0 THEN n / (p + n + z) ELSE 0.0 END AS neg,
+       CASE WHEN p + n + z > 0 THEN z / (p + n + z) ELSE 0.0 END AS neu,
+       s / sqrt(s * s + 15.0) AS compound, n_pos, n_neg
+FROM r"""
+
+
+@query("lexicon_sentiment", SQL_LEXICON)
+def q_lexicon_sentiment(spark, sf):
+    d = T.table(spark, sf, "documents").where(F.col("lang") == "en")
+    return SN.lexicon_scores(d, "text", PROBE_LEXICON)
+
+
+def _annotations(spark, sf):
+    """Per sentence of each document: a label from its line, a confidence text from its sentence."""
+    d = T.table(spark, sf, "documents")
+    labels = F.transform(F.split("text", "\n"), lambda s: F.when(F.length(s) > 120, "positive")
+                         .when(F.length(s) < 40, "negative").otherwise("neutral"))
+    confs = F.transform(F.split("text", r"[.!?] "), lambda s: F.when(F.length(s) > 900, "n/a")
+                        .otherwise(F.concat(F.lit("0."), F.lpad(F.length(s).cast("string"), 3, "0"))))
+    z = SN.zip_shortest(labels, confs, ("label", "confidence"))
+    return d.select("doc_id", F.posexplode(z).alias("pos", "a")).select(
+        "doc_id", (F.col("pos") + 1).alias("idx"), "a.label", "a.confidence")
+
+
+SQL_ANNOTATIONS = """ann AS (
+  SELECT doc_id, idx, labels[idx] AS label, confs[idx] AS confidence FROM (
+    SELECT doc_id, labels, confs,
+           unnest(range(1, least(len(labels), len(confs)) + 1)) AS idx FROM (
+      SELECT doc_id,
+             list_transform(string_split(text, chr(10)), lambda s: CASE WHEN length(s) > 120
+               THEN 'positive' WHEN length(s) < 40 THEN 'negative' ELSE 'neutral' END) AS labels,
+             list_transform(string_split_regex(text, '[.!?] '), lambda s: CASE WHEN length(s) > 900
+               THEN 'n/a' ELSE '0.' || lpad(CAST(length(s) AS VARCHAR), 3, '0') END) AS confs
+      FROM documents)))"""
+
+
+@query("zip_shortest", f"""
+WITH {SQL_ANNOTATIONS}
+SELECT doc_id, CAST(idx AS INTEGER) AS idx, label, confidence FROM ann""")
+def q_zip_shortest(spark, sf):
+    return _annotations(spark, sf)
+
+
+@query("signed_confidence", f"""
+WITH {SQL_ANNOTATIONS},
+g AS (SELECT doc_id,
+             CAST(sum(coalesce(CAST((CASE label WHEN 'positive' THEN 1.0 WHEN 'negative' THEN -1.0
+                  ELSE 0.0 END) * TRY_CAST(confidence AS DOUBLE) AS DECIMAL(20, 6)), 0)) AS DOUBLE)
+               AS score,
+             count(*) AS n_sentences,
+             CAST(sum(CASE WHEN label IN ('positive', 'negative') THEN 0 ELSE 1 END) AS BIGINT)
+               AS n_unknown
+      FROM ann GROUP BY doc_id)
+SELECT *, score / n_sentences AS normalized_score FROM g""")
+def q_signed_confidence(spark, sf):
+    return SN.signed_confidence(_annotations(spark, sf))
