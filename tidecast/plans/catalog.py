@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bars as B
+from . import series
 from ..operators import windows as W
 from ..sources import tables as T
 
@@ -573,3 +574,264 @@ g AS (SELECT doc_id,
 SELECT *, score / n_sentences AS normalized_score FROM g""")
 def q_signed_confidence(spark, sf):
     return SN.signed_confidence(_annotations(spark, sf))
+
+
+# ---------------------------------------------------------------- dimension, runs, time alignment
+
+from ..operators import features as FE  # noqa: E402
+from ..operators import joins as J  # noqa: E402
+from ..streaming import triggers as TR  # noqa: E402
+
+# Stand-in ticker dimension for the test tables (event types play tickers; two stay unmapped).
+PROBE_DIM = (("click", "Click Corp"), ("view", "View Inc"), ("purchase", "Purchase Ltd"))
+
+SQL_SLOTS = "slots(hour, minute, trigger_type) AS (VALUES " + ", ".join(
+    f"({h}, {m}, '{t}')" for h, m, t in TR.slot_rows()) + ")"
+SQL_DAYS = f"""bounds AS (SELECT min(CAST({SQL_NY} AS DATE)) AS a, max(CAST({SQL_NY} AS DATE)) AS z
+                FROM events),
+days AS (SELECT CAST(unnest(range(a, z + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS ny_date
+         FROM bounds)"""
+SQL_SLOT_NY = "make_timestamp(year(ny_date), month(ny_date), day(ny_date), hour, minute, 0)"
+SQL_CAL = f"""{SQL_SLOTS}, {SQL_DAYS},
+cal AS (SELECT ny_date, hour, minute, trigger_type, strftime({SQL_SLOT_NY}, '%I:%M %p') AS slot,
+               ({SQL_SLOT_NY} AT TIME ZONE 'America/New_York') AT TIME ZONE 'UTC' AS run_ts
+        FROM days, slots)"""
+
+
+def _calendar(spark, sf):
+    return TR.slot_calendar(TR.date_range(_events(spark, sf), "ts"))
+
+
+@query("ticker_lookup", f"""
+WITH dim(ticker, company) AS (VALUES {_sql_values(PROBE_DIM)})
+SELECT e.event_id, e.event_type AS ticker, d.company FROM events e LEFT JOIN dim d
+  ON d.ticker = e.event_type""")
+def q_ticker_lookup(spark, sf):
+    e = _events(spark, sf).select("event_id", F.col("event_type").alias("ticker"))
+    return FE.with_company(e, FE.ticker_dim(spark, PROBE_DIM))
+
+
+@query("ticker_unmapped", f"""
+WITH dim(ticker, company) AS (VALUES {_sql_values(PROBE_DIM)})
+SELECT DISTINCT event_type AS ticker FROM events e
+WHERE NOT EXISTS (SELECT 1 FROM dim d WHERE d.ticker = e.event_type)""")
+def q_ticker_unmapped(spark, sf):
+    e = _events(spark, sf).select(F.col("event_type").alias("ticker"))
+    return FE.unmapped_tickers(e, FE.ticker_dim(spark, PROBE_DIM))
+
+
+@query("slot_calendar", f"""
+WITH {SQL_CAL}
+SELECT strftime(ny_date, '%Y-%m-%d') AS ny_date, slot, trigger_type, run_ts FROM cal""")
+def q_slot_calendar(spark, sf):
+    return _calendar(spark, sf).select(F.date_format("ny_date", "yyyy-MM-dd").alias("ny_date"),
+                                       "slot", "trigger_type", "run_ts")
+
+
+@query("run_news_interval", f"""
+WITH {SQL_CAL}, {SQL_ARTICLES}
+SELECT c.run_ts, c.slot, a.doc_id, a.company, a.published_at
+FROM cal c JOIN arts a ON a.published_at >= c.run_ts - INTERVAL 25 HOUR
+                      AND a.published_at < c.run_ts - INTERVAL 24 HOUR
+WHERE c.trigger_type = 'hourly_prediction'""")
+def q_run_news_interval(spark, sf):
+    runs = _calendar(spark, sf).where(F.col("trigger_type") == TR.HOURLY).select("run_ts", "slot")
+    arts = T.articles(spark, sf).select("doc_id", "company", "published_at")
+    return J.interval_join(runs, arts, "run_ts", "published_at", 25, 24)
+
+
+@query("run_asof_bar", f"""
+WITH {sql_bars('hour')}, {SQL_SLOTS},
+tdays AS (SELECT DISTINCT ticker, CAST((bar_ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York'
+                                       AS DATE) AS ny_date FROM bars),
+runs AS (SELECT ticker, ny_date, strftime({SQL_SLOT_NY}, '%I:%M %p') AS slot,
+                ({SQL_SLOT_NY} AT TIME ZONE 'America/New_York') AT TIME ZONE 'UTC' AS run_ts
+         FROM tdays, slots WHERE trigger_type = 'hourly_prediction')
+SELECT r.ticker, strftime(r.ny_date, '%Y-%m-%d') AS ny_date, r.slot, r.run_ts, b.bar_ts, b.close
+FROM runs r ASOF LEFT JOIN bars b ON r.ticker = b.ticker AND r.run_ts > b.bar_ts""")
+def q_run_asof_bar(spark, sf):
+    bars = _hourly(spark, sf)
+    runs = FE.runs_for(bars)
+    out = J.asof_latest(runs, bars, "ticker", "run_ts", "bar_ts", ["close"])
+    return out.select("ticker", F.date_format("ny_date", "yyyy-MM-dd").alias("ny_date"), "slot",
+                      "run_ts", "bar_ts", "close")
+
+
+@query("trigger_match", f"""
+WITH {SQL_SLOTS}
+SELECT e.event_id, strftime(CAST({SQL_NY} AS DATE), '%Y-%m-%d') AS ny_date,
+       CAST(hour({SQL_NY}) AS INTEGER) AS hour, CAST(minute({SQL_NY}) AS INTEGER) AS minute,
+       s.trigger_type
+FROM events e JOIN slots s ON s.hour = hour({SQL_NY}) AND s.minute = minute({SQL_NY})""")
+def q_trigger_match(spark, sf):
+    m = TR.match_slots(spark, _events(spark, sf))
+    return m.select("event_id", F.date_format("ny_date", "yyyy-MM-dd").alias("ny_date"), "hour",
+                    "minute", "trigger_type")
+
+
+SQL_FIRST = f"""{SQL_SLOTS},
+m AS (SELECT e.event_id, e.ts, CAST({SQL_NY} AS DATE) AS ny_date, s.hour, s.minute, s.trigger_type
+      FROM events e JOIN slots s ON s.hour = hour({SQL_NY}) AND s.minute = minute({SQL_NY})),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ny_date, hour, minute
+                                                  ORDER BY ts, event_id) AS rn FROM m)
+      WHERE rn = 1)"""
+
+
+@query("trigger_first_fire", f"""
+WITH {SQL_FIRST}
+SELECT strftime(ny_date, '%Y-%m-%d') AS ny_date, CAST(hour AS INTEGER) AS hour,
+       CAST(minute AS INTEGER) AS minute, trigger_type, event_id, ts FROM f""")
+def q_trigger_first_fire(spark, sf):
+    f = TR.first_fire(TR.match_slots(spark, _events(spark, sf)))
+    return f.select(F.date_format("ny_date", "yyyy-MM-dd").alias("ny_date"), "hour", "minute",
+                    "trigger_type", "event_id", "ts")
+
+
+SQL_MSG = f"""{SQL_FIRST},
+g AS (SELECT *, {SQL_SLOT_NY} AS slot_ny,
+             ({SQL_SLOT_NY} AT TIME ZONE 'America/New_York') AT TIME ZONE 'UTC' AS slot_utc FROM f),
+o AS (SELECT *, date_diff('minute', slot_utc, slot_ny) AS off FROM g),
+msg AS (SELECT CASE WHEN trigger_type = 'hourly_prediction' THEN 'hourly_topic'
+                    ELSE 'daily_topic' END AS topic, event_id,
+        to_json({{'trigger_type': trigger_type,
+                 'event_timestamp_utc': strftime(ts, '%Y-%m-%dT%H:%M:%S')
+                   || CASE WHEN strftime(ts, '%f') = '000000' THEN ''
+                           ELSE '.' || strftime(ts, '%f') END || 'Z',
+                 'scheduled_time_ny_iso': strftime(slot_ny, '%Y-%m-%dT%H:%M:%S')
+                   || CASE WHEN off < 0 THEN '-' ELSE '+' END
+                   || lpad(CAST(abs(off) // 60 AS VARCHAR), 2, '0') || ':'
+                   || lpad(CAST(abs(off) % 60 AS VARCHAR), 2, '0'),
+                 'scheduled_time_ny_friendly': strftime(slot_ny, '%I:%M %p')}}) AS value
+        FROM o)"""
+
+
+def _messages(spark, sf):
+    return TR.message(TR.first_fire(TR.match_slots(spark, _events(spark, sf))))
+
+
+@query("trigger_message", f"WITH {SQL_MSG} SELECT topic, CAST(value AS VARCHAR) AS value FROM msg")
+def q_trigger_message(spark, sf):
+    return _messages(spark, sf).select("topic", "value")
+
+
+@query("message_parse", f"""
+WITH {SQL_MSG},
+inbox AS (SELECT topic, CAST(value AS VARCHAR) AS value FROM msg
+          UNION ALL SELECT 'hourly_topic', props FROM events WHERE event_type <> 'error'
+          UNION ALL SELECT 'other_topic', 'not json ' || props FROM events WHERE event_type = 'error'),
+v AS (SELECT topic, value, coalesce(json_valid(value), false) AS ok FROM inbox),
+x AS (SELECT topic, value, ok,
+             CASE WHEN ok THEN json_extract_string(value, '$.trigger_type') END AS trigger_type,
+             CASE WHEN ok THEN json_extract_string(value, '$.scheduled_time_ny_friendly') END AS f
+      FROM v)
+SELECT topic, value, trigger_type, coalesce(f, 'N/A') AS slot_friendly,
+       CASE WHEN NOT ok THEN 'bad_json'
+            WHEN trigger_type IS NULL THEN 'missing_trigger_type'
+            WHEN topic NOT IN ('hourly_topic', 'daily_topic') THEN 'unexpected_topic'
+            ELSE 'ok' END AS status
+FROM x""")
+def q_message_parse(spark, sf):
+    e = _events(spark, sf)
+    inbox = (_messages(spark, sf).select("topic", "value")
+             .unionByName(e.where(F.col("event_type") != "error")
+                          .select(F.lit("hourly_topic").alias("topic"), F.col("props").alias("value")))
+             .unionByName(e.where(F.col("event_type") == "error")
+                          .select(F.lit("other_topic").alias("topic"),
+                                  F.concat(F.lit("not json "), "props").alias("value"))))
+    return TR.parse_messages(inbox)
+
+
+# ---------------------------------------------------------------- feature rows
+
+SQL_ROLL = f"""{sql_bars('hour')},
+r AS (SELECT ticker, bar_ts, close, high, low, n_ticks,
+             list(close) OVER (PARTITION BY ticker ORDER BY bar_ts
+                               ROWS BETWEEN {{w}} PRECEDING AND CURRENT ROW) AS vals FROM bars)"""
+
+
+@query("feature_row", f"""
+WITH {SQL_ROLL.format(w=59)},
+f AS (SELECT ticker, bar_ts, list_concat(vals, [close, high, low, CAST(n_ticks AS DOUBLE)]) AS fv
+      FROM r WHERE len(vals) = 60)
+SELECT ticker, bar_ts, CAST(p - 1 AS INTEGER) AS pos, fv[p] AS v FROM f, range(1, 65) t(p)""")
+def q_feature_row(spark, sf):
+    r = FE.rolling_values(_hourly(spark, sf), FE.SEQ_LEN).where(F.size("vals") == FE.SEQ_LEN)
+    f = r.select("ticker", "bar_ts", FE.assemble_row(F.col("vals"), F.col("close"), F.col("high"),
+                                                     F.col("low"), F.col("n_ticks")).alias("fv"))
+    return f.select("ticker", "bar_ts", F.posexplode("fv").alias("pos", "v"))
+
+
+@query("feature_row_valid", f"""
+WITH {SQL_ROLL.format(w=63)}
+SELECT ticker, bar_ts, CAST(len(vals) AS INTEGER) AS n_values, len(vals) = 64 AS valid FROM r""")
+def q_feature_row_valid(spark, sf):
+    r = FE.rolling_values(_hourly(spark, sf), FE.ROW_WIDTH)
+    c = FE.check_rows(r, "vals")
+    return c.select("ticker", "bar_ts", F.size("vals").alias("n_values"), "valid")
+
+
+@query("feature_split", f"""
+WITH {SQL_ROLL.format(w=64)}
+SELECT ticker, bar_ts, vals[1] AS seq_first, vals[60] AS seq_last, CAST(len(vals[1:60]) AS INTEGER)
+       AS seq_len, vals[61] AS aux1, vals[62] AS aux2, vals[63] AS aux3, vals[64] AS aux4,
+       vals[65] AS target
+FROM r WHERE len(vals) = 65""")
+def q_feature_split(spark, sf):
+    r = FE.rolling_values(_hourly(spark, sf), FE.ROW_WIDTH + 1).where(
+        F.size("vals") == FE.ROW_WIDTH + 1)
+    seq, aux, target = FE.split_row(F.col("vals"))
+    return r.select("ticker", "bar_ts", F.element_at(seq, 1).alias("seq_first"),
+                    F.element_at(seq, -1).alias("seq_last"), F.size(seq).alias("seq_len"),
+                    *[F.element_at(aux, i).alias(f"aux{i}") for i in range(1, 5)],
+                    target.alias("target"))
+
+
+# ---------------------------------------------------------------- unions, counts, samples, errors
+
+@query("union_tickers", f"""
+WITH {sql_bars('hour')}, {SQL_DAILY}
+SELECT ticker, bar_ts, close, 'events' AS source FROM bars
+UNION ALL SELECT ticker, bar_ts, close, 'orders' AS source FROM daily""")
+def q_union_tickers(spark, sf):
+    h = _hourly(spark, sf).select("ticker", "bar_ts", "close", F.lit("events").alias("source"))
+    d = _daily(spark, sf).select("ticker", "bar_ts", "close", F.lit("orders").alias("source"))
+    return h.unionByName(d)
+
+
+@query("source_counts", f"""
+WITH {sql_bars('hour')},
+c AS (SELECT 'ticks' AS source, count(*) AS n_rows FROM events
+      UNION ALL SELECT 'daily_prices', count(*) FROM orders
+      UNION ALL SELECT 'articles', count(*) FROM documents
+      UNION ALL SELECT 'pages', count(*) FROM pages
+      UNION ALL SELECT 'hourly_bars', count(*) FROM bars)
+SELECT source, n_rows, n_rows = 0 AS is_empty FROM c""")
+def q_source_counts(spark, sf):
+    parts = {"ticks": T.ticks(spark, sf), "daily_prices": T.daily_prices(spark, sf),
+             "articles": T.table(spark, sf, "documents"), "pages": T.pages(spark, sf),
+             "hourly_bars": _hourly(spark, sf)}
+    out = None
+    for name, df in parts.items():
+        c = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("source"), "n_rows")
+        out = c if out is None else out.unionByName(c)
+    return out.withColumn("is_empty", F.col("n_rows") == 0)
+
+
+@query("sample_head", f"""
+WITH {SQL_DAILY} SELECT * FROM daily ORDER BY bar_ts, ticker LIMIT 5""")
+def q_sample_head(spark, sf):
+    return _daily(spark, sf).orderBy("bar_ts", "ticker").limit(5)
+
+
+@query("mse_naive", f"""
+WITH {sql_bars('hour')},
+p AS (SELECT ticker, close, lag(close) OVER (PARTITION BY ticker ORDER BY bar_ts) AS prev FROM bars)
+SELECT ticker, count(*) AS n, round(avg((close - prev) * (close - prev)), 6) AS mse
+FROM p WHERE prev IS NOT NULL GROUP BY ticker""")
+def q_mse_naive(spark, sf):
+    def cols(w):
+        return {"prev": F.lag("close", 1).over(w)}
+    p = series.rolling(_hourly(spark, sf), "ticker", "bar_ts", B.chunk_of("hour"), 1, cols)
+    return (p.where(F.col("prev").isNotNull()).groupBy("ticker")
+            .agg(F.count(F.lit(1)).alias("n"),
+                 F.round(F.avg((F.col("close") - F.col("prev")) ** 2), 6).alias("mse")))
