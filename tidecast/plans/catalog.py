@@ -835,3 +835,158 @@ def q_mse_naive(spark, sf):
     return (p.where(F.col("prev").isNotNull()).groupBy("ticker")
             .agg(F.count(F.lit(1)).alias("n"),
                  F.round(F.avg((F.col("close") - F.col("prev")) ** 2), 6).alias("mse")))
+
+
+# ---------------------------------------------------------------- model operators
+
+from pyspark.ml.functions import array_to_vector, vector_to_array  # noqa: E402
+
+from ..operators import classifier as CL  # noqa: E402
+from ..operators import ml as ML  # noqa: E402
+from . import jobs as JB  # noqa: E402
+
+SQL_WIDE = "wide AS (SELECT o_orderkey AS id, " + ", ".join(
+    f"CAST((o_orderkey * {k}) % 100 AS FLOAT) AS v{k}" for k in range(1, 66)) + " FROM orders)"
+SQL_WIDE_TEXT = "wtext AS (SELECT o_orderkey AS id, " + ", ".join(
+    [f"CASE WHEN o_orderstatus = 'O' THEN NULL ELSE CAST((o_orderkey * 3) % 100 AS VARCHAR) END AS v3"
+     if k == 3 else f"CAST((o_orderkey * {k}) % 100 AS VARCHAR) AS v{k}" for k in range(1, 65)]
+    + ["CASE WHEN o_orderstatus = 'P' THEN 'n/a' ELSE CAST(CAST(floor(o_totalprice) AS BIGINT)"
+       " AS VARCHAR) END AS v65"]) + " FROM orders)"
+SQL_WIDE_CAST = "wcast AS (SELECT id, " + ", ".join(
+    f"TRY_CAST(v{k} AS FLOAT) AS v{k}" for k in range(1, 66)) + " FROM wtext)"
+
+
+def _wide(spark, sf):
+    return ML.synthetic_wide(T.table(spark, sf, "orders"), "o_orderkey")
+
+
+def _wide_text(spark, sf):
+    o = T.table(spark, sf, "orders")
+    cols = []
+    for k in range(1, 65):
+        v = ((F.col("o_orderkey") * k) % 100).cast("string")
+        if k == 3:
+            v = F.when(F.col("o_orderstatus") != "O", v)
+        cols.append(v.alias(f"v{k}"))
+    v65 = F.when(F.col("o_orderstatus") == "P", F.lit("n/a")).otherwise(
+        F.floor("o_totalprice").cast("bigint").cast("string"))
+    return o.select(F.col("o_orderkey").alias("id"), *cols, v65.alias("v65"))
+
+
+@query("synthetic_wide", f"WITH {SQL_WIDE} SELECT * FROM wide")
+def q_synthetic_wide(spark, sf):
+    return _wide(spark, sf)
+
+
+@query("wide_cast", f"WITH {SQL_WIDE_TEXT}, {SQL_WIDE_CAST} SELECT * FROM wcast")
+def q_wide_cast(spark, sf):
+    return ML.wide_cast(_wide_text(spark, sf))
+
+
+@query("wide_dropna", f"""WITH {SQL_WIDE_TEXT}, {SQL_WIDE_CAST}
+SELECT * FROM wcast WHERE """ + " AND ".join(f"v{k} IS NOT NULL" for k in range(1, 66)))
+def q_wide_dropna(spark, sf):
+    return ML.drop_incomplete(ML.wide_cast(_wide_text(spark, sf)))
+
+
+@query("standardize_columns", f"WITH {SQL_WIDE} SELECT id, " + ", ".join(
+    f"round((v{k} - avg(v{k}) OVER ()) / stddev_samp(v{k}) OVER (), 6) AS z{k}"
+    for k in range(1, 66)) + " FROM wide")
+def q_standardize_columns(spark, sf):
+    w = _wide(spark, sf)
+    fit = ML.standardize_fit(w, ML.WIDE_COLS)
+    z = ML.standardize_apply(w, fit, suffix="_z")
+    return z.select("id", *[F.round(f"v{k}_z", 6).alias(f"z{k}") for k in range(1, 66)])
+
+
+@query("train_test_split", """
+SELECT o_orderkey, (CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 7) AS BIGINT) % 5) = 0
+       AS is_test FROM orders""")
+def q_train_test_split(spark, sf):
+    o = T.table(spark, sf, "orders")
+    return o.select("o_orderkey", ML.is_test(F.col("o_orderkey")).alias("is_test"))
+
+
+@query("assemble", f"""
+WITH {SQL_WIDE}, a AS (SELECT id, [{", ".join(f"CAST(v{k} AS DOUBLE)" for k in range(1, 66))}] AS f
+                       FROM wide)
+SELECT id, CAST(len(f) AS INTEGER) AS n_features, f[1] AS f_first, f[65] AS f_last,
+       list_reduce(f, lambda x, y: x + y) AS f_sum FROM a""")
+def q_assemble(spark, sf):
+    a = ML.assemble(_wide(spark, sf), ML.WIDE_COLS)
+    f = vector_to_array(F.col("features"))
+    return a.select("id", F.size(f).alias("n_features"), F.element_at(f, 1).alias("f_first"),
+                    F.element_at(f, -1).alias("f_last"),
+                    F.aggregate(f, F.lit(0.0), lambda acc, x: acc + x).alias("f_sum"))
+
+
+# Stand-in ticker -> company mapping joining the test tables' tickers to article sources.
+NEWS_DIM = (("click", "src0"), ("view", "src1"), ("purchase", "src2"), ("error", "src3"),
+            ("signup", "src4"))
+
+
+def _split_windows(spark, sf):
+    sw = W.sequence_windows(_hourly(spark, sf)).withColumn("features", array_to_vector("seq"))
+    return sw.withColumn("is_test", ML.is_test(
+        F.concat_ws("|", "ticker", F.col("bar_ts").cast("string"))))
+
+
+@query("forecast_regression")
+def q_forecast_regression(spark, sf):
+    sw = _split_windows(spark, sf)
+    model = ML.fit(sw.where(~F.col("is_test")))
+    return model.transform(sw.where("is_test")).select("ticker", "bar_ts", "label", "prediction")
+
+
+@query("evaluate")
+def q_evaluate(spark, sf):
+    sw = _split_windows(spark, sf)
+    model = ML.fit(sw.where(~F.col("is_test")))
+    return ML.evaluate(model.transform(sw.where("is_test")))
+
+
+def _trained(spark, sf):
+    return JB.daily_train(spark, sf, FE.ticker_dim(spark, NEWS_DIM))
+
+
+@query("daily_training")
+def q_daily_training(spark, sf):
+    return _trained(spark, sf)[1]
+
+
+@query("senti_regression")
+def q_senti_regression(spark, sf):
+    models, _ = _trained(spark, sf)
+    bars = JB.hourly_bars(spark, sf)
+    hist = bars.select("ticker", F.col("bar_ts").alias("run_ts"), F.col("close").alias("target"))
+    rows = JB.feature_rows(JB.forecast(models.forecaster, JB.run_windows(bars, hist)), None)
+    wide = JB.to_wide(rows.where("valid"))
+    feats = [f"v{i}" for i in range(1, 65)]
+    z = ML.assemble(ML.standardize_apply(wide, models.scaler), feats)
+    return models.senti.transform(z).select("ticker", "run_ts", F.col("v65").alias("target"),
+                                            "prediction")
+
+
+@query("predict_rows")
+def q_predict_rows(spark, sf):
+    models, _ = _trained(spark, sf)
+    r = FE.rolling_values(_hourly(spark, sf), FE.ROW_WIDTH)
+    c = FE.check_rows(r, "vals").where("valid")
+    wide = c.select("ticker", "bar_ts", *[F.element_at("vals", i).alias(f"v{i}")
+                                          for i in range(1, 65)])
+    z = ML.assemble(ML.standardize_apply(wide, models.scaler), [f"v{i}" for i in range(1, 65)])
+    return models.senti.transform(z).select("ticker", "bar_ts", "prediction")
+
+
+@query("hourly_predictions")
+def q_hourly_predictions(spark, sf):
+    dim = FE.ticker_dim(spark, NEWS_DIM)
+    models, _ = JB.daily_train(spark, sf, dim)
+    return JB.hourly_predict(spark, sf, models, dim)
+
+
+@query("sentence_classifier")
+def q_sentence_classifier(spark, sf):
+    docs = T.table(spark, sf, "documents")
+    model = CL.fit(docs, T.table(spark, sf, "labels"))
+    return SN.signed_confidence(CL.annotate(model, docs))

@@ -18,6 +18,9 @@ _REQUIRED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # The composed jobs join many wide projections (array expressions over whole texts and
+    # windows); inferring constraints over them makes optimisation time explode, so it is off.
+    "spark.sql.constraintPropagation.enabled": "false",
 }
 
 
