@@ -46,12 +46,17 @@ def drop_incomplete(df: DataFrame, cols=WIDE_COLS) -> DataFrame:
 
 
 def standardize_fit(df: DataFrame, cols) -> dict[str, tuple[float, float]]:
-    """Mean and sample standard deviation per column: one aggregation, 2 numbers per column."""
-    aggs = []
-    for c in cols:
-        aggs += [F.avg(c).alias(f"m_{c}"), F.stddev_samp(c).alias(f"s_{c}")]
-    row = df.agg(*aggs).first()
-    return {c: (row[f"m_{c}"], row[f"s_{c}"]) for c in cols}
+    """Mean and sample standard deviation per column (2 numbers per column reach the driver).
+
+    The columns are unpivoted to (name, value) and aggregated by name: one small aggregate that
+    stays in generated code and combines partially per task, instead of one very wide aggregate.
+    """
+    cols = list(cols)
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
+        [], cols, "name", "value")
+    stats = long.groupBy("name").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
+    got = {r["name"]: (r["m"], r["s"]) for r in stats.collect()}
+    return {c: got.get(c, (None, None)) for c in cols}
 
 
 def standardize_apply(df: DataFrame, fit: dict[str, tuple[float, float]],
@@ -59,8 +64,9 @@ def standardize_apply(df: DataFrame, fit: dict[str, tuple[float, float]],
     """``(x - mean) / std``; a zero or undefined spread gives 0.0."""
     out = []
     for c, (m, s) in fit.items():
-        z = (F.col(c) - F.lit(m)) / F.lit(s) if s else F.lit(0.0)
-        out.append(F.when(F.col(c).isNotNull(), z).alias(c + suffix))
+        # NULL stays NULL through the arithmetic; a flat column maps to 0.0 (NULL stays NULL)
+        z = (F.col(c) - F.lit(m)) / F.lit(s) if s else F.col(c) * 0.0
+        out.append(z.alias(c + suffix))
     keep = [c for c in df.columns if c not in fit or suffix]
     return df.select(*keep, *out)
 

@@ -76,9 +76,12 @@ def _ahead(arr: Column, k: int) -> Column:
     return F.slice(arr, k + 1, F.greatest(F.size(arr), F.lit(1)))
 
 
-def _behind(arr: Column, j: int, pad) -> Column:
-    """Element i -> arr[i - j], ``pad`` before the start (trim the zip to the original size)."""
-    return F.concat(F.array_repeat(F.lit(pad), j), arr)
+HIT = "struct<pos:int,cls:string,len:int,cov:boolean,pol:double,mod:double>"
+
+
+def _behind(arr: Column, j: int, ddl: str) -> Column:
+    """Element i -> arr[i - j] once zipped and trimmed; NULL before the start."""
+    return F.concat(F.array_repeat(F.lit(None).cast(ddl), j), arr)
 
 
 def lexicon_scores(docs: DataFrame, text: str = "text",
@@ -86,88 +89,110 @@ def lexicon_scores(docs: DataFrame, text: str = "text",
                    keep: Iterable[str] = ("doc_id",)) -> DataFrame:
     """Per row of ``docs``: n_tokens, score_sum, pos, neg, neu, compound, n_pos, n_neg.
 
-    Neighbouring tokens are reached by zipping shifted copies of an array, never by indexing into
-    it from a lambda, so every step is linear in the number of tokens.
+    One pass over the tokens finds the lexicon matches (a map lookup on the first word gates the
+    phrase lookups); covering, modifier context and sums then run over the short array of matches
+    only. Neighbours are reached by zipping shifted copies, never by indexing from a lambda.
     """
     pairs = lexicon_pairs(lexicon)
     keep = list(keep)
     k_max = max((len(t.split()) for t, _ in pairs), default=1)
-    a = docs.select(*keep, tokens(F.col(text)).alias("_t"))
+    toks = F.array_remove(F.split(F.lower(F.col(text)), "[^a-z]+"), "")
+    a = docs.select(*keep, toks.alias("_t"))
     t = F.col("_t")
+    hit_ddl = "struct<pos:int,cls:string,len:int>"
+
+    if pairs:
+        lex = _lex_map(pairs)
+        firsts = sorted({term.split()[0] for term, _ in pairs})
+        starts = F.map_from_arrays(F.array(*[F.lit(w) for w in firsts]),
+                                   F.array(*[F.lit(True) for _ in firsts]))
+        z = F.arrays_zip(*[(t if k == 1 else _ahead(t, k - 1)).alias(f"w{k}")
+                           for k in range(1, k_max + 1)])
+
+        def match(x, i):
+            hits = {}
+            for k in range(1, k_max + 1):
+                gram = F.when(x[f"w{k}"].isNotNull(),
+                              F.concat_ws(" ", *[x[f"w{j}"] for j in range(1, k + 1)]))
+                hits[k] = F.element_at(lex, gram)
+            cls = F.coalesce(*[hits[k] for k in range(k_max, 0, -1)])
+            length = F.lit(0)
+            for k in range(1, k_max + 1):
+                length = F.when(hits[k].isNotNull(), F.lit(k)).otherwise(length)
+            found = F.when(length > 0, F.struct(i.alias("pos"), cls.alias("cls"),
+                                                length.alias("len")))
+            return F.when(F.element_at(starts, x["w1"]).isNotNull(), found)
+
+        b = a.select(*keep, F.size(t).alias("n_tokens"),
+                     F.array_compact(F.transform(z, match)).alias("_h"))
+    else:
+        b = a.select(*keep, F.size(t).alias("n_tokens"),
+                     F.array().cast(f"array<{hit_ddl}>").alias("_h"))
 
-    # 1. longest lexicon term starting at each token
-    z = F.arrays_zip(*[(t if k == 1 else _ahead(t, k - 1)).alias(f"w{k}")
-                       for k in range(1, k_max + 1)])
-    lex = _lex_map(pairs) if pairs else None
-
-    def match(x):
-        if lex is None:
-            return F.struct(F.lit(None).cast("string").alias("cls"), F.lit(0).alias("len"))
-        hits = {}
-        for k in range(1, k_max + 1):
-            words = [x[f"w{i}"] for i in range(1, k + 1)]
-            gram = F.when(x[f"w{k}"].isNotNull(), F.concat_ws(" ", *words))
-            hits[k] = F.element_at(lex, gram)
-        cls = F.coalesce(*[hits[k] for k in range(k_max, 0, -1)])
-        length = F.lit(0)
-        for k in range(1, k_max + 1):
-            length = F.when(hits[k].isNotNull(), F.lit(k)).otherwise(length)
-        return F.struct(cls.alias("cls"), length.alias("len"))
-
-    b = a.select(*keep, F.slice(F.transform(z, match), 1, F.size(t)).alias("_m"))
-    b = b.select(*keep, F.transform("_m", lambda x: x["cls"]).alias("_cls"),
-                 F.transform("_m", lambda x: x["len"]).alias("_len"))
-
-    # 2. tokens inside an earlier phrase are covered; class -> polarity and modifier weight
-    ln = F.col("_len")
-    zc = F.arrays_zip(F.col("_cls").alias("cls"),
-                      *[_behind(ln, j, 0).alias(f"l{j}") for j in range(1, k_max)])
-    zc = F.slice(zc, 1, F.size("_cls"))
+    # covered: inside an earlier match's phrase (only the K-1 earlier matches can reach this far)
+    h = F.col("_h")
+    zc = F.slice(F.arrays_zip(h.alias("c"), *[_behind(h, j, hit_ddl).alias(f"p{j}")
+                                               for j in range(1, k_max)]), 1, F.size(h))
 
     def mark(x):
         cov = F.lit(False)
         for j in range(1, k_max):
-            cov = cov | (x[f"l{j}"] > j)
-        pol = F.when(cov, F.lit(0.0)).otherwise(_weights(x["cls"], POLARITY, 0.0))
-        mod = F.when(cov, F.lit(1.0)).otherwise(_weights(x["cls"], MODIFIER, 1.0))
-        return F.struct(cov.alias("cov"), pol.alias("pol"), mod.alias("mod"))
-
-    c = b.select(*keep, F.transform(zc, mark).alias("_p"))
-    c = c.select(*keep, F.transform("_p", lambda x: x["cov"]).alias("_cov"),
-                 F.transform("_p", lambda x: x["pol"]).alias("_pol"),
-                 F.transform("_p", lambda x: x["mod"]).alias("_mod"))
-
-    # 3. score = polarity x the modifiers of the CONTEXT tokens before it
-    md = F.col("_mod")
-    zs = F.arrays_zip(F.col("_cov").alias("cov"), F.col("_pol").alias("pol"),
-                      *[_behind(md, j, 1.0).alias(f"m{j}") for j in range(1, CONTEXT + 1)])
-    zs = F.slice(zs, 1, F.size("_pol"))
+            p = x[f"p{j}"]
+            cov = cov | F.coalesce(p["pos"] + p["len"] > x["c"]["pos"], F.lit(False))
+        c = x["c"]
+        return F.struct(c["pos"].alias("pos"), c["cls"].alias("cls"), c["len"].alias("len"),
+                        cov.alias("cov"),
+                        F.when(cov, F.lit(0.0)).otherwise(_weights(c["cls"], POLARITY, 0.0))
+                        .alias("pol"),
+                        F.when(cov, F.lit(1.0)).otherwise(_weights(c["cls"], MODIFIER, 1.0))
+                        .alias("mod"))
+
+    c = b.select(*keep, "n_tokens", F.transform(zc, mark).alias("_m"))
+
+    # score: polarity x modifiers of matches in the CONTEXT tokens before (non-matches weigh 1)
+    m = F.col("_m")
+    zs = F.slice(F.arrays_zip(m.alias("c"), *[_behind(m, j, HIT).alias(f"p{j}")
+                                               for j in range(1, CONTEXT + 1)]), 1, F.size(m))
 
     def score(x):
-        s = x["pol"]
+        s = x["c"]["pol"]
         for j in range(1, CONTEXT + 1):
-            s = s * x[f"m{j}"]
-        return F.struct(x["cov"].alias("cov"), s.alias("s"))
+            p = x[f"p{j}"]
+            near = p.isNotNull() & (x["c"]["pos"] - p["pos"] <= CONTEXT)
+            s = s * F.when(near, p["mod"]).otherwise(F.lit(1.0))
+        return s
 
-    d = c.select(*keep, F.size("_pol").alias("n_tokens"), F.transform(zs, score).alias("_s"))
+    d = c.select(*keep, "n_tokens", "_m", F.transform(zs, score).alias("_s"))
 
     def total(f):
         return F.aggregate("_s", F.lit(0.0), lambda acc, y: acc + f(y))
 
-    s = total(lambda y: y["s"])
-    p = total(lambda y: F.when(y["s"] > 0, y["s"] + 1).otherwise(0.0))
-    n = total(lambda y: F.when(y["s"] < 0, 1 - y["s"]).otherwise(0.0))
-    z0 = F.size(F.filter("_s", lambda y: (y["s"] == 0) & ~y["cov"])).cast("double")
-    tot = p + n + z0
+    s = total(lambda y: y)
+    p = total(lambda y: F.when(y > 0, y + 1).otherwise(0.0))
+    n = total(lambda y: F.when(y < 0, 1 - y).otherwise(0.0))
+    n_pos = F.size(F.filter("_s", lambda y: y > 0))
+    n_neg = F.size(F.filter("_s", lambda y: y < 0))
+    # tokens inside phrases (union of the ranges pos+1 .. pos+len-1 of all matches)
+    covered = F.aggregate(
+        "_m", F.struct(F.lit(-1).alias("end"), F.lit(0).alias("n")),
+        lambda acc, x: F.struct(
+            F.greatest(acc["end"], x["pos"] + x["len"] - 1).alias("end"),
+            (acc["n"] + F.greatest(F.lit(0), x["pos"] + x["len"] - 1
+                                   - F.greatest(x["pos"] + 1, acc["end"] + 1) + 1)).alias("n")),
+        lambda acc: acc["n"])
+    e = d.select(*keep, "n_tokens", s.alias("s"), p.alias("p"), n.alias("n"),
+                 n_pos.alias("n_pos"), n_neg.alias("n_neg"), covered.alias("n_cov"))
+    z0 = (F.col("n_tokens") - F.col("n_cov") - F.col("n_pos") - F.col("n_neg")).cast("double")
+    tot = F.col("p") + F.col("n") + z0
 
     def share(v):
         return F.when(tot > 0, v / tot).otherwise(F.lit(0.0))
 
-    return d.select(
-        *keep, "n_tokens", s.alias("score_sum"), share(p).alias("pos"), share(n).alias("neg"),
-        share(z0).alias("neu"), (s / F.sqrt(s * s + F.lit(ALPHA))).alias("compound"),
-        F.size(F.filter("_s", lambda y: y["s"] > 0)).alias("n_pos"),
-        F.size(F.filter("_s", lambda y: y["s"] < 0)).alias("n_neg"))
+    return e.select(
+        *keep, "n_tokens", F.col("s").alias("score_sum"), share(F.col("p")).alias("pos"),
+        share(F.col("n")).alias("neg"), share(z0).alias("neu"),
+        (F.col("s") / F.sqrt(F.col("s") * F.col("s") + F.lit(ALPHA))).alias("compound"),
+        "n_pos", "n_neg")
 
 
 # ---------------------------------------------------------------- sentence labels and confidences
