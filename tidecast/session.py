@@ -21,6 +21,10 @@ _REQUIRED = {
     # The composed jobs join many wide projections (array expressions over whole texts and
     # windows); inferring constraints over them makes optimisation time explode, so it is off.
     "spark.sql.constraintPropagation.enabled": "false",
+    # No broadcast on planner estimates: data-derived join sides are broadcast only by AQE after
+    # their size was measured (spark.sql.adaptive.autoBroadcastJoinThreshold); fixed tables of
+    # known size carry an explicit broadcast hint.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
 }
 
 
