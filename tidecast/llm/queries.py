@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import bpe, mixing, quality, ship_by_value, units
+
+ship_by_value()
 
 OPS = {
     "op4_quality_rules": (quality.query, quality.SQL),
+    "op5_unit_dedup": (units.query, units.SQL),
+    "op8_byte_bpe": (bpe.query, None),
+    "op9_curriculum_mix": (mixing.query, mixing.SQL),
 }
