@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table
+from .kernels import ranges, span_hash
 
-CACHE_PIECES = 300_000
+CACHE_PIECES = 600_000
 SLICE_BYTES = 2_000_000
 
 
@@ -103,19 +104,10 @@ def piece_starts(cp: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new[:-1])
 
 
-def _span_hash(cp, starts, ends, base):
-    """A 64-bit polynomial hash of each span, from one running sum."""
-    powers = np.cumprod(np.full(len(cp), base, np.uint64))
-    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum((cp.astype(np.uint64) + np.uint64(1)) * powers)])
-    # the inverse power moves every span to the origin (an odd base has an inverse)
-    back = np.cumprod(np.full(len(cp), np.uint64(pow(int(base), -1, 2**64)), np.uint64))
-    return (run[ends] - run[starts]) * back[starts]
-
-
 class Encoder:
     """Encodes slices of texts; keeps the ids of the pieces it has met, up to a bound."""
 
-    BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))  # any two odd numbers
+    BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # any two odd numbers
 
     def __init__(self, model: str):
         from tokenizers import Tokenizer
@@ -128,17 +120,14 @@ class Encoder:
     def _forget(self):
         self.known, self.flat, self.count = {}, [], []
 
-    def _ids(self, pieces: list[str]) -> list[list[int]]:
-        out = []
+    def _learn(self, keys, pieces: list[str]) -> None:
         for i in range(0, len(pieces), 256):
             some = pieces[i:i + 256]
             mapped = [p.encode("utf-8").decode("latin-1").translate(self.alphabet) for p in some]
             e = self.tokenizer.encode(mapped, is_pretokenized=True, add_special_tokens=False)
-            ids = [[] for _ in some]
-            for word, token in zip(e.word_ids, e.ids):
-                ids[word].append(token)
-            out += ids
-        return out
+            self.known.update(zip(keys[i:i + 256], range(len(self.count), len(self.count) + len(some))))
+            self.flat += e.ids
+            self.count += np.bincount(e.word_ids, minlength=len(some)).tolist()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -149,7 +138,7 @@ class Encoder:
         breaks = cp[starts] == ord(BREAK_CHAR)
         text_of = np.cumsum(breaks)[~breaks]
         starts, ends = starts[~breaks], ends[~breaks]
-        h1, h2 = (_span_hash(cp, starts, ends, b) for b in self.BASES)
+        h1, h2 = (span_hash(cp, starts, ends, b) for b in self.BASES)
         _, first, which = np.unique(h1, return_index=True, return_inverse=True)
         if not np.array_equal(h2[first][which], h2):  # two pieces share a hash: keep every piece apart
             first, which = np.arange(len(starts)), np.arange(len(starts))
@@ -158,24 +147,15 @@ class Encoder:
         keys = list(zip(h1[first].tolist(), h2[first].tolist()))
         new = [k for k, key in enumerate(keys) if key not in self.known]
         pieces = [joined[s:e] for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]
-        for k, ids in zip(new, self._ids(pieces)):
-            self.known[keys[k]] = len(self.count)
-            self.count.append(len(ids))
-            self.flat += ids
+        self._learn([keys[k] for k in new], pieces)
         row = np.fromiter((self.known[key] for key in keys), np.int64, len(keys))[which]
         count, flat = np.array(self.count, np.int64), np.array(self.flat, "<u4")
         n = count[row]
-        ids = flat[_ranges((np.cumsum(count) - count)[row], n)]
+        ids = flat[ranges((np.cumsum(count) - count)[row], n)]
         ends_of_text = np.cumsum(np.bincount(text_of, weights=n, minlength=len(texts)).astype(np.int64))
         return np.split(ids, ends_of_text[:-1])
 
 
-def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... for each pair, end to end."""
-    before = np.cumsum(counts) - counts
-    return np.repeat(starts - before, counts) + np.arange(int(counts.sum()))
-
-
 def offsets_of(text: str, lengths: np.ndarray) -> np.ndarray:
     """(start, end) characters of each token, from the tokens' lengths in bytes."""
     data = np.frombuffer(text.encode("utf-8"), np.uint8)
@@ -272,7 +252,7 @@ def _decode_batches(batches, model, ids_name):
         out = []
         for x in b.column(ids_name).to_pylist():
             ids = np.frombuffer(x or b"", "<u4")
-            out.append(data[_ranges(start[ids], size[ids])].tobytes())
+            out.append(data[ranges(start[ids], size[ids])].tobytes())
         yield _append(b, {"decoded": pa.array(out, pa.binary())})
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality, ship_by_value, units
+from . import bpe, langid, mixing, quality, ship_by_value, toxicity, units
 
 ship_by_value()
 
 OPS = {
+    "op1_ftrl_toxicity": (toxicity.query, None),
     "op4_quality_rules": (quality.query, quality.SQL),
     "op5_unit_dedup": (units.query, units.SQL),
     "op8_byte_bpe": (bpe.query, None),
     "op9_curriculum_mix": (mixing.query, mixing.SQL),
+    "op10_language_mixture": (langid.query, None),
 }
