@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, mixing, quality, ship_by_value, toxicity, units
+from . import bpe, langid, lpf, mixing, quality, ship_by_value, toxicity, units, warc
 
 ship_by_value()
 
 OPS = {
     "op1_ftrl_toxicity": (toxicity.query, None),
+    "op2_lpf_dedup": (lpf.query, None),
     "op4_quality_rules": (quality.query, quality.SQL),
     "op5_unit_dedup": (units.query, units.SQL),
+    "op7_warc": (warc.query, warc.SQL),
     "op8_byte_bpe": (bpe.query, None),
     "op9_curriculum_mix": (mixing.query, mixing.SQL),
     "op10_language_mixture": (langid.query, None),
