@@ -2,22 +2,55 @@
 
 from __future__ import annotations
 
-from tidecast.llm import quality
-from tidecast.llm.common import table
+from pyspark.sql import functions as F
 
-ORACLE_SQL = None  # some stages cannot be said in SQL; tests/llm compares with a brute-force version
+from tidecast.llm import bpe, forest, mixing, quality, ship_by_value, units
+from tidecast.llm.common import materialise, table
+
+ship_by_value()
+
+ORACLE_SQL = None  # similarity groups and token ids cannot be said in SQL; tests/llm holds a brute-force twin
 
 
 def drop_low_quality(spark, docs, sf_dir):
     """Documents that fail the quality rules go."""
-    return quality.quality_rules(docs).where("kept").select(*docs.columns)
+    kept = quality.quality_rules(docs.select("*", F.struct("*").alias("__row"))).where("kept")
+    return kept.select("__row.*")
+
+
+def drop_near_copies(spark, docs, sf_dir):
+    """One document of each group of similar ones stays: the earliest."""
+    return forest.drop_similar(docs)
+
+
+def drop_repeated_units(spark, docs, sf_dir):
+    """Lines and sentences that stand in an earlier place go; the text's length follows."""
+    cut = units.dedup_units(docs)
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cut.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def mix_sources(spark, docs, sf_dir):
+    """Each document as often as the mixture takes it, in training order."""
+    return mixing.mix(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def encode_tokens(spark, docs, sf_dir):
+    """Token ids (little-endian unsigned 32-bit integers), with digests of them and of their decoding."""
+    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text")).drop("text"))
+    return coded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-STAGES = [("quality_rules", drop_low_quality)]
+STAGES = [("quality_rules", drop_low_quality), ("near_copies", drop_near_copies),
+          ("unit_dedup", drop_repeated_units), ("curriculum_mix", mix_sources), ("byte_bpe", encode_tokens)]
 
 
 def run(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialise(docs, f"pipeline-{name}")
     return docs
