@@ -58,6 +58,22 @@ def result_key(ts_utc: Column, slot: Column, ticker: Column) -> Column:
                        F.coalesce(ticker, F.lit("")))
 
 
+_END = "end_of_value"
+
+
+def strict_json(js: Column, schema: str) -> Column:
+    """``struct<v, ok>``: the parsed value, and whether the whole text is one JSON document.
+
+    The parser alone stops after the first document and accepts what trails it. Here the text is a field
+    of a wrapper that ends in a mark; anything trailing the document keeps the mark from being read.
+    """
+    wrapped = F.concat(F.lit('{"v":'), js, F.lit(f',"{_END}":1}}'))
+    p = F.from_json(wrapped, f"v {schema}, {_END} INT")
+    balanced = F.coalesce(F.from_json(F.concat(F.lit("["), js, F.lit("]")), "array<string>").isNotNull()
+                          & (F.length(F.trim(js)) > 0), F.lit(False))
+    return F.struct(p["v"].alias("v"), (F.coalesce(p[_END] == 1, F.lit(False)) & balanced).alias("ok"))
+
+
 def json_field_or_default(js: Column, field: str, default: str = "N/A") -> Column:
     return F.coalesce(F.get_json_object(js, f"$.{field}"), F.lit(default))
 

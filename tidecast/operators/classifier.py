@@ -22,8 +22,8 @@ NUM_FEATURES = 1 << 18
 
 def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per non-blank sentence: key, idx (1-based), sentence, toks."""
-    s = docs.select(key, F.posexplode(F.split(F.col(text), SENTENCE_SPLIT)).alias("pos", "sentence"))
-    s = s.where(F.trim("sentence") != "")
+    full = F.filter(F.split(F.col(text), SENTENCE_SPLIT), lambda x: F.trim(x) != "")
+    s = docs.select(key, F.posexplode(full).alias("pos", "sentence"))
     return s.select(key, (F.col("pos") + 1).alias("idx"), "sentence",
                     tokens(F.col("sentence")).alias("toks"))
 

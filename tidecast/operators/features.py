@@ -22,11 +22,9 @@ def ticker_dim(spark: SparkSession, pairs=TICKER_COMPANY) -> DataFrame:
     return spark.createDataFrame(list(pairs), "ticker STRING, company STRING")
 
 
-def with_company(df: DataFrame, dim: DataFrame, small: bool = True) -> DataFrame:
-    """Left join to the ticker dimension. ``small`` marks a dimension of fixed, known size, which is
-    broadcast; any other dimension is joined plainly and AQE broadcasts it if it measures small."""
-    d = F.broadcast(dim) if small else dim
-    return df.join(d.select("ticker", "company"), "ticker", "left")
+def with_company(df: DataFrame, dim: DataFrame) -> DataFrame:
+    """Left join to the ticker dimension; Spark broadcasts it where it measures small."""
+    return df.join(dim.select("ticker", "company"), "ticker", "left")
 
 
 def unmapped_tickers(df: DataFrame, dim: DataFrame) -> DataFrame:
@@ -59,10 +57,13 @@ def assemble_row(seq, algo, lex, ml, llm):
 
 
 def check_rows(df: DataFrame, col: str = "features", width: int = ROW_WIDTH) -> DataFrame:
-    """Shape check: ``valid`` when the row has ``width`` non-NULL values; values cast to float."""
+    """Shape check: ``valid`` when the row has ``width`` finite values, ``reason`` when not; values cast
+    to float."""
     f = F.col(col)
-    ok = (F.size(f) == width) & F.forall(f, lambda x: x.isNotNull())
-    return df.withColumn("valid", F.coalesce(ok, F.lit(False))).withColumn(
+    fine = F.forall(f, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    reason = (F.when(f.isNull() | (F.size(f) != width), F.lit("wrong_length"))
+              .when(~fine, F.lit("missing_value")))
+    return df.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull()).withColumn(
         col + "_f32", F.transform(f, lambda x: x.cast("float")))
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
+
 WRITE_COLS = ("key", "value", "written_at", "seq", "ttl_seconds")
 
 
@@ -46,8 +48,8 @@ def state(writes: DataFrame, as_of: str | None = None) -> DataFrame:
 
 
 def is_json(col) -> F.Column:
-    """True when the value parses as a JSON document (objects and arrays)."""
-    return F.get_json_object(col, "$").isNotNull()
+    """True when the whole value is one JSON document."""
+    return S.strict_json(F.col(col) if isinstance(col, str) else col, "STRING")["ok"]
 
 
 def lookup(store: DataFrame, keys: DataFrame, json_schema: str | None = None) -> DataFrame:

@@ -6,10 +6,12 @@ on all series at once; nothing is collected to the driver except fitted paramete
 
 from __future__ import annotations
 
-from pyspark.ml.evaluation import RegressionEvaluator
+import math
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,15 +50,33 @@ def drop_incomplete(df: DataFrame, cols=WIDE_COLS) -> DataFrame:
 def standardize_fit(df: DataFrame, cols) -> dict[str, tuple[float, float]]:
     """Mean and sample standard deviation per column (2 numbers per column reach the driver).
 
-    The columns are unpivoted to (name, value) and aggregated by name: one small aggregate that
-    stays in generated code and combines partially per task, instead of one very wide aggregate.
+    One pass without a blow-up of rows: complete rows go through the vector summarizer; a column of rows
+    with NULL cells, which it cannot skip, is summed apart, and both parts' moments are merged.
     """
     cols = list(cols)
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
-        [], cols, "name", "value")
-    stats = long.groupBy("name").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
-    got = {r["name"]: (r["m"], r["s"]) for r in stats.collect()}
-    return {c: got.get(c, (None, None)) for c in cols}
+    d = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    values = F.array(*[F.col(c) for c in cols])
+    d = d.withColumn("_ok", F.forall(values, lambda x: x.isNotNull()))
+    v = array_to_vector(F.transform(values, lambda x: F.coalesce(x, F.lit(0.0))))
+    weight = F.when(F.col("_ok"), 1.0).otherwise(0.0)
+    whole = d.select(Summarizer.metrics("mean", "variance").summary(v, weight).alias("s"),
+                     F.sum(weight).alias("n")).first()
+    rest = d.where(~F.col("_ok")).select(*cols).unpivot([], cols, "name", "value").groupBy("name").agg(
+        F.count("value").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("q"))
+    parts = {r["name"]: (r["n"], r["m"], r["q"]) for r in rest.collect() if r["n"]}
+    out, n1 = {}, whole["n"] or 0.0
+    for i, c in enumerate(cols):
+        m1 = float(whole["s"]["mean"][i]) if n1 else 0.0
+        q1 = float(whole["s"]["variance"][i]) * (n1 - 1) if n1 > 1 else 0.0
+        n2, m2, q2 = parts.get(c, (0, 0.0, 0.0))
+        n = n1 + n2
+        if not n:
+            out[c] = (None, None)
+            continue
+        gap = m2 - m1
+        spread = q1 + q2 * n2 + gap * gap * n1 * n2 / n
+        out[c] = (m1 + gap * n2 / n, math.sqrt(spread / (n - 1)) if n > 1 else None)
+    return out
 
 
 def standardize_apply(df: DataFrame, fit: dict[str, tuple[float, float]],
@@ -71,6 +91,13 @@ def standardize_apply(df: DataFrame, fit: dict[str, tuple[float, float]],
     return df.select(*keep, *out)
 
 
+def scaled_vector(df: DataFrame, fit: dict[str, tuple[float, float]], cols, out: str = "features") -> DataFrame:
+    """``out``: the standardised values of ``cols`` as one vector, in one expression, so that the optimiser
+    has one column to reason about and not one for each."""
+    z = [(F.col(c) - F.lit(fit[c][0])) / F.lit(fit[c][1]) if fit[c][1] else F.col(c) * 0.0 for c in cols]
+    return df.withColumn(out, array_to_vector(F.array(*z)))
+
+
 def is_test(key: Column, folds: int = 5) -> Column:
     """Stable hash split: a fifth of keys (by md5) form the test set; same in any engine."""
     h = F.conv(F.substring(F.md5(key.cast("string")), 1, 7), 16, 10).cast("bigint")
@@ -100,13 +127,17 @@ def fit(train: DataFrame, kind: str = "linear", features: str = "features", labe
 
 
 def evaluate(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """One row per metric: mse, rmse, mae and the number of scored rows."""
-    ev = RegressionEvaluator(labelCol=label, predictionCol=prediction)
-    metrics = {m: ev.setMetricName(m).evaluate(pred) for m in ("mse", "rmse", "mae")}
-    spark = pred.sparkSession
-    n = pred.count()
-    return spark.createDataFrame([(k, float(v)) for k, v in metrics.items()] + [("n", float(n))],
-                                 "metric STRING, value DOUBLE")
+    """One row per metric: mse, rmse, mae and the number of scored rows, from one pass."""
+    e = F.col(label) - F.col(prediction)
+    one = pred.agg(F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.count(e).cast("double").alias("n"))
+    return one.withColumn("rmse", F.sqrt("mse")).unpivot(
+        [], ["mse", "rmse", "mae", "n"], "metric", "value")
+
+
+def first_pairs(pred: DataFrame, order: list[str], n: int = 5, label: str = "label",
+                prediction: str = "prediction") -> DataFrame:
+    """The first ``n`` (prediction, truth) pairs in the given order."""
+    return pred.orderBy(*order).limit(n).select(*order, label, prediction)
 
 
 def vector_values(df: DataFrame, vec: str, out: str = "values") -> DataFrame:

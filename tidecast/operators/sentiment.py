@@ -1,13 +1,13 @@
 """Text sentiment: lexicon scoring with phrase matching and modifier context, signed-confidence scores.
 
 Lexicon scoring runs inside each row with higher-order array functions: tokens, longest-phrase match,
-covered tokens, modifier context and the per-document sums are all one projection over the document
-table. There is no explode, no shuffle and no per-document window, so a document of any length is
-scored whole in the task that reads it and the work grows linearly with the text.
+modifier context and the per-document sums are one projection over the document table, without explode,
+shuffle or window, so that a document of any length is scored whole in the task that reads it. A lexicon
+given as a table is matched by equi-joins on its terms instead, whatever its size.
 
 Scoring rules (the lexicon names classes; the weights are this package's choice):
 * tokens are lower-case ``[a-z]+`` runs; a term is 1 to K tokens; at each position the longest term
-  wins; tokens inside a matched phrase are not scored on their own;
+  wins, and the next match begins after it; a null text counts as empty;
 * ``positive`` = +1, ``negative`` = -1; a modifier in the 3 tokens before a sentiment token multiplies
   it: ``revert`` -1, ``increment`` 2, ``decrement`` 0.5;
 * ``compound = s / sqrt(s^2 + 15)``; ``pos/neg/neu`` are the shares of Σ(s+1) over positive tokens,
@@ -37,26 +37,29 @@ DEFAULT_LEXICON = (
 POLARITY = {"positive": 1.0, "negative": -1.0}
 MODIFIER = {"revert": -1.0, "increment": 2.0, "decrement": 0.5}
 CONTEXT = 3
+FOLD = 256
 ALPHA = 15.0
 
-MAX_LEXICON_TERMS = 200_000  # size bound for shipping the lexicon inside the plan
-
-
 def load_lexicon(spark, path: str) -> DataFrame:
     """Headerless ``term,class`` file."""
     return spark.read.schema("term STRING, cls STRING").csv(path)
 
 
-def lexicon_pairs(lexicon) -> list[tuple[str, str]]:
-    """Normalise a lexicon given as pairs or a DataFrame; a DataFrame is checked against the bound."""
-    if isinstance(lexicon, DataFrame):
-        rows = lexicon.select("term", "cls").limit(MAX_LEXICON_TERMS + 1).collect()
-        if len(rows) > MAX_LEXICON_TERMS:
-            raise ValueError(f"lexicon over {MAX_LEXICON_TERMS} terms; score with a join instead")
-        pairs = [(r["term"], r["cls"]) for r in rows]
-    else:
-        pairs = list(lexicon)
-    return [(" ".join(t.lower().split()), c) for t, c in pairs if t and c]
+def _term(col: Column) -> Column:
+    return F.array_join(F.filter(F.split(F.lower(col), r"\\s+"), lambda w: w != ""), " ")
+
+
+def lexicon_pairs(lexicon: Iterable[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Lower-cased terms with single blanks; of equal terms the last one counts."""
+    return list({" ".join(t.lower().split()): c for t, c in lexicon if t and t.strip() and c}.items())
+
+
+def lexicon_table(lexicon: DataFrame) -> DataFrame:
+    """(term, cls, first, n): the same normal form for a table; of equal terms the greatest class counts."""
+    t = lexicon.where("cls is not null").select(_term(F.col("term")).alias("term"), "cls").where("term <> ''")
+    t = t.groupBy("term").agg(F.max("cls").alias("cls"))
+    words = F.split("term", " ")
+    return t.select("term", "cls", F.element_at(words, 1).alias("first"), F.size(words).alias("n"))
 
 
 def _weights(cls: Column, table: dict, default: float) -> Column:
@@ -66,9 +69,23 @@ def _weights(cls: Column, table: dict, default: float) -> Column:
     return out
 
 
-def _lex_map(pairs: list[tuple[str, str]]) -> Column:
-    return F.map_from_arrays(F.array(*[F.lit(t) for t, _ in pairs]),
-                             F.array(*[F.lit(c) for _, c in pairs]))
+def _hashed_map(entries: dict) -> tuple[Column, int]:
+    """An array of small maps, an entry's map being picked by its key's hash: a look-up reads one or two
+    entries, however many there are (a map look-up is a scan of the map)."""
+    import zlib
+
+    n = max(1, len(entries))
+    slots: list[list] = [[] for _ in range(n)]
+    for k, v in entries.items():
+        slots[zlib.crc32(k.encode("utf-8")) % n].append((k, v))
+    empty = F.lit(None).cast("map<string,string>")
+    maps = [F.create_map(*[F.lit(x) for kv in s for x in kv]) if s else empty for s in slots]
+    return F.array(*maps), n
+
+
+def _look_up(table: tuple[Column, int], key: Column) -> Column:
+    maps, n = table
+    return F.element_at(F.get(maps, F.pmod(F.crc32(key.cast("binary")), F.lit(n)).cast("int")), key)
 
 
 def _ahead(arr: Column, k: int) -> Column:
@@ -76,7 +93,8 @@ def _ahead(arr: Column, k: int) -> Column:
     return F.slice(arr, k + 1, F.greatest(F.size(arr), F.lit(1)))
 
 
-HIT = "struct<pos:int,cls:string,len:int,cov:boolean,pol:double,mod:double>"
+HIT_DDL = "struct<pos:int,cls:string,len:int>"
+HIT = "struct<pos:int,cls:string,len:int,pol:double,mod:double>"
 
 
 def _behind(arr: Column, j: int, ddl: str) -> Column:
@@ -84,6 +102,56 @@ def _behind(arr: Column, j: int, ddl: str) -> Column:
     return F.concat(F.array_repeat(F.lit(None).cast(ddl), j), arr)
 
 
+def _hits_in_row(a: DataFrame, keep: list, pairs: list) -> DataFrame:
+    """(keep, n_tokens, _h): the longest match at each token, for a lexicon that travels in the plan."""
+    t = F.col("_t")
+    if not pairs:
+        return a.select(*keep, F.size(t).alias("n_tokens"), F.array().cast(f"array<{HIT_DDL}>").alias("_h"))
+    k_max = max(len(term.split()) for term, _ in pairs)
+    lex = _hashed_map(dict(pairs))
+    starts = _hashed_map({term.split()[0]: "" for term, _ in pairs})
+    z = F.arrays_zip(*[(t if k == 1 else _ahead(t, k - 1)).alias(f"w{k}") for k in range(1, k_max + 1)])
+
+    def match(x, i):
+        hits = {}
+        for k in range(1, k_max + 1):
+            gram = F.when(x[f"w{k}"].isNotNull(), F.concat_ws(" ", *[x[f"w{j}"] for j in range(1, k + 1)]))
+            hits[k] = _look_up(lex, gram)
+        cls = F.coalesce(*[hits[k] for k in range(k_max, 0, -1)])
+        length = F.lit(0)
+        for k in range(1, k_max + 1):
+            length = F.when(hits[k].isNotNull(), F.lit(k)).otherwise(length)
+        found = F.when(length > 0, F.struct(i.alias("pos"), cls.alias("cls"), length.alias("len")))
+        return F.when(_look_up(starts, x["w1"]).isNotNull(), found)
+
+    return a.select(*keep, F.size(t).alias("n_tokens"), F.array_compact(F.transform(z, match)).alias("_h"))
+
+
+def _hits_by_join(a: DataFrame, keep: list, lexicon: DataFrame) -> DataFrame:
+    """The same for a lexicon table of any size: tokens that begin some term are joined with its terms.
+
+    Tokens are first met with the lexicon's distinct first words, so that only those that can begin a
+    term carry the words after them; ``keep`` has to identify the row. The longest match at a token comes
+    from a partial maximum, and a row gathers its own matches only.
+    """
+    longest = lexicon.agg(F.max("n")).first()[0] or 1  # one number
+    t = F.col("_t")
+    sized = a.withColumn("n_tokens", F.size(t))
+    placed = a.select(*keep, F.posexplode(F.transform(
+        t, lambda w, i: F.struct(w.alias("w"), F.slice(t, i + 1, longest).alias("next")))).alias("pos", "x"))
+    first = lexicon.select(F.col("first").alias("w")).distinct()
+    able = placed.select(*keep, "pos", F.col("x.w").alias("w"), F.col("x.next").alias("next")).join(first, "w")
+    grams = able.select(*keep, "pos", F.explode(F.transform(
+        F.sequence(F.lit(1), F.size("next")), lambda n: F.array_join(F.slice("next", F.lit(1), n), " "))).alias("term"))
+    hits = grams.join(lexicon.select("term", "cls", "n"), "term").groupBy(*keep, "pos").agg(
+        F.max(F.struct("n", "cls")).alias("b"))
+    found = hits.groupBy(*keep).agg(F.sort_array(F.collect_list(F.struct(
+        F.col("pos"), F.col("b.cls").alias("cls"), F.col("b.n").alias("len")))).alias("_h"))
+    on = [sized[k].eqNullSafe(found[k]) for k in keep]
+    return sized.join(found, on, "left").select(
+        *[sized[k] for k in keep], "n_tokens", F.coalesce("_h", F.array().cast(f"array<{HIT_DDL}>")).alias("_h"))
+
+
 def lexicon_scores(docs: DataFrame, text: str = "text",
                    lexicon: Iterable[tuple[str, str]] | DataFrame = DEFAULT_LEXICON,
                    keep: Iterable[str] = ("doc_id",)) -> DataFrame:
@@ -93,61 +161,35 @@ def lexicon_scores(docs: DataFrame, text: str = "text",
     phrase lookups); covering, modifier context and sums then run over the short array of matches
     only. Neighbours are reached by zipping shifted copies, never by indexing from a lambda.
     """
-    pairs = lexicon_pairs(lexicon)
     keep = list(keep)
-    k_max = max((len(t.split()) for t, _ in pairs), default=1)
-    toks = F.array_remove(F.split(F.lower(F.col(text)), "[^a-z]+"), "")
+    toks = F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z]+"), "")
     a = docs.select(*keep, toks.alias("_t"))
-    t = F.col("_t")
-    hit_ddl = "struct<pos:int,cls:string,len:int>"
-
-    if pairs:
-        lex = _lex_map(pairs)
-        firsts = sorted({term.split()[0] for term, _ in pairs})
-        starts = F.map_from_arrays(F.array(*[F.lit(w) for w in firsts]),
-                                   F.array(*[F.lit(True) for _ in firsts]))
-        z = F.arrays_zip(*[(t if k == 1 else _ahead(t, k - 1)).alias(f"w{k}")
-                           for k in range(1, k_max + 1)])
-
-        def match(x, i):
-            hits = {}
-            for k in range(1, k_max + 1):
-                gram = F.when(x[f"w{k}"].isNotNull(),
-                              F.concat_ws(" ", *[x[f"w{j}"] for j in range(1, k + 1)]))
-                hits[k] = F.element_at(lex, gram)
-            cls = F.coalesce(*[hits[k] for k in range(k_max, 0, -1)])
-            length = F.lit(0)
-            for k in range(1, k_max + 1):
-                length = F.when(hits[k].isNotNull(), F.lit(k)).otherwise(length)
-            found = F.when(length > 0, F.struct(i.alias("pos"), cls.alias("cls"),
-                                                length.alias("len")))
-            return F.when(F.element_at(starts, x["w1"]).isNotNull(), found)
-
-        b = a.select(*keep, F.size(t).alias("n_tokens"),
-                     F.array_compact(F.transform(z, match)).alias("_h"))
+    if isinstance(lexicon, DataFrame):
+        b = _hits_by_join(a, keep, lexicon_table(lexicon))
     else:
-        b = a.select(*keep, F.size(t).alias("n_tokens"),
-                     F.array().cast(f"array<{hit_ddl}>").alias("_h"))
-
-    # covered: inside an earlier match's phrase (only the K-1 earlier matches can reach this far)
-    h = F.col("_h")
-    zc = F.slice(F.arrays_zip(h.alias("c"), *[_behind(h, j, hit_ddl).alias(f"p{j}")
-                                               for j in range(1, k_max)]), 1, F.size(h))
-
-    def mark(x):
-        cov = F.lit(False)
-        for j in range(1, k_max):
-            p = x[f"p{j}"]
-            cov = cov | F.coalesce(p["pos"] + p["len"] > x["c"]["pos"], F.lit(False))
-        c = x["c"]
-        return F.struct(c["pos"].alias("pos"), c["cls"].alias("cls"), c["len"].alias("len"),
-                        cov.alias("cov"),
-                        F.when(cov, F.lit(0.0)).otherwise(_weights(c["cls"], POLARITY, 0.0))
-                        .alias("pol"),
-                        F.when(cov, F.lit(1.0)).otherwise(_weights(c["cls"], MODIFIER, 1.0))
-                        .alias("mod"))
-
-    c = b.select(*keep, "n_tokens", F.transform(zc, mark).alias("_m"))
+        b = _hits_in_row(a, keep, lexicon_pairs(lexicon))
+
+    # leftmost-longest: a match that begins inside the last match taken is dropped, and covers nothing
+    def take(acc, x):
+        return F.when(x["pos"] >= acc["end"], F.struct(
+            (x["pos"] + x["len"]).alias("end"), F.concat(acc["m"], F.array(x)).alias("m"))).otherwise(acc)
+
+    none = F.array().cast(f"array<{HIT_DDL}>")
+
+    def take_block(acc, block):
+        # a fold copies what it has taken at each step, so it runs over blocks of fixed length
+        part = F.aggregate(block, F.struct(acc["end"].alias("end"), none.alias("m")), take)
+        return F.element_at(F.transform(F.array(part), lambda p: F.struct(
+            p["end"].alias("end"), F.concat(acc["m"], p["m"]).alias("m"))), 1)
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("_h") - 1) / FOLD).cast("int")),
+                         lambda k: F.slice("_h", k * FOLD + 1, F.lit(FOLD)))
+    # matches come in order; only texts with phrases of several words can hold overlapping ones
+    taken = F.when(F.exists("_h", lambda x: x["len"] > 1), F.aggregate(
+        blocks, F.struct(F.lit(0).alias("end"), none.alias("m")), take_block, lambda acc: acc["m"])).otherwise(F.col("_h"))
+    c = b.select(*keep, "n_tokens", F.transform(taken, lambda x: F.struct(
+        x["pos"].alias("pos"), x["cls"].alias("cls"), x["len"].alias("len"),
+        _weights(x["cls"], POLARITY, 0.0).alias("pol"), _weights(x["cls"], MODIFIER, 1.0).alias("mod"))).alias("_m"))
 
     # score: polarity x modifiers of matches in the CONTEXT tokens before (non-matches weigh 1)
     m = F.col("_m")
@@ -172,14 +214,8 @@ def lexicon_scores(docs: DataFrame, text: str = "text",
     n = total(lambda y: F.when(y < 0, 1 - y).otherwise(0.0))
     n_pos = F.size(F.filter("_s", lambda y: y > 0))
     n_neg = F.size(F.filter("_s", lambda y: y < 0))
-    # tokens inside phrases (union of the ranges pos+1 .. pos+len-1 of all matches)
-    covered = F.aggregate(
-        "_m", F.struct(F.lit(-1).alias("end"), F.lit(0).alias("n")),
-        lambda acc, x: F.struct(
-            F.greatest(acc["end"], x["pos"] + x["len"] - 1).alias("end"),
-            (acc["n"] + F.greatest(F.lit(0), x["pos"] + x["len"] - 1
-                                   - F.greatest(x["pos"] + 1, acc["end"] + 1) + 1)).alias("n")),
-        lambda acc: acc["n"])
+    # tokens inside phrases after the first
+    covered = F.aggregate("_m", F.lit(0), lambda acc, x: acc + x["len"] - 1)
     e = d.select(*keep, "n_tokens", s.alias("s"), p.alias("p"), n.alias("n"),
                  n_pos.alias("n_pos"), n_neg.alias("n_neg"), covered.alias("n_cov"))
     z0 = (F.col("n_tokens") - F.col("n_cov") - F.col("n_pos") - F.col("n_neg")).cast("double")
@@ -210,16 +246,20 @@ def signed_confidence(annotated: DataFrame, key: str = "doc_id") -> DataFrame:
     """Per key: Σ sign(label) × confidence, its mean over sentences, and unknown-label count.
 
     ``annotated`` has one row per sentence: key, idx (1-based), label, confidence (text). Unknown
-    labels weigh 0 and are counted; unparseable confidences count as sentences with no weight.
-    Products are summed as DECIMAL(20,6) so the total does not depend on summation order.
+    labels weigh 0 and are counted; confidences that are no number, or too large for DECIMAL(20,6),
+    count as sentences with no weight and in ``n_bad_confidence``. Products are summed as decimals, so the
+    total does not depend on summation order. ``details`` lists the sentences in order.
     """
     w = F.lit(0.0)
     for lab, v in LABEL_WEIGHT.items():
         w = F.when(F.col("label") == lab, F.lit(v)).otherwise(w)
     conf = F.col("confidence").try_cast("double")
-    contrib = F.coalesce((w * conf).cast("decimal(20,6)"), F.lit(0).cast("decimal(20,6)"))
+    exact = (w * conf).try_cast("decimal(20,6)")
+    contrib = F.coalesce(exact, F.lit(0).cast("decimal(20,6)"))
     g = annotated.groupBy(key).agg(
         F.sum(contrib).cast("double").alias("score"), F.count(F.lit(1)).alias("n_sentences"),
-        F.sum(F.when(F.col("label").isin(*LABEL_WEIGHT), 0).otherwise(1)).alias("n_unknown"))
+        F.sum(F.when(F.col("label").isin(*LABEL_WEIGHT), 0).otherwise(1)).alias("n_unknown"),
+        F.sum(F.when(exact.isNull(), 1).otherwise(0)).alias("n_bad_confidence"),
+        F.sort_array(F.collect_list(F.struct("idx", "label", "confidence"))).alias("details"))
     return g.withColumn("normalized_score",
                         F.when(F.col("n_sentences") > 0, F.col("score") / F.col("n_sentences")))

@@ -24,12 +24,33 @@ _DROP = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
 _P_OPEN = r"(?i)<p(?:\s[^>]*)?>"
 _CUT = r"(?is)</?(?:" + _BLOCK_TAGS + r")\b.*$"
 
-# fixed values: character references decoded in paragraph text; &amp; is decoded last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-            ("&nbsp;", " "), ("&amp;", "&"))
+# fixed values: named character references decoded in paragraph text; &amp; is decoded last.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "),
+            ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&lsquo;", "‘"), ("&rsquo;", "’"),
+            ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"), ("&bull;", "•"),
+            ("&middot;", "·"), ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"), ("&euro;", "€"),
+            ("&pound;", "£"), ("&cent;", "¢"), ("&yen;", "¥"), ("&deg;", "°"), ("&times;", "×"),
+            ("&eacute;", "é"), ("&egrave;", "è"), ("&agrave;", "à"), ("&ccedil;", "ç"), ("&uuml;", "ü"),
+            ("&ouml;", "ö"), ("&auml;", "ä"), ("&szlig;", "ß"), ("&ntilde;", "ñ"), ("&amp;", "&"))
+NUMERIC = r"^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"  # what follows &# in a numeric reference
+MAX_CODE = 0x10FFFF
+
+
+def _numeric(piece: Column) -> Column:
+    """The text after ``&#``: a numeric reference becomes its character, anything else stays."""
+    ref = F.regexp_extract(piece, NUMERIC, 1)
+    hexed = F.lower(F.substring(ref, 1, 1)) == "x"
+    n = F.when(hexed, F.conv(F.substring(ref, 2, 6), 16, 10)).otherwise(ref).try_cast("int")
+    fine = (ref != "") & n.between(1, MAX_CODE) & ~n.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    return F.when(F.coalesce(fine, F.lit(False)), F.concat(char, F.regexp_replace(piece, NUMERIC, ""))).otherwise(
+        F.concat(F.lit("&#"), piece))
 
 
 def decode_entities(c: Column) -> Column:
+    pieces = F.split(c, "&#", -1)
+    c = F.when(F.instr(c, "&#") == 0, c).otherwise(F.concat(
+        F.element_at(pieces, 1), F.array_join(F.transform(F.slice(pieces, 2, 1 << 30), _numeric), "")))
     for ent, ch in ENTITIES:
         c = F.replace(c, F.lit(ent), F.lit(ch))
     return c
@@ -50,11 +71,16 @@ def paragraph_texts(html: Column) -> Column:
 
 
 def page_text(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Paragraph text of each page joined with single spaces; the fixed fallback when empty."""
+    """Paragraph text of each page joined with single spaces; the fixed fallback when empty.
+
+    ``status`` is ``error`` for a page that was not fetched (null), ``empty`` for one without paragraph
+    text, else ``ok``; only ``ok`` texts are for scoring.
+    """
     joined = F.array_join(paragraph_texts(F.col(html)), " ")
     return pages.select(
         "*", F.coalesce(F.nullif(joined, F.lit("")), F.lit(NO_CONTENT)).alias("text"),
-        F.when(joined == "", F.lit("empty")).otherwise(F.lit("ok")).alias("status")
+        F.when(F.col(html).isNull(), F.lit("error")).when(joined == "", F.lit("empty"))
+         .otherwise(F.lit("ok")).alias("status")
     ).drop(html)
 
 
@@ -111,7 +137,7 @@ def search(articles: DataFrame, company: str, lang: str = "en", page_size: int =
               .withColumn("score", relevance(F.col("text"), q))
               .where(F.col("score") > 0))
     return (scored.orderBy(F.col("score").desc(), F.col("doc_id").asc()).limit(page_size)
-            .select("doc_id", "title", F.substring("text", 1, 200).alias("description"), "url",
+            .select("doc_id", "title", F.regexp_extract("text", r"^[^\n]*", 0).alias("description"), "url",
                     "score"))
 
 

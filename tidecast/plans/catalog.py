@@ -171,6 +171,7 @@ SQL_WRITES = """writes AS (
   SELECT 'cust_' || CAST(o_custkey AS VARCHAR) AS key,
          CASE WHEN o_orderstatus = 'F'
               THEN '{"orderkey": ' || CAST(o_orderkey AS VARCHAR) || ', "status": "F"}'
+              WHEN o_orderstatus = 'P' THEN '{"orderkey": ' || CAST(o_orderkey AS VARCHAR) || '} trailing'
               ELSE 'raw-' || CAST(o_orderkey AS VARCHAR) END AS value,
          o_orderdate AS written_at, o_orderkey AS seq,
          CASE WHEN o_orderpriority = '1-URGENT' THEN CAST(trunc(o_totalprice) AS BIGINT) END
@@ -185,6 +186,14 @@ probe AS (SELECT 'cust_' || CAST(c_custkey AS VARCHAR) AS key, c_mktsegment FROM
 UPSERT_SPLIT = "1998-01-01 00:00:00"
 TTL_AS_OF = "2000-01-01 00:00:00"
 
+# the store as of a time: the latest write up to it, gone when its time to live has passed
+SQL_LIVE = SQL_WRITES + f""",
+live AS (
+  SELECT key, value, written_at FROM (
+    SELECT *, row_number() OVER (PARTITION BY key ORDER BY written_at DESC, seq DESC) AS rn
+    FROM writes WHERE written_at <= TIMESTAMP '{TTL_AS_OF}')
+  WHERE rn = 1 AND (ttl_seconds IS NULL OR written_at + to_seconds(ttl_seconds) > TIMESTAMP '{TTL_AS_OF}'))"""
+
 
 def _writes(spark, sf):
     return T.kv_writes(spark, sf)
@@ -208,16 +217,16 @@ def q_kv_upsert_latest(spark, sf):
 
 
 @query("kv_lookup", f"""
-WITH {SQL_WRITES}
+WITH {SQL_LIVE}
 SELECT p.key, s.value IS NOT NULL AS found, s.value,
        coalesce(json_valid(s.value), false) AS is_json,
        CASE WHEN json_valid(s.value)
             THEN CAST(CAST(json_extract_string(s.value, '$.orderkey') AS BIGINT) AS DOUBLE)
        END AS orderkey,
        CASE WHEN json_valid(s.value) THEN json_extract_string(s.value, '$.status') END AS status
-FROM probe p LEFT JOIN store s USING (key)""")
+FROM probe p LEFT JOIN live s USING (key)""")
 def q_kv_lookup(spark, sf):
-    store = KV.state(_writes(spark, sf))
+    store = KV.state(_writes(spark, sf), TTL_AS_OF)
     r = KV.lookup(store, _probe(spark, sf), "orderkey BIGINT, status STRING")
     return r.select("key", "found", "value", "is_json",
                     F.col("parsed.orderkey").cast("double").alias("orderkey"),
@@ -225,20 +234,23 @@ def q_kv_lookup(spark, sf):
 
 
 @query("kv_exists", f"""
-WITH {SQL_WRITES}
-SELECT key FROM probe p WHERE EXISTS (SELECT 1 FROM store s WHERE s.key = p.key)""")
+WITH {SQL_LIVE}
+SELECT key FROM probe p WHERE EXISTS (SELECT 1 FROM live s WHERE s.key = p.key)""")
 def q_kv_exists(spark, sf):
-    return KV.exists(KV.state(_writes(spark, sf)), _probe(spark, sf)).select("key")
+    return KV.exists(KV.state(_writes(spark, sf), TTL_AS_OF), _probe(spark, sf)).select("key")
 
 
 @query("kv_delete", f"""
-WITH {SQL_WRITES}
-SELECT key, value, written_at FROM store s
-WHERE NOT EXISTS (SELECT 1 FROM probe p WHERE p.key = s.key AND p.c_mktsegment = 'AUTOMOBILE')""")
+WITH {SQL_LIVE},
+dels AS (SELECT DISTINCT key FROM probe WHERE c_mktsegment = 'AUTOMOBILE')
+SELECT s.key, CASE WHEN d.key IS NULL THEN value END AS value,
+       CASE WHEN d.key IS NULL THEN written_at END AS written_at, d.key IS NOT NULL AS removed
+FROM live s LEFT JOIN dels d ON d.key = s.key""")
 def q_kv_delete(spark, sf):
     dels = _probe(spark, sf).where(F.col("c_mktsegment") == "AUTOMOBILE")
-    remaining, _ = KV.delete(KV.state(_writes(spark, sf)), dels)
-    return remaining.select("key", "value", "written_at")
+    remaining, removed = KV.delete(KV.state(_writes(spark, sf), TTL_AS_OF), dels)
+    return remaining.select("key", "value", "written_at", F.lit(False).alias("removed")).unionByName(
+        removed.select("key", F.lit(True).alias("removed")), allowMissingColumns=True)
 
 
 @query("kv_ttl_live", f"""
@@ -372,6 +384,12 @@ _BLOCK_SQL = X._BLOCK_TAGS
 
 
 def _sql_entities(x: str) -> str:
+    code = ("CASE WHEN lower(p[1]) = 'x' THEN TRY_CAST('0' || regexp_extract(p, '^([xX][0-9a-fA-F]{1,6});', 1) AS INTEGER) "
+            "ELSE TRY_CAST(regexp_extract(p, '^([0-9]{1,7});', 1) AS INTEGER) END")
+    fine = f"coalesce({code} BETWEEN 1 AND {X.MAX_CODE} AND NOT {code} BETWEEN 55296 AND 57343, false)"
+    x = (f"list_reduce(list_transform(string_split({x}, '&#'), lambda p, i: CASE WHEN i = 1 THEN p "
+         f"WHEN {fine} THEN chr({code}) || regexp_replace(p, '{X.NUMERIC}', '') ELSE '&#' || p END), "
+         "lambda a, b: a || b)")
     for ent, ch in X.ENTITIES:
         ch_sql = ch.replace("'", "''")
         x = f"replace({x}, '{ent}', '{ch_sql}')"
@@ -386,7 +404,7 @@ b AS (SELECT page_id, url, list_filter(list_transform(string_split_regex(h, '(?i
        '\\s+', ' ', 'g'))), lambda x: x <> '') AS ps FROM a),
 c AS (SELECT page_id, url, array_to_string(ps, ' ') AS j FROM b)
 SELECT page_id, url, coalesce(nullif(j, ''), '{X.NO_CONTENT}') AS text,
-       CASE WHEN j = '' THEN 'empty' ELSE 'ok' END AS status FROM c"""
+       CASE WHEN j IS NULL THEN 'error' WHEN j = '' THEN 'empty' ELSE 'ok' END AS status FROM c"""
 
 
 @query("page_paragraph_text", SQL_PAGE_TEXT)
@@ -408,7 +426,7 @@ SEARCH_START, SEARCH_END = "2024-01-01 00:00:00", "2024-02-01 00:00:00"
 
 @query("news_search", f"""
 WITH {SQL_ARTICLES},
-s AS (SELECT doc_id, title, substring(text, 1, 200) AS description, url,
+s AS (SELECT doc_id, title, regexp_extract(text, '^[^\\n]*', 0) AS description, url,
              CAST(len(list_filter(list_filter(string_split_regex(lower(text), '[^a-z]+'),
                                               lambda t: t <> ''),
                                   lambda t: t IN ('{SEARCH_COMPANY}', 'stock'))) AS INTEGER) AS score
@@ -469,7 +487,7 @@ PROBE_LEXICON = (
     ("with", "positive"), ("by", "positive"), ("for", "positive"), ("the", "positive"),
     ("from", "negative"), ("was", "negative"), ("at", "negative"), ("the the the the", "negative"),
     ("this", "revert"), ("of the", "revert"), ("are", "increment"), ("the the the", "increment"),
-    ("as", "decrement"),
+    ("as", "decrement"), ("in the", "positive"), ("the of the", "negative"),
 )
 
 
@@ -479,8 +497,8 @@ def _sql_values(pairs) -> str:
 
 SQL_LEXICON = f"""
 WITH lex(term, cls) AS (VALUES {_sql_values(PROBE_LEXICON)}),
-d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda t: t <> '') AS toks
-      FROM documents WHERE lang = 'en'),
+d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z]+'), lambda t: t <> '') AS toks
+      FROM documents),
 tok AS (SELECT doc_id, unnest(range(len(toks))) AS pos, unnest(toks) AS w FROM d),
 g AS (SELECT doc_id, pos, w,
              w || ' ' || lead(w, 1) OVER o AS w2,
@@ -492,10 +510,16 @@ m AS (SELECT g.doc_id, g.pos, coalesce(l4.cls, l3.cls, l2.cls, l1.cls) AS cls,
                   WHEN l2.cls IS NOT NULL THEN 2 WHEN l1.cls IS NOT NULL THEN 1 ELSE 0 END AS len
       FROM g LEFT JOIN lex l1 ON l1.term = g.w LEFT JOIN lex l2 ON l2.term = g.w2
              LEFT JOIN lex l3 ON l3.term = g.w3 LEFT JOIN lex l4 ON l4.term = g.w4),
-c AS (SELECT doc_id, pos, cls,
-             coalesce(lag(len, 1) OVER o > 1, false) OR coalesce(lag(len, 2) OVER o > 2, false)
-               OR coalesce(lag(len, 3) OVER o > 3, false) AS cov
-      FROM m WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+h AS (SELECT doc_id, list({{'p': pos, 'l': len}} ORDER BY pos) AS hs FROM m WHERE len > 0 GROUP BY doc_id),
+-- walk over the hits: take one when it begins at or after the end of the last one taken
+k AS (SELECT doc_id, list_reduce(hs, lambda acc, x: CASE WHEN x.p >= acc[-1].p + acc[-1].l
+                                                         THEN acc || [x] ELSE acc END,
+                                 [{{'p': CAST(-1 AS BIGINT), 'l': 1}}])[2:] AS taken FROM h),
+tk AS (SELECT doc_id, unnest(taken).p AS p, unnest(taken).l AS l FROM k),
+inner_ AS (SELECT DISTINCT doc_id, p + o AS pos FROM tk, range(1, 4) t(o) WHERE o < l),
+c AS (SELECT m.doc_id, m.pos, CASE WHEN tk.p IS NOT NULL THEN m.cls END AS cls, i.pos IS NOT NULL AS cov
+      FROM m LEFT JOIN tk ON tk.doc_id = m.doc_id AND tk.p = m.pos
+             LEFT JOIN inner_ i ON i.doc_id = m.doc_id AND i.pos = m.pos),
 f AS (SELECT doc_id, pos, cov,
              CASE WHEN cov THEN 0.0 WHEN cls = 'positive' THEN 1.0 WHEN cls = 'negative' THEN -1.0
                   ELSE 0.0 END AS pol,
@@ -526,8 +550,14 @@ FROM r"""
 
 @query("lexicon_sentiment", SQL_LEXICON)
 def q_lexicon_sentiment(spark, sf):
-    d = T.table(spark, sf, "documents").where(F.col("lang") == "en")
-    return SN.lexicon_scores(d, "text", PROBE_LEXICON)
+    return SN.lexicon_scores(T.table(spark, sf, "documents"), "text", PROBE_LEXICON)
+
+
+@query("lexicon_table_sentiment", SQL_LEXICON)
+def q_lexicon_table_sentiment(spark, sf):
+    """The same scores with the lexicon as a table: matched by joins instead of inside the plan."""
+    lexicon = spark.createDataFrame(list(PROBE_LEXICON), "term STRING, cls STRING")
+    return SN.lexicon_scores(T.table(spark, sf, "documents"), "text", lexicon)
 
 
 def _annotations(spark, sf):
@@ -564,16 +594,20 @@ def q_zip_shortest(spark, sf):
 @query("signed_confidence", f"""
 WITH {SQL_ANNOTATIONS},
 g AS (SELECT doc_id,
-             CAST(sum(coalesce(CAST((CASE label WHEN 'positive' THEN 1.0 WHEN 'negative' THEN -1.0
+             CAST(sum(coalesce(TRY_CAST((CASE label WHEN 'positive' THEN 1.0 WHEN 'negative' THEN -1.0
                   ELSE 0.0 END) * TRY_CAST(confidence AS DOUBLE) AS DECIMAL(20, 6)), 0)) AS DOUBLE)
                AS score,
+             count(*) FILTER (TRY_CAST((CASE label WHEN 'positive' THEN 1.0 WHEN 'negative' THEN -1.0
+                  ELSE 0.0 END) * TRY_CAST(confidence AS DOUBLE) AS DECIMAL(20, 6)) IS NULL) AS n_bad_confidence,
+             string_agg(idx || ':' || label || ':' || confidence, ';' ORDER BY idx) AS details,
              count(*) AS n_sentences,
              CAST(sum(CASE WHEN label IN ('positive', 'negative') THEN 0 ELSE 1 END) AS BIGINT)
                AS n_unknown
       FROM ann GROUP BY doc_id)
 SELECT *, score / n_sentences AS normalized_score FROM g""")
 def q_signed_confidence(spark, sf):
-    return SN.signed_confidence(_annotations(spark, sf))
+    line = F.transform("details", lambda d: F.concat_ws(":", d["idx"], d["label"], d["confidence"]))
+    return SN.signed_confidence(_annotations(spark, sf)).withColumn("details", F.concat_ws(";", line))
 
 
 # ---------------------------------------------------------------- dimension, runs, time alignment
@@ -628,16 +662,24 @@ def q_slot_calendar(spark, sf):
                                        "slot", "trigger_type", "run_ts")
 
 
+# Stand-in ticker -> company mapping joining the test tables' tickers to article sources.
+NEWS_DIM = (("click", "src0"), ("view", "src1"), ("purchase", "src2"), ("error", "src3"),
+            ("signup", "src4"))
+
+
 @query("run_news_interval", f"""
-WITH {SQL_CAL}, {SQL_ARTICLES}
-SELECT c.run_ts, c.slot, a.doc_id, a.company, a.published_at
-FROM cal c JOIN arts a ON a.published_at >= c.run_ts - INTERVAL 25 HOUR
-                      AND a.published_at < c.run_ts - INTERVAL 24 HOUR
-WHERE c.trigger_type = 'hourly_prediction'""")
+WITH {SQL_CAL}, {SQL_ARTICLES}, dim(ticker, company) AS (VALUES {_sql_values(NEWS_DIM)}),
+runs AS (SELECT ticker, company, run_ts, slot FROM cal, dim WHERE trigger_type = 'hourly_prediction')
+SELECT r.ticker, r.run_ts, r.slot, a.doc_id, a.company, a.published_at
+FROM runs r JOIN arts a ON a.company = r.company AND a.published_at >= r.run_ts - INTERVAL 25 HOUR
+                       AND a.published_at < r.run_ts - INTERVAL 24 HOUR""")
 def q_run_news_interval(spark, sf):
-    runs = _calendar(spark, sf).where(F.col("trigger_type") == TR.HOURLY).select("run_ts", "slot")
+    pairs = F.explode(F.array(*[F.struct(F.lit(t).alias("ticker"), F.lit(c).alias("company"))
+                                for t, c in NEWS_DIM]))
+    runs = (_calendar(spark, sf).where(F.col("trigger_type") == TR.HOURLY)
+            .select("run_ts", "slot", pairs.alias("d")).select("run_ts", "slot", "d.ticker", "d.company"))
     arts = T.articles(spark, sf).select("doc_id", "company", "published_at")
-    return J.interval_join(runs, arts, "run_ts", "published_at", 25, 24)
+    return J.interval_join(runs, arts, "run_ts", "published_at", 25, 24, keys=["company"])
 
 
 @query("run_asof_bar", f"""
@@ -718,6 +760,7 @@ def q_trigger_message(spark, sf):
 WITH {SQL_MSG},
 inbox AS (SELECT topic, CAST(value AS VARCHAR) AS value FROM msg
           UNION ALL SELECT 'hourly_topic', props FROM events WHERE event_type <> 'error'
+          UNION ALL SELECT topic, CAST(value AS VARCHAR) || ' xx' FROM msg
           UNION ALL SELECT 'other_topic', 'not json ' || props FROM events WHERE event_type = 'error'),
 v AS (SELECT topic, value, coalesce(json_valid(value), false) AS ok FROM inbox),
 x AS (SELECT topic, value, ok,
@@ -735,6 +778,7 @@ def q_message_parse(spark, sf):
     inbox = (_messages(spark, sf).select("topic", "value")
              .unionByName(e.where(F.col("event_type") != "error")
                           .select(F.lit("hourly_topic").alias("topic"), F.col("props").alias("value")))
+             .unionByName(_messages(spark, sf).select("topic", F.concat("value", F.lit(" xx")).alias("value")))
              .unionByName(e.where(F.col("event_type") == "error")
                           .select(F.lit("other_topic").alias("topic"),
                                   F.concat(F.lit("not json "), "props").alias("value"))))
@@ -926,11 +970,6 @@ def q_assemble(spark, sf):
                     F.aggregate(f, F.lit(0.0), lambda acc, x: acc + x).alias("f_sum"))
 
 
-# Stand-in ticker -> company mapping joining the test tables' tickers to article sources.
-NEWS_DIM = (("click", "src0"), ("view", "src1"), ("purchase", "src2"), ("error", "src3"),
-            ("signup", "src4"))
-
-
 def _split_windows(spark, sf):
     sw = W.sequence_windows(_hourly(spark, sf)).withColumn("features", array_to_vector("seq"))
     return sw.withColumn("is_test", ML.is_test(
@@ -963,25 +1002,18 @@ def q_daily_training(spark, sf):
 @query("senti_regression")
 def q_senti_regression(spark, sf):
     models, _ = _trained(spark, sf)
-    bars = JB.hourly_bars(spark, sf)
-    hist = bars.select("ticker", F.col("bar_ts").alias("run_ts"), F.col("close").alias("target"))
-    rows = JB.feature_rows(JB.forecast(models.forecaster, JB.run_windows(bars, hist)), None)
-    wide = JB.to_wide(rows.where("valid"))
-    feats = [f"v{i}" for i in range(1, 65)]
-    z = ML.assemble(ML.standardize_apply(wide, models.scaler), feats)
-    return models.senti.transform(z).select("ticker", "run_ts", F.col("v65").alias("target"),
-                                            "prediction")
+    wide = JB.history_rows(spark, sf, FE.ticker_dim(spark, NEWS_DIM), models.forecaster)
+    z = ML.scaled_vector(wide, models.scaler, JB.FEATS)
+    return models.senti.transform(z).select("ticker", "run_ts", F.col("v65").alias("target"), "prediction")
 
 
 @query("predict_rows")
 def q_predict_rows(spark, sf):
     models, _ = _trained(spark, sf)
-    r = FE.rolling_values(_hourly(spark, sf), FE.ROW_WIDTH)
-    c = FE.check_rows(r, "vals").where("valid")
-    wide = c.select("ticker", "bar_ts", *[F.element_at("vals", i).alias(f"v{i}")
-                                          for i in range(1, 65)])
-    z = ML.assemble(ML.standardize_apply(wide, models.scaler), [f"v{i}" for i in range(1, 65)])
-    return models.senti.transform(z).select("ticker", "bar_ts", "prediction")
+    dim = FE.ticker_dim(spark, NEWS_DIM)
+    wide = JB.history_rows(spark, sf, dim, models.forecaster).drop(JB.TARGET)
+    z = ML.scaled_vector(wide, models.scaler, JB.FEATS)
+    return models.senti.transform(z).select("ticker", "run_ts", "prediction")
 
 
 @query("hourly_predictions")
@@ -991,8 +1023,107 @@ def q_hourly_predictions(spark, sf):
     return JB.hourly_predict(spark, sf, models, dim)
 
 
+class LastValue:
+    """A forecaster in closed form: the last value of the window comes again."""
+
+    def transform(self, df):
+        return df.withColumn("prediction", F.element_at(vector_to_array("features"), FE.SEQ_LEN))
+
+
+class FixedWeights:
+    """A second model in closed form: fixed weights on the forecast and the news score."""
+
+    def transform(self, df):
+        f = vector_to_array("features")
+        return df.withColumn("prediction", F.element_at(f, 61) / 1000 + F.element_at(f, 62) / 4).drop("features")
+
+
+CLOSED_FORM = JB.Models(LastValue(), FixedWeights(), {f"v{k}": (0.0, 1.0) for k in range(1, 65)})
+
+
+@query("hourly_store", f"""
+WITH {SQL_CAL}, {SQL_ARTICLES}, {sql_bars('hour')},
+dim(ticker, company) AS (VALUES {_sql_values(NEWS_DIM)}),
+days_of AS (SELECT DISTINCT ticker, CAST((bar_ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS DATE) AS ny_date
+            FROM bars),
+runs AS (SELECT d.ticker, c.slot, c.run_ts, m.company FROM days_of d JOIN cal c USING (ny_date)
+         LEFT JOIN dim m USING (ticker) WHERE c.trigger_type = 'hourly_prediction'),
+win AS (SELECT ticker, bar_ts, close, count(*) OVER (PARTITION BY ticker ORDER BY bar_ts ROWS 59 PRECEDING) AS n FROM bars),
+matched AS (SELECT r.*, w.close, coalesce(w.n, 0) AS n FROM runs r ASOF LEFT JOIN win w
+         ON r.ticker = w.ticker AND r.run_ts > w.bar_ts),
+news AS (SELECT r.ticker, r.run_ts, count(*) / 10 AS score FROM runs r JOIN arts a ON a.company = r.company
+           AND a.published_at >= r.run_ts - INTERVAL 25 HOUR AND a.published_at < r.run_ts - INTERVAL 24 HOUR
+         GROUP BY 1, 2),
+p AS (SELECT x.ticker, x.run_ts, x.slot, n = 60 AS fine, close,
+             close / 1000 + coalesce(score, 0) / 4 AS senti FROM matched x LEFT JOIN news USING (ticker, run_ts))
+SELECT ticker, run_ts, slot, CASE WHEN fine THEN 'ok' ELSE 'short_window' END AS status,
+       CASE WHEN fine THEN floor(close * 1e6 + 0.5) / 1e6 END AS algo,
+       CASE WHEN fine THEN floor(senti * 1e6 + 0.5) / 1e6 END AS senti_out,
+       CASE WHEN fine THEN floor((close + senti / 10) * 1e6 + 0.5) / 1e6 END AS predicted,
+       CASE WHEN fine THEN strftime((run_ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York', '%Y-%m-%d')
+                           || '_' || slot || '_' || ticker END AS key
+FROM p""")
+def q_hourly_store(spark, sf):
+    """The whole hourly chain, through the store, with models in closed form."""
+    dim = FE.ticker_dim(spark, NEWS_DIM)
+    runs = FE.runs_for(JB.hourly_bars(spark, sf))
+    arts = T.articles(spark, sf).select("company", "doc_id", "published_at")
+    with_dim = FE.with_company(runs.select("ticker", "run_ts"), dim)
+    scores = J.interval_join(with_dim, arts, "run_ts", "published_at", 25, 24, keys=["company"]).groupBy(
+        "ticker", "run_ts").agg((F.count("*") / 10).alias("lex_score"))
+    done = JB.hourly_predict(spark, sf, CLOSED_FORM, dim, runs, scores)
+    store = JB.store_results(None, done)
+    out = done.join(store.select("key", F.col("value").alias("stored")), "key", "left")
+    return out.select("ticker", "run_ts", "slot", F.when(
+        (F.col("status") == "ok") & (F.col("stored") != F.col("value")), "not_stored").otherwise(
+            F.col("status")).alias("status"), *[_round6(F.col(c)).alias(c) for c in ("algo", "senti_out", "predicted")], "key")
+
+
 @query("sentence_classifier")
 def q_sentence_classifier(spark, sf):
     docs = T.table(spark, sf, "documents")
     model = CL.fit(docs, T.table(spark, sf, "labels"))
-    return SN.signed_confidence(CL.annotate(model, docs))
+    return SN.signed_confidence(CL.annotate(model, docs)).drop("details")
+
+
+# ---------------------------------------------------------------- CSV sources and sink
+
+from ..session import scratch_path  # noqa: E402
+from ..sources import csv as CSV  # noqa: E402
+
+HISTORY_AS_OF = "2001-08-01 00:00:00"
+
+
+def _fresh(spark, name: str) -> str:
+    import uuid
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+@query("price_csv_scan", """
+SELECT upper(replace(o_orderpriority, ' ', '_')) AS ticker, o_orderdate AS ts, o_totalprice AS price FROM orders""")
+def q_price_csv_scan(spark, sf):
+    """Daily prices written as CSV, one folder per series, and read back with names from the paths."""
+    path = _fresh(spark, "price-csv")
+    file = F.concat(F.lower(F.replace("ticker", F.lit(" "), F.lit("_"))), F.lit(".daily.csv"))
+    (T.daily_prices(spark, sf).select(F.col("ts").alias("Date"), F.col("price").alias("Close"),
+                                      F.lit(1).alias("Volume"), file.alias("file"))
+     .write.option("header", True).partitionBy("file").csv(path))
+    return CSV.read_prices(spark, path)
+
+
+@query("wide_csv_scan", f"WITH {SQL_WIDE_TEXT}, {SQL_WIDE_CAST} SELECT * FROM wcast")
+def q_wide_csv_scan(spark, sf):
+    path = _fresh(spark, "wide-csv")
+    _wide_text(spark, sf).write.option("header", True).csv(path)
+    return ML.wide_cast(CSV.read_wide(spark, path).withColumn("id", F.col("id").cast("bigint")))
+
+
+@query("price_csv_sink", f"""
+SELECT o_orderdate AS "Date", o_totalprice AS "Close", 'AAPL' AS "Ticker" FROM orders
+WHERE o_orderdate >= TIMESTAMP '{HISTORY_AS_OF}' - INTERVAL {int(CSV.HISTORY_DAYS * 24)} HOUR
+  AND o_orderdate <= TIMESTAMP '{HISTORY_AS_OF}'""")
+def q_price_csv_sink(spark, sf):
+    path = _fresh(spark, "history-csv")
+    CSV.write_price_history(T.daily_prices(spark, sf), path, HISTORY_AS_OF, "aapl")
+    return spark.read.option("header", True).schema(
+        "Date TIMESTAMP_NTZ, Close DOUBLE, Ticker STRING").csv(path)

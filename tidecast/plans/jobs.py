@@ -22,10 +22,13 @@ from ..operators import features as FE
 from ..operators import kv as KV
 from ..operators import ml as ML
 from ..operators import sentiment as SN
+from ..operators import text as X
 from ..operators import windows as W
 from ..operators.bars import resample, scale_expr, unscale_expr
 from ..operators.joins import asof_latest, interval_join
+from ..session import written
 from ..sources import tables as T
+from ..streaming import triggers as TR
 
 SEQ = FE.SEQ_LEN
 AUX = ("algo", "lex_score", "ml_score", "llm_score")
@@ -43,28 +46,38 @@ def hourly_bars(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def news_scores(spark: SparkSession, sf: str, runs: DataFrame, dim: DataFrame,
-                per_run: int = 1, lexicon=SN.DEFAULT_LEXICON) -> DataFrame:
-    """(ticker, run_ts) -> lexicon compound of the first ``per_run`` articles of the ticker's
-    company published in [run - 25h, run - 24h); runs without news get no row."""
+                per_run: int = 1, lexicon=SN.DEFAULT_LEXICON, lang: str | None = "en",
+                keyword: str | None = None) -> DataFrame:
+    """(ticker, run_ts) -> mean lexicon compound of the first ``per_run`` articles of the ticker's company
+    published in [run - 25h, run - 24h), in order of relevance to ``keyword`` if one is given, then newest
+    first; runs without news get no row.
+
+    Each article is scored once, where it lies; only ids, times and scores are joined.
+    """
     r = FE.with_company(runs.select("ticker", "run_ts"), dim).where(F.col("company").isNotNull())
-    arts = T.articles(spark, sf).where(F.col("lang") == "en").select(
-        "company", "doc_id", "published_at", "title", "text")
-    j = interval_join(r, arts, "run_ts", "published_at", 25, 24, keys=["company"])
-    w = Window.partitionBy("ticker", "run_ts").orderBy(F.col("published_at").desc(),
-                                                       F.col("doc_id").desc())
+    arts = T.articles(spark, sf)
+    if lang:
+        arts = arts.where(F.col("lang") == lang)
+    hits = X.relevance(F.col("text"), f"{keyword} stock") if keyword else F.lit(0)
+    arts = arts.select("company", "doc_id", "published_at", hits.alias("hits"),
+                       F.concat("title", "text").alias("body"))
+    if keyword:
+        arts = arts.where("hits > 0")
+    scored = SN.lexicon_scores(arts, "body", lexicon, keep=("company", "doc_id", "published_at", "hits")).select(
+        "company", "doc_id", "published_at", "hits", "compound")
+    j = interval_join(r, scored, "run_ts", "published_at", 25, 24, keys=["company"])
+    w = Window.partitionBy("ticker", "run_ts").orderBy(
+        F.col("hits").desc(), F.col("published_at").desc(), F.col("doc_id").desc())
     top = j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_run)
-    txt = top.groupBy("ticker", "run_ts").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "title", "text"))),
-                                 lambda a: F.concat(a["title"], a["text"])), "").alias("news_text"))
-    sc = SN.lexicon_scores(txt, "news_text", lexicon, keep=("ticker", "run_ts"))
-    return sc.select("ticker", "run_ts", F.col("compound").alias("lex_score"))
+    return top.groupBy("ticker", "run_ts").agg(F.avg("compound").alias("lex_score"))
 
 
 def run_windows(bars: DataFrame, runs: DataFrame) -> DataFrame:
-    """Each run with the 60 closes ending at the latest bar strictly before it (and their range)."""
+    """Each run with the 60 closes ending at the latest bar strictly before it (and their range); a run
+    without so many has a NULL window."""
     at = asof_latest(runs, bars.select("ticker", "bar_ts"), "ticker", "run_ts", "bar_ts", [])
     win = W.window_sequences(bars).select("ticker", "bar_ts", "seq", "mn", "mx")
-    return at.join(win, ["ticker", "bar_ts"])
+    return at.join(win, ["ticker", "bar_ts"], "left")
 
 
 def forecast(model, rows: DataFrame) -> DataFrame:
@@ -72,7 +85,7 @@ def forecast(model, rows: DataFrame) -> DataFrame:
     # Filters may be merged and reordered around the model's predict function, so its input is
     # made full width on every row (short rows, dropped later, get zeros) instead of relying on
     # an earlier size filter having run first.
-    full = F.size("seq") == SEQ
+    full = F.coalesce(F.size("seq") == SEQ, F.lit(False))
     vals = F.transform("seq", lambda x: scale_expr(x, F.col("mn"), F.col("mx")))
     scaled = rows.withColumn("features", array_to_vector(
         F.when(full, vals).otherwise(F.array_repeat(F.lit(0.0), SEQ))))
@@ -105,66 +118,181 @@ def to_wide(rows: DataFrame, keep=("ticker", "run_ts"), target: str | None = "ta
     return rows.select(*keep, *cols, *extra)
 
 
+TARGET = f"v{FE.ROW_WIDTH + 1}"
+FEATS = [f"v{i}" for i in range(1, FE.ROW_WIDTH + 1)]
+
+
+def history_rows(spark: SparkSession, sf: str, dim: DataFrame, forecaster) -> DataFrame:
+    """Wide training rows: every bar is a run at its own start, its close the target (v65)."""
+    bars = hourly_bars(spark, sf)
+    hist = bars.select("ticker", F.col("bar_ts").alias("run_ts"), F.col("close").alias("target"))
+    rows = feature_rows(forecast(forecaster, written(run_windows(bars, hist), "history-windows")),
+                        written(news_scores(spark, sf, hist, dim), "history-scores"))
+    # the check's result is read from a table: filtering on its long expression would be inferred through
+    # every column built on it
+    return to_wide(written(rows.select("ticker", "run_ts", "target", "features", "valid"), "history-rows").where("valid"))
+
+
+def fit_senti(wide: DataFrame, kind: str = "linear", fit_on_all: bool = False):
+    """(model, scaler, metrics) of the second model. All 65 columns are standardised, the target too, so
+    the output is a small signed number of standard deviations that the blend adds a tenth of."""
+    train = ~F.col("is_test")
+    scaler = ML.standardize_fit(wide if fit_on_all else wide.where(train), [*FEATS, TARGET])
+    mean, std = scaler[TARGET]
+    z = written(ML.scaled_vector(wide, scaler, FEATS).select("features", "is_test", (
+        (F.col(TARGET) - F.lit(mean)) / F.lit(std) if std else F.lit(0.0)).alias("label")), "train-vectors")
+    model = ML.fit(z.where(train), kind)
+    return model, scaler, ML.evaluate(model.transform(z.where(F.col("is_test"))))
+
+
 def daily_train(spark: SparkSession, sf: str, dim: DataFrame, kind: str = "linear",
-                register: bool = False, fit_on_all: bool = False):
+                register: bool | str = False, fit_on_all: bool = False, wide: DataFrame | None = None):
     """Fit both models; returns (Models, metrics DataFrame). ``fit_on_all`` scales with statistics
-    of all rows (the pipeline's behaviour) instead of the training rows only."""
+    of all rows (the pipeline's behaviour) instead of the training rows only. ``wide`` replaces the rows
+    of the second model, e.g. a wide CSV file cast to numbers. ``register`` saves both models, with
+    metrics and scaler, in the registry (a string names its folder)."""
     bars = hourly_bars(spark, sf)
-    sw = W.sequence_windows(bars).withColumn("features", array_to_vector("seq"))
+    sw = W.sequence_windows(bars)
+    sw = sw.withColumn("features", array_to_vector("seq"))  # one model for all tickers, on scaled series
     test = ML.is_test(F.concat_ws("|", "ticker", F.col("bar_ts").cast("string")))
-    # the training tables feed several jobs (fits, scaler, evaluation): materialise them once in the
-    # shared checkpoint folder so each job reads a plain scan instead of recomputing the lineage
-    sw = sw.withColumn("is_test", test).checkpoint()
+    # the training tables feed several jobs (fits, scaler, evaluation): write them once to the shared
+    # folder so each job reads a plain scan instead of recomputing the lineage
+    sw = written(sw.withColumn("is_test", test), "train-windows")
     forecaster = ML.fit(sw.where(~F.col("is_test")), kind)
     m1 = ML.evaluate(forecaster.transform(sw.where(F.col("is_test"))))
-
-    # history: every bar is a run at its own start; the target is that bar's close
-    hist = bars.select("ticker", F.col("bar_ts").alias("run_ts"), F.col("close").alias("target"))
-    rows = forecast(forecaster, run_windows(bars, hist))
-    rows = feature_rows(rows, news_scores(spark, sf, hist, dim)).where("valid")
-    wide = to_wide(rows).withColumn("is_test", ML.is_test(
-        F.concat_ws("|", "ticker", F.col("run_ts").cast("string")))).checkpoint()
-    feats = [f"v{i}" for i in range(1, FE.ROW_WIDTH + 1)]
-    scaler = ML.standardize_fit(wide if fit_on_all else wide.where(~F.col("is_test")), feats)
-    z = ML.assemble(ML.standardize_apply(wide, scaler), feats).withColumnRenamed(
-        f"v{FE.ROW_WIDTH + 1}", "label")
-    senti = ML.fit(z.where(~F.col("is_test")), kind)
-    m2 = ML.evaluate(senti.transform(z.where(F.col("is_test"))))
+    if wide is None:
+        wide = history_rows(spark, sf, dim, forecaster).withColumn("is_test", ML.is_test(
+            F.concat_ws("|", "ticker", F.col("run_ts").cast("string"))))
+    elif "is_test" not in wide.columns:
+        wide = wide.withColumn("is_test", ML.is_test(F.concat_ws("|", *wide.columns)))
+    senti, scaler, m2 = fit_senti(written(wide, "train-rows"), kind, fit_on_all)
     metrics = (m1.withColumn("model", F.lit("forecaster"))
                .unionByName(m2.withColumn("model", F.lit("senti"))))
+    models = Models(forecaster, senti, scaler)
     if register:
-        from ..operators import registry
-        registry.save(spark, forecaster, "forecaster")
-        registry.save(spark, senti, "senti")
-    return Models(forecaster, senti, scaler), metrics
+        save_models(spark, models, metrics, None if register is True else register)
+    return models, metrics
+
+
+def save_models(spark: SparkSession, models: Models, metrics: DataFrame, root: str | None = None) -> None:
+    from ..operators import registry
+
+    told = {(r["model"], r["metric"]): r["value"] for r in metrics.collect()}  # eight numbers
+    of = lambda name: {m: v for (n, m), v in told.items() if n == name and v is not None}
+    scale = {}
+    for c, (mean, std) in models.scaler.items():
+        scale |= {f"mean:{c}": mean or 0.0, f"std:{c}": std or 0.0}
+    registry.save(spark, models.forecaster, "forecaster", of("forecaster"), root)
+    registry.save(spark, models.senti, "senti", of("senti") | scale, root)
+
+
+def load_models(spark: SparkSession, loader, root: str | None = None) -> Models:
+    """The newest registered models and their scaler; ``loader`` is the models' class."""
+    from ..operators import registry
+
+    told = registry.latest(spark, "senti", root)["metrics"]
+    scaler = {k[5:]: (v, told[f"std:{k[5:]}"]) for k, v in told.items() if k.startswith("mean:")}
+    return Models(registry.load(spark, "forecaster", loader, root),
+                  registry.load(spark, "senti", loader, root), scaler)
 
 
 def hourly_predict(spark: SparkSession, sf: str, models: Models, dim: DataFrame,
-                   runs: DataFrame | None = None) -> DataFrame:
-    """Blended predictions and store writes for every run (default: every hourly slot of every
-    date with bars)."""
+                   runs: DataFrame | None = None, scores: DataFrame | None = None) -> DataFrame:
+    """Blended predictions and store writes, one row for every run (default: every hourly slot of every
+    date with bars). A run that cannot be scored keeps its row: ``status`` says why, predictions are NULL.
+    """
     bars = hourly_bars(spark, sf)
     runs = FE.runs_for(bars) if runs is None else runs
-    rows = forecast(models.forecaster, run_windows(bars, runs))
-    rows = feature_rows(rows, news_scores(spark, sf, runs, dim))
-    valid = rows.where("valid")
-    feats = [f"v{i}" for i in range(1, FE.ROW_WIDTH + 1)]
-    wide = to_wide(valid, keep=("ticker", "run_ts", "slot", "algo", "llm_missing"), target=None)
-    z = ML.assemble(ML.standardize_apply(wide, models.scaler), feats)
+    rows = forecast(models.forecaster, written(run_windows(bars, runs), "run-windows"))
+    if scores is None:
+        scores = news_scores(spark, sf, runs, dim)
+    rows = written(feature_rows(rows, scores).select(
+        "ticker", "run_ts", "slot", "algo", "llm_missing", "features", "valid", "reason"), "run-rows")
+    rejected = rows.where(~F.col("valid")).select("ticker", "run_ts", "slot", "llm_missing", F.when(
+        F.size("features").isNull() | (F.col("reason") == "wrong_length"), "short_window").otherwise(
+            F.col("reason")).alias("status"))
+    wide = to_wide(rows.where("valid"), keep=("ticker", "run_ts", "slot", "algo", "llm_missing"), target=None)
+    z = ML.scaled_vector(wide, models.scaler, FEATS).drop(*FEATS)
     pred = models.senti.transform(z).withColumnRenamed("prediction", "senti_out")
     payload = S.payload_struct(F.col("ticker"), F.col("slot"), F.col("algo"), F.col("senti_out"))
-    return pred.select(
+    done = pred.select(
         "ticker", "run_ts", "slot", "algo", "senti_out", "llm_missing",
         S.blend(F.col("algo"), F.col("senti_out")).alias("predicted"),
         S.result_key(F.col("run_ts"), F.col("slot"), F.col("ticker")).alias("key"),
-        F.to_json(payload).alias("value"))
+        F.to_json(payload).alias("value"), F.lit("ok").alias("status"))
+    return done.unionByName(rejected, allowMissingColumns=True)
+
+
+def runs_of_messages(messages: DataFrame, bars: DataFrame) -> DataFrame:
+    """The runs that parsed hourly messages ask for: their slot's time, for every ticker with bars."""
+    at = F.to_timestamp(F.get_json_object("value", "$.scheduled_time_ny_iso"))
+    utc = messages.select(F.col("slot_friendly").alias("slot"), F.to_timestamp_ntz(
+        F.date_format(at, "yyyy-MM-dd HH:mm:ss")).alias("run_ts")).where("run_ts is not null").distinct()
+    tickers = bars.select("ticker").distinct()
+    # a message is for every ticker; messages of a batch are few and keyed alike to stay an equi-join
+    return tickers.withColumn("_k", F.lit(1)).join(utc.withColumn("_k", F.lit(1)), "_k").select(
+        "ticker", F.to_date(S.ny_local(F.col("run_ts"))).alias("ny_date"), "slot", "run_ts")
+
+
+def handlers(spark: SparkSession, sf: str, dim: DataFrame, models, store: str, registry_root: str | None = None):
+    """Topic -> function of (parsed messages, batch id): hourly messages predict and store their runs,
+    daily ones train and register. ``models`` is a function that gives the current models."""
+    def hourly(messages: DataFrame, batch_id: int) -> None:
+        if messages.isEmpty():
+            return
+        runs = runs_of_messages(messages, hourly_bars(spark, sf))
+        upsert_version(spark, store, results_as_writes(hourly_predict(spark, sf, models(), dim, runs)), batch_id)
+
+    def daily(messages: DataFrame, batch_id: int) -> None:
+        if not messages.isEmpty():
+            daily_train(spark, sf, dim, register=registry_root or True)
+
+    return {TR.TOPICS[TR.HOURLY]: hourly, TR.TOPICS[TR.DAILY]: daily}
+
+
+STORE_SCHEMA = "key STRING, value STRING, written_at TIMESTAMP_NTZ, seq BIGINT, ttl_seconds BIGINT"
+
+
+def read_store(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """The newest version of a stored table (older than ``before``); an empty one if there is none."""
+    versions = spark.read.schema("batch_id BIGINT").json(f"{path}/versions", recursiveFileLookup=True) \
+        if _exists(spark, f"{path}/versions") else None
+    if versions is not None and before is not None:
+        versions = versions.where(F.col("batch_id") < before)
+    newest = versions.agg(F.max("batch_id")).first()[0] if versions is not None else None
+    if newest is None:
+        return spark.createDataFrame([], STORE_SCHEMA)
+    return spark.read.schema(STORE_SCHEMA).parquet(f"{path}/data/{newest}")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def upsert_version(spark: SparkSession, path: str, writes: DataFrame, batch_id: int) -> None:
+    """Merge a batch of writes: the version before it plus the batch becomes version ``batch_id``.
+
+    A replayed batch rebuilds its own version from the one before, so results are stored once. A version
+    counts only after its entry is written.
+    """
+    merged = KV.upsert(read_store(spark, path, batch_id), writes)
+    merged.write.mode("overwrite").parquet(f"{path}/data/{batch_id}")
+    spark.range(1).select(F.lit(batch_id).cast("bigint").alias("batch_id")).coalesce(1).write.mode(
+        "overwrite").json(f"{path}/versions/{batch_id}")
+
+
+def results_as_writes(predictions: DataFrame) -> DataFrame:
+    """Store writes of the scored runs."""
+    return predictions.where("status = 'ok'").select(
+        "key", "value", F.col("run_ts").alias("written_at"), F.xxhash64("key", "run_ts").alias("seq"),
+        F.lit(None).cast("bigint").alias("ttl_seconds"))
 
 
 def store_results(store: DataFrame | None, predictions: DataFrame) -> DataFrame:
     """Upsert the run results into the keyed store (latest write per key wins)."""
-    writes = predictions.select("key", "value", F.col("run_ts").alias("written_at"),
-                                F.xxhash64("key", "run_ts").alias("seq"),
-                                F.lit(None).cast("bigint").alias("ttl_seconds"))
+    writes = results_as_writes(predictions)
     if store is None:
         return KV.latest_per_key(writes, "key", "written_at", "seq")
     return KV.upsert(store, writes)

@@ -42,8 +42,9 @@ def daily_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def published_at(doc_id: Column) -> Column:
+    minutes = doc_id.cast("bigint") * ARTICLE_SPACING_MINUTES
     return (F.lit(ARTICLE_ORIGIN).cast("timestamp_ntz")
-            + F.make_dt_interval(mins=(doc_id * ARTICLE_SPACING_MINUTES).cast("int")))
+            + F.make_dt_interval(days=F.floor(minutes / 1440).cast("int"), mins=(minutes % 1440).cast("int")))
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,14 +65,16 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kv_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log of keyed writes: key, value, written_at, seq, ttl_seconds (NULL = no expiry).
 
-    Each order is one write of its customer's key; finished orders carry a JSON value, others a
-    plain string, and orders of the 1-URGENT priority are written with a time-to-live.
+    Each order is one write of its customer's key; finished orders carry a JSON value, partly filled ones
+    JSON with trailing text, others a plain string, and orders of the 1-URGENT priority are written with a time-to-live.
     """
     o = table(spark, sf_dir, "orders")
     value = F.when(
         F.col("o_orderstatus") == "F",
         F.concat(F.lit('{"orderkey": '), F.col("o_orderkey").cast("string"),
                  F.lit(', "status": "F"}'))
+    ).when(F.col("o_orderstatus") == "P", F.concat(
+        F.lit('{"orderkey": '), F.col("o_orderkey").cast("string"), F.lit("} trailing"))
     ).otherwise(F.concat(F.lit("raw-"), F.col("o_orderkey").cast("string")))
     ttl = F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_totalprice").cast("bigint"))
     return o.select(

@@ -2,9 +2,9 @@
 
 * ``trigger_messages`` - clock stream -> slot match (stream-static join with the 9-row slot table) ->
   first fire per (type, date, slot) with ``dropDuplicatesWithinWatermark`` -> topic + JSON value.
-* ``write_messages``   - Kafka sink when the connector is on the class path, else a JSON file sink
-  partitioned by topic; both checkpointed in the shared folder, so a restart neither loses nor
-  repeats a slot.
+* ``write_messages``   - Kafka sink when servers are given (without the connector that raises), else a
+  JSON file sink partitioned by topic; both checkpointed in the shared folder, so a restart neither
+  loses nor repeats a slot.
 * ``route``            - ``foreachBatch`` router: parse, quarantine bad rows, call one handler per
   topic; a failing handler is recorded and does not stop the stream.
 * ``stream_bars``      - event-time hourly bars with a watermark, appended when a window closes.
@@ -49,13 +49,19 @@ def kafka_available(spark: SparkSession) -> bool:
         return False
 
 
+def need_kafka(spark: SparkSession) -> None:
+    if not kafka_available(spark):
+        raise RuntimeError("Kafka servers were given, but the Kafka connector is not on the class path")
+
+
 def write_messages(msgs: DataFrame, name: str, path: str | None = None,
                    kafka_servers: str | None = None, checkpoint: str | None = None):
     """Start the sink query; returns the StreamingQuery. Exactly-once per slot via checkpointing."""
     spark = msgs.sparkSession
     ckpt = checkpoint or scratch_path(spark, f"streams/{name}/checkpoint")
     out = msgs.select("topic", "value")
-    if kafka_servers and kafka_available(spark):
+    if kafka_servers:
+        need_kafka(spark)
         w = (out.writeStream.format("kafka").option("kafka.bootstrap.servers", kafka_servers)
              .option("checkpointLocation", ckpt))
     else:
@@ -68,7 +74,8 @@ def write_messages(msgs: DataFrame, name: str, path: str | None = None,
 def read_messages(spark: SparkSession, path: str | None = None, kafka_servers: str | None = None,
                   topics: tuple[str, ...] = tuple(TR.TOPICS.values())) -> DataFrame:
     """Two-topic source from the earliest offset (Kafka) or the JSON folders of ``write_messages``."""
-    if kafka_servers and kafka_available(spark):
+    if kafka_servers:
+        need_kafka(spark)
         return (spark.readStream.format("kafka").option("kafka.bootstrap.servers", kafka_servers)
                 .option("subscribe", ",".join(topics)).option("startingOffsets", "earliest")
                 .load().select("topic", F.col("value").cast("string").alias("value")))
@@ -87,7 +94,7 @@ def route(handlers: dict[str, Handler], quarantine: str, status_log: str | None
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        parsed = TR.parse_messages(batch)
+        parsed = TR.parse_messages(batch).persist()  # read once for the quarantine and every route
         bad = parsed.where(F.col("status") != "ok")
         bad.write.mode("overwrite").parquet(os.path.join(quarantine, f"batch_id={batch_id}"))
         results = []
@@ -98,7 +105,8 @@ def route(handlers: dict[str, Handler], quarantine: str, status_log: str | None
                 results.append((batch_id, topic, "ok", None))
             except Exception as e:  # noqa: BLE001 - one failed route must not stop the stream
                 results.append((batch_id, topic, "failed", "".join(
-                    traceback.format_exception_only(type(e), e))[:2000]))
+                    traceback.format_exception_only(type(e), e))))
+        parsed.unpersist()
         if status_log:
             spark = batch.sparkSession
             (spark.createDataFrame(results, "batch_id LONG, topic STRING, status STRING, "
@@ -118,3 +126,10 @@ def stream_bars(ticks: DataFrame, width: str = "1 hour", watermark: str = WATERM
         F.count(F.lit(1)).alias("n_ticks"))
     return g.select("ticker", F.col("w.start").cast("timestamp_ntz").alias("bar_ts"), "open",
                     "high", "low", "close", "n_ticks")
+
+
+def count_late(rows: DataFrame, seen_until: str, ts: str = "ts", watermark: str = WATERMARK) -> DataFrame:
+    """How many rows come too late: older than the newest event time seen before them by more than the
+    watermark's delay. For ``foreachBatch`` before the stateful step, which drops such rows silently."""
+    limit = F.expr(f"TIMESTAMP_NTZ '{seen_until}' - INTERVAL {watermark}")
+    return rows.agg(F.count(F.when(F.col(ts) < limit, 1)).alias("n_late"))

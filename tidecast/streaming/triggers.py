@@ -89,20 +89,14 @@ def message(fired: DataFrame, ts: str = "ts") -> DataFrame:
 
 
 def parse_messages(msgs: DataFrame, value: str = "value") -> DataFrame:
-    """Decode messages; ``status`` says ok / bad_json / missing_trigger_type / unexpected_topic.
-
-    ``from_json`` turns unparseable text into a struct of NULLs (not a NULL struct), so JSON validity
-    is tested separately.
-    """
+    """Decode messages; ``status`` says ok / bad_json / missing_trigger_type / unexpected_topic."""
     text = F.col(value).cast("string")
-    parsed = F.from_json(text, MESSAGE_SCHEMA)
-    ok_json = F.get_json_object(text, "$").isNotNull()
-    m = msgs.withColumn("_m", parsed)
-    status = (F.when(~F.coalesce(ok_json, F.lit(False)), F.lit("bad_json"))
+    m = msgs.withColumn("_p", S.strict_json(text, f"struct<{MESSAGE_SCHEMA}>")).withColumn("_m", F.col("_p.v"))
+    status = (F.when(~F.col("_p.ok"), F.lit("bad_json"))
               .when(F.col("_m.trigger_type").isNull(), F.lit("missing_trigger_type"))
               .when(~F.col("topic").isin(*TOPICS.values()), F.lit("unexpected_topic"))
               .otherwise(F.lit("ok")))
     return m.select(
         "*", F.col("_m.trigger_type").alias("trigger_type"),
-        S.json_field_or_default(text, "scheduled_time_ny_friendly").alias("slot_friendly"),
-        status.alias("status")).drop("_m")
+        F.coalesce("_m.scheduled_time_ny_friendly", F.lit("N/A")).alias("slot_friendly"),
+        status.alias("status")).drop("_m", "_p")
