@@ -17,6 +17,7 @@ slice is a slice of its own; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import array
 import base64
 import functools
 import itertools
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 from .common import table
 from .kernels import ranges, span_hash
 
-CACHE_PIECES = 600_000
+CACHE_PIECES = 200_000
 SLICE_BYTES = 2_000_000
 
 
@@ -118,7 +119,7 @@ class Encoder:
         self._forget()
 
     def _forget(self):
-        self.known, self.flat, self.count = {}, [], []
+        self.known, self.flat, self.count = {}, array.array("I"), array.array("I")
 
     def _learn(self, keys, pieces: list[str]) -> None:
         for i in range(0, len(pieces), 256):
@@ -126,8 +127,8 @@ class Encoder:
             mapped = [p.encode("utf-8").decode("latin-1").translate(self.alphabet) for p in some]
             e = self.tokenizer.encode(mapped, is_pretokenized=True, add_special_tokens=False)
             self.known.update(zip(keys[i:i + 256], range(len(self.count), len(self.count) + len(some))))
-            self.flat += e.ids
-            self.count += np.bincount(e.word_ids, minlength=len(some)).tolist()
+            self.flat.extend(e.ids)
+            self.count.extend(np.bincount(e.word_ids, minlength=len(some)).tolist())
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
