@@ -28,7 +28,7 @@ from .common import materialise, table
 
 SAMPLE = 8192
 GRAPH_NEIGHBOURS = 16
-PART_ROWS = 1024
+PART_ROWS = 4096
 MAX_PARTS = 64
 CHUNK = 4096
 HIDDEN = 64
