@@ -64,16 +64,19 @@ def features(data: list[bytes]):
     return (key >> np.uint64(BITS)).astype(np.int64), (key & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
-def _feature_batches(batches):
-    for b in batches:
-        out = []
-        for at, to, data in slices(b.column("text").to_pylist(), SLICE_BYTES):
-            text_of, bucket = features(data)
-            cut = np.searchsorted(text_of, np.arange(1, to - at))
-            out += [x.astype("<u4").tobytes() for x in np.split(bucket, cut)]
-        keep = [c for c in b.schema.names if c != "text"]
-        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(out, pa.binary())],
-                                         names=[*keep, "features"])
+def _pack(rows: pa.Table) -> pa.Table:
+    """One shard of the bounded sample as one row: the examples in a fixed order."""
+    order = np.lexsort([np.asarray(rows.column(c)) for c in ("text_hash", "id_hash")])
+    rows = rows.take(pa.array(order))
+    found = []
+    for at, to, data in slices(rows.column("text").to_pylist(), SLICE_BYTES):
+        text_of, bucket = features(data)
+        found += np.split(bucket.astype("<u4"), np.searchsorted(text_of, np.arange(1, to - at)))
+    return pa.table({
+        "shard": rows.column("shard").slice(0, 1),
+        "toxic": pa.array([rows.column("toxic").to_numpy().astype("<f8").tobytes()], pa.binary()),
+        "counts": pa.array([np.array([len(f) for f in found], "<i8").tobytes()], pa.binary()),
+        "features": pa.array([np.concatenate(found).tobytes()], pa.binary())})
 
 
 def weights_of(z: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -98,29 +101,18 @@ def learn(examples, z: np.ndarray, n: np.ndarray, epochs: int = EPOCHS) -> None:
 
 
 def _learn_batches(batches, state):
-    """Rows come ordered by shard; one shard's examples are held at a time."""
-    def done(shard, examples):
-        z, n = (x.copy() for x in state.value)
-        learn(examples, z, n)
-        for k in range(0, len(z), PART):
-            if n[k:k + PART].any():
-                yield k // PART, z[k:k + PART].tobytes(), n[k:k + PART].tobytes()
-
-    def emit(rows):
-        cols = list(zip(*rows)) or [(), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()),
-                                           pa.array(cols[2], pa.binary())], names=["part", "z", "n"])
-
-    now, examples = None, []
+    """Each row is a whole shard; one shard's examples are held at a time."""
     for b in batches:
-        for shard, label, feats in zip(*(b.column(c).to_pylist() for c in ("shard", "toxic", "features"))):
-            if shard != now and examples:
-                yield emit(list(done(now, examples)))
-                examples = []
-            now = shard
-            examples.append((np.frombuffer(feats, "<u4").astype(np.int64), label))
-    if examples:
-        yield emit(list(done(now, examples)))
+        for toxic, counts, feats in zip(*(b.column(c) for c in ("toxic", "counts", "features"))):
+            cut = np.cumsum(np.frombuffer(counts.as_py(), "<i8"))[:-1]
+            found = np.split(np.frombuffer(feats.as_py(), "<u4").astype(np.int64), cut)
+            z, n = (x.astype(np.float64) for x in state.value)
+            learn(list(zip(found, np.frombuffer(toxic.as_py(), "<f8").tolist())), z, n)
+            used = [k for k in range(0, len(z), PART) if n[k:k + PART].any()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k // PART for k in used], pa.int32()),
+                 pa.array([z[k:k + PART].astype("<f4").tobytes() for k in used], pa.binary()),
+                 pa.array([n[k:k + PART].astype("<f4").tobytes() for k in used], pa.binary())], names=["part", "z", "n"])
 
 
 def _sum_batches(batches):
@@ -128,8 +120,8 @@ def _sum_batches(batches):
     for b in batches:
         for part, z, n in zip(*(b.column(c).to_pylist() for c in ("part", "z", "n"))):
             now = total.setdefault(part, [0.0, 0.0])
-            now[0] = now[0] + np.frombuffer(z)
-            now[1] = now[1] + np.frombuffer(n)
+            now[0] = now[0] + np.frombuffer(z, "<f4").astype(np.float64)
+            now[1] = now[1] + np.frombuffer(n, "<f4").astype(np.float64)
     yield pa.RecordBatch.from_arrays(
         [pa.array(list(total), pa.int32()), pa.array([v[0].tobytes() for v in total.values()], pa.binary()),
          pa.array([v[1].tobytes() for v in total.values()], pa.binary())], names=["part", "z", "n"])
@@ -144,21 +136,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
               .orderBy(F.xxhash64("__id"), "__id").limit(max_labelled))
     rows = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("text")).join(
         F.broadcast(chosen), "__id")  # at most max_labelled ids
-    rows = rows.select("__id", F.pmod(F.xxhash64("__id"), F.lit(SHARDS)).cast("int").alias("shard"), "toxic", "text")
-    kind = docs.schema[id_col].dataType.simpleString()
-    examples = materialise(rows.mapInArrow(
-        _feature_batches, f"__id {kind}, shard int, toxic double, features binary"), "toxic-features")
+    rows = rows.select(F.pmod(F.xxhash64("__id"), F.lit(SHARDS)).cast("int").alias("shard"), "toxic", "text",
+                       F.xxhash64("__id").alias("id_hash"), F.xxhash64("text").alias("text_hash"))
+    examples = materialise(rows.groupBy("shard").applyInArrow(
+        _pack, "shard int, toxic binary, counts binary, features binary"), "toxic-features")
     z, n = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
-    dealt = examples.repartition(SHARDS, "shard").sortWithinPartitions("shard", F.xxhash64("__id"), "__id", "features")
-    n_shards = examples.select("shard").distinct().count()
+    n_shards = examples.count()
     for _ in range(ROUNDS if n_shards else 0):
-        state = spark.sparkContext.broadcast((z, n))
-        parts = (dealt.mapInArrow(lambda it: _learn_batches(it, state), "part int, z binary, n binary")
+        state = spark.sparkContext.broadcast((z.astype(np.float32), n.astype(np.float32)))
+        parts = (examples.select("toxic", "counts", "features").mapInArrow(lambda it: _learn_batches(it, state), "part int, z binary, n binary")
                  .repartition(SHARDS, "part").mapInArrow(_sum_batches, "part int, z binary, n binary"))
         z, n = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
         for r in parts.collect():  # the coordinates' sums: a fixed number of them, whatever the data
             at = slice(r["part"] * PART, r["part"] * PART + PART)
             z[at], n[at] = np.frombuffer(r["z"]) / n_shards, np.frombuffer(r["n"]) / n_shards
+        state.destroy()
     w = weights_of(z[:-1], n[:-1])
     kept = np.flatnonzero(w)
     bias = START_BIAS - z[-1] / ((BETA + np.sqrt(n[-1])) / ALPHA)
