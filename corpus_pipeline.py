@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidecast.llm import bpe, forest, mixing, quality, ship_by_value, units
+from tidecast.llm import bpe, forest, mixing, passages, quality, ship_by_value, units
 from tidecast.llm.common import materialise, table
 
 ship_by_value()
@@ -24,8 +24,10 @@ def drop_near_copies(spark, docs, sf_dir):
 
 
 def drop_repeated_units(spark, docs, sf_dir):
-    """Lines and sentences that stand in an earlier place go; the text's length follows."""
-    cut = units.dedup_units(docs)
+    """Lines and sentences that stand in an earlier place go, then passages that do, wherever they begin and
+    however short their sentences; the text's length follows."""
+    cut = materialise(units.dedup_units(docs).select(*[F.col(f"`{c}`") for c in docs.columns]), "unit-cut")
+    cut = passages.dedup_passages(cut)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut.select(*[F.col(f"`{c}`") for c in docs.columns])
