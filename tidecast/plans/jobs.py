@@ -228,10 +228,11 @@ def runs_of_messages(messages: DataFrame, bars: DataFrame) -> DataFrame:
     at = F.to_timestamp(F.get_json_object("value", "$.scheduled_time_ny_iso"))
     utc = messages.select(F.col("slot_friendly").alias("slot"), F.to_timestamp_ntz(
         F.date_format(at, "yyyy-MM-dd HH:mm:ss")).alias("run_ts")).where("run_ts is not null").distinct()
-    tickers = bars.select("ticker").distinct()
-    # a message is for every ticker; messages of a batch are few and keyed alike to stay an equi-join
-    return tickers.withColumn("_k", F.lit(1)).join(utc.withColumn("_k", F.lit(1)), "_k").select(
-        "ticker", F.to_date(S.ny_local(F.col("run_ts"))).alias("ny_date"), "slot", "run_ts")
+    # a message is for every ticker; a batch has few distinct slots, so they travel as one literal array
+    slots = F.array(*[F.struct(F.lit(r["slot"]).alias("slot"), F.lit(r["at"]).alias("run_ts"))
+                      for r in utc.select("slot", F.col("run_ts").cast("string").alias("at")).collect()]).cast("array<struct<slot:string,run_ts:timestamp_ntz>>")
+    runs = bars.select("ticker").distinct().select("ticker", F.explode(slots).alias("_s")).select("ticker", "_s.*")
+    return runs.select("ticker", F.to_date(S.ny_local(F.col("run_ts"))).alias("ny_date"), "slot", "run_ts")
 
 
 def handlers(spark: SparkSession, sf: str, dim: DataFrame, models, store: str, registry_root: str | None = None):
