@@ -149,12 +149,13 @@ class Router:
         return self
 
 
-def fit(vectors: DataFrame, k: int = K, sample_size: int = SAMPLE, target: float = TARGET_RECALL):
+def fit(vectors: DataFrame, k: int = K, sample_size: int = SAMPLE, target: float = TARGET_RECALL,
+        part_rows: int = PART_ROWS):
     """(router, parts to probe) from at most ``sample_size`` of the (id, v) rows."""
     spark = vectors.sparkSession
     total = vectors.count()
     chosen = vectors.orderBy(F.xxhash64("id"), "id").limit(sample_size).toPandas()  # bounded by sample_size
-    parts = int(min(MAX_PARTS, max(1, total // PART_ROWS), max(1, len(chosen) // (2 * k))))
+    parts = int(min(MAX_PARTS, max(1, total // part_rows), max(1, len(chosen) // (2 * k))))
     if parts == 1 or len(chosen) <= k:
         dim = len(chosen["v"].iloc[0]) if len(chosen) else 0
         return Router(dim, 1), 1
