@@ -1,10 +1,10 @@
-"""N-gram Jaccard join with a MinHash LSH forest.
+"""N-gram Jaccard join with MinHash prefix groups.
 
 A text is the set of its shingles of ``WORDS`` words (a text of fewer words has one shingle, all of them).
 Texts with equal sets form one class, with one representative. Each of ``TREES`` trees labels a
-representative with a sequence of MinHash values; sorted labels are a prefix trie. Matching starts at the
-full depth and shortens the prefix until the chance of a pair at the threshold to meet in some tree
-reaches ``TARGET_RECALL``. Representatives that share such a prefix are compared exactly, by the sizes of
+representative with a sequence of MinHash values. The prefix that has to agree is fixed in advance: the longest
+for which the chance of a pair at the threshold to meet in some tree reaches ``TARGET_RECALL`` (3 values at
+0.8); a threshold too low for any raises. Representatives that share such a prefix are compared exactly, by the sizes of
 their shingle sets' intersections.
 
 No pairs are emitted. A prefix group is cut into cells of at most two blocks of ``CELL`` members, whatever
@@ -49,6 +49,8 @@ def prefix_depth(threshold: float, trees: int = TREES, target: float = TARGET_RE
     depth = MAX_DEPTH
     while depth > 1 and 1 - (1 - threshold ** depth) ** trees < target:
         depth -= 1
+    if 1 - (1 - threshold ** depth) ** trees < target:
+        raise ValueError(f"{trees} trees miss the recall of {target} at threshold {threshold} even at depth 1")
     return depth
 
 
