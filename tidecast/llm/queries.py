@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, forest, langid, lpf, mixing, quality, ship_by_value, toxicity, units, warc
+from . import ann, bpe, forest, langid, lpf, manifest, mixing, quality, ship_by_value, toxicity, units, warc
 
 ship_by_value()
 
@@ -17,4 +17,5 @@ OPS = {
     "op8_byte_bpe": (bpe.query, None),
     "op9_curriculum_mix": (mixing.query, mixing.SQL),
     "op10_language_mixture": (langid.query, None),
+    "op13_merkle_manifest": (manifest.query, manifest.SQL),
 }
