@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, forest, langid, lpf, manifest, mixing, periods, quality, ship_by_value, toxicity, units, warc
+from . import ann, bpe, ctw, forest, langid, lpf, manifest, mixing, periods, quality, ship_by_value, toxicity, units, warc
 
 ship_by_value()
 
@@ -17,6 +17,7 @@ OPS = {
     "op8_byte_bpe": (bpe.query, None),
     "op9_curriculum_mix": (mixing.query, mixing.SQL),
     "op10_language_mixture": (langid.query, None),
+    "op11_context_tree": (ctw.query, None),
     "op12_periodic_runs": (periods.query, None),
     "op13_merkle_manifest": (manifest.query, manifest.SQL),
 }
