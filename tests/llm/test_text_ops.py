@@ -172,18 +172,66 @@ def test_mixing_targets_and_caps(spark):
         assert abs(r.t - r.goal) <= 60
 
 
+def test_mixing_one_dominating_text(spark):
+    """A text that holds half of its source shuts out none of the small ones, whatever the target."""
+    small = [(i, "w " * 20, "a") for i in range(1, 1001)]
+    other = lambda words: [(10_000 + i, "v " * 100, "b") for i in range(words // 100)]
+    for words in (3000, 8000, 20_000, 44_000):  # targets of the first source: a third of all words, at most three times its own
+        d = spark.createDataFrame([(0, "w " * 20_000, "a"), *small, *other(words)], "doc_id long, text string, source string")
+        plan = mixing.plan_mix(d).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("goal"), F.sum(
+            F.when(F.col("size") == 20, F.col("copies"))).alias("small"), F.max("copies").alias("c")).collect()
+        for r in plan:
+            assert abs(r.t - r.goal) <= max(0.01 * r.goal, 50) and r.c <= 3
+            assert r.source == "b" or r.small > 0
+
+
+def test_mixing_whole_tables_come_near_their_targets(spark):
+    d = spark.read.parquet(f"{SF_CHECK}/documents.parquet")
+    plan = mixing.plan_mix(d).groupBy("source").agg(
+        F.sum("taken").alias("t"), F.first("target").alias("goal"), F.min("size").alias("least")).collect()
+    for r in plan:
+        assert abs(r.t - r.goal) <= max(0.01 * r.goal, r.least)
+
+
+def test_mixing_weights_and_schedules_are_arguments(spark):
+    rows = [(i, "w " * (1 + i % 9), "ab"[i % 2]) for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.plan_mix(d, weights=(1, 4), schedules=((0, 1, 0), (1,) * 2))
+    by = {r.source: r for r in plan.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("goal")).collect()}
+    assert by["b"].goal == pytest.approx(4 * by["a"].goal) and abs(by["a"].t - by["a"].goal) <= 1
+    times = {s: sorted(t for r in plan.where(F.col("source") == s).collect() for t in r.positions) for s in "ab"}
+    early = sum(t < 0.25 for t in times["a"]) / len(times["a"])
+    assert early == pytest.approx(0.125, abs=0.03) and sum(t < 0.25 for t in times["b"]) / len(times["b"]) == pytest.approx(0.25, abs=0.03)
+
+
 def test_mixing_positions_follow_the_schedule(spark, edge, empty):
-    t = spark.range(1, 100).select((F.col("id") / 100).alias("share"))
-    for a in (-0.6, 0.2):
-        inv = t.select("share", mixing.invert_demand(F.col("share"), F.lit(a)).alias("t"))
-        for r in inv.collect():
-            assert (1 - a) * r.t + a * r.t ** 2 == pytest.approx(r.share)
+    t = spark.range(0, 101).select((F.col("id") / 100).alias("share"))
+    for knots in ((1.6, 0.4), (0.8, 1.2), (0, 2), (3, 0), (1, 3, 0, 2), (0, 0, 5)):
+        n = len(knots) - 1
+        total = sum((a + b) / 2 / n for a, b in zip(knots, knots[1:]))
+        for r in t.select("share", F.expr(mixing.invert_demand("share", knots)).alias("t")).collect():
+            at, done = r.t * n, 0.0
+            for k in range(n):
+                x = min(max(at - k, 0), 1)
+                done += (knots[k] * x + (knots[k + 1] - knots[k]) * x * x / 2) / n / total
+            assert done == pytest.approx(r.share, abs=1e-9)
     out = mixing.mix(edge)
     assert set(out.columns) == {*edge.columns, "position"}
     assert out.count() == mixing.plan_mix(edge).agg(F.sum("copies")).first()[0]
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_of_a_file_table_is_sorted_and_whole(spark):
+    d = spark.read.parquet(f"{SF_CHECK}/documents.parquet")
+    out = mixing.mix(d)
+    got = [r.position for r in out.select("position").collect()]
+    assert got == sorted(got)
+    plan = {r.id: r.copies for r in mixing.plan_mix(d).collect()}
+    assert {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()} == {i: c for i, c in plan.items() if c}
+    clash = d.withColumn("row", F.lit(1)).withColumn("_metadata", F.lit("x")).withColumn("position", F.lit(2))
+    assert mixing.mix(clash).count() == len(got)
+
+
 # ---- 1: toxicity
 
 def test_toxicity_held_out(spark):
