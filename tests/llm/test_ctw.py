@@ -41,7 +41,7 @@ class Tree:
     @staticmethod
     def decisions(data):
         """(node, bit, context with the nearest byte first) of each binary decision."""
-        padded = bytes([ctw.END]) * ctw.DEPTH + data
+        padded = ctw.END * ctw.DEPTH + data
         for i, byte in enumerate(data):
             context = padded[i:i + ctw.DEPTH][::-1]
             node = 1

@@ -10,12 +10,13 @@ log10 probability that the trained mixture gives its bytes; ``bits_per_byte`` is
 What training gathers are the counts of all distinct (``DEPTH`` + 1)-grams of bytes, with no hashing or cap, and
 of all distinct words, and they grow with the corpus:
 
-1. Tasks pack their texts into chunks of about ``CHUNK_BYTES`` and write them once. For each chunk the distinct
-   grams and words are written as packed rows, one for each group: the grams behind one three-byte context, the
-   words of one hash. Such rows are hundreds of times fewer than the words.
-2. Counts are summed by gram (with map-side combining) and packed again by group. The tree is climbed in three
-   parts: inside each three-byte context (at most 256 ** 3 grams by the alphabet), from there to the one-byte
-   contexts, and from those, 256 rows at most, to the top. The mixture's weights then go down the same way.
+1. Tasks pack their texts into chunks of about ``CHUNK_BYTES`` and write them once, compressed. For each chunk the
+   distinct grams and words are written as packed rows, one for each group: the grams behind one three-byte
+   context, the words of one hash. Such rows are hundreds of times fewer than the words.
+2. Packed rows are sorted by group and merged as they stream by, so a task holds one group's distinct items and no
+   more; past ``MERGE_CHUNKS`` chunks they are merged in two steps, so that no group is one long stream. The tree is
+   climbed in three parts: inside each three-byte context (at most 256 ** 3 grams by the alphabet), from there to
+   the one-byte contexts, and from those, 256 rows at most, to the top. The mixture's weights go down the same way.
 3. The model's packed rows and the chunks' are sorted into one stream by group, the model's first, so a task
    holds one group's model and answers the chunks' rows one after the other. The answers go back to their chunk,
    where the texts are summed up. No model is broadcast, and no key gathers more than a chunk.
@@ -28,14 +29,13 @@ gives an empty result.
 
 from __future__ import annotations
 
-import collections
 import math
 import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,10 +45,11 @@ from .common import bucket_of, materialise, table
 
 DEPTH = 5
 GROUP_DEPTH = 3  # contexts of so many bytes share a packed row
-END = 10
+END = b"\n"
 CHUNK_BYTES = 16_000_000
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 4_000_000
 WORD_GROUPS = 4096
+MERGE_CHUNKS = 4096
 GRAM, WORD = 0, 1
 SUFFIX = np.int64(256 ** (DEPTH + 1 - GROUP_DEPTH))
 LOG2, LOG_PI = math.log(2), math.log(math.pi)
@@ -57,20 +58,21 @@ LOG2, LOG_PI = math.log(2), math.log(math.pi)
 # ---- chunks
 
 def _chunk_batches(batches, kind):
-    """Texts as chunk rows: ids, whether each is learned from, tokens, bytes, and all bytes end to end."""
+    """Texts as chunk rows: ids, whether each is learned from, tokens, bytes, and all bytes, ends before each text."""
     part, made, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
 
     def row():
         ids, train, tokens, data = zip(*held)
+        packed = zstandard.ZstdCompressor(level=3).compress(END * DEPTH + (END * DEPTH).join(data))
         return pa.RecordBatch.from_arrays(
             [pa.array([part + made], pa.int64()), pa.array([list(ids)], pa.list_(kind)), pa.array([list(train)]),
              pa.array([list(tokens)], pa.list_(pa.int32())), pa.array([[len(x) for x in data]], pa.list_(pa.int32())),
-             pa.array([b"".join(data)], pa.binary())], names=["chunk", "ids", "train", "tokens", "sizes", "data"])
+             pa.array([packed], pa.binary())], names=["chunk", "ids", "train", "tokens", "sizes", "data"])
 
     for b in batches:
         for id_, train, text in zip(b.column("id").to_pylist(), b.column("train").to_pylist(), b.column("text")):
             words = text.as_py().lower().split()  # bytes: lower() and split() know ASCII only, its six blanks too
-            data = b" ".join(words) + b"\n"
+            data = b" ".join(words) + END
             if held and size + len(data) > CHUNK_BYTES:
                 yield row()
                 made, held, size = made + 1, [], 0
@@ -90,36 +92,84 @@ def chunks(docs: DataFrame, train: Column, id_col: str, text_col: str) -> DataFr
     return materialise(out, "ctw-chunks")
 
 
-def gram_slices(data: bytes, sizes: np.ndarray):
-    """(first text, past-the-last, code of each byte with the DEPTH bytes before it), about SLICE_BYTES at a time.
-
-    The nearest byte of the context is the code's highest, and the byte itself its lowest; ends stand before a text.
-    """
-    raw, ends = np.frombuffer(data, np.uint8), np.cumsum(sizes)
-    at = 0
-    while at < len(sizes):
-        begin = int(ends[at] - sizes[at])
-        to = max(at + 1, int(np.searchsorted(ends, begin + SLICE_BYTES, "right")))
-        n = int(ends[to - 1]) - begin
-        place = np.arange(n) + DEPTH * (1 + np.repeat(np.arange(to - at), sizes[at:to]))
-        padded = np.full(n + DEPTH * (to - at) + 8, END, np.uint8)
-        padded[place] = raw[begin:begin + n]
-        eight = np.ndarray((len(padded) - 7,), "<u8", buffer=padded, strides=(1,))
-        low = np.uint64(256 ** DEPTH - 1)
-        code = (eight & low) << np.uint64(8) | (eight >> np.uint64(8 * DEPTH)) & np.uint64(255)
-        yield at, to, code.view(np.int64)[place - DEPTH]
-        at = to
-
-
-def chunk_grams(data: bytes, sizes: np.ndarray):
-    """(distinct codes in order, [(first text, past-the-last, which code each byte has)])."""
-    parts, own = [], []
-    for at, to, code in gram_slices(data, sizes):
-        inverse, distinct = pd.factorize(code)
-        parts.append((at, to, inverse.astype(np.int32)))
-        own.append(distinct)
-    every = np.unique(np.concatenate(own))
-    return every, [(at, to, np.searchsorted(every, d).astype(np.int32)[inv]) for (at, to, inv), d in zip(parts, own)]
+class Chunk:
+    """One chunk's texts, with its distinct grams and words and where they stand."""
+
+    def __init__(self, sizes, tokens, data: bytes):
+        self.sizes, self.tokens = np.array(sizes, np.int64), np.array(tokens, np.int64) - 1
+        data = zstandard.ZstdDecompressor().decompress(data)
+        ends = np.cumsum(self.sizes + DEPTH)
+        known: dict[bytes, int] = {}
+        self.parts, own, at = [], [], 0
+        while at < len(self.sizes):
+            begin = int(ends[at] - self.sizes[at]) - DEPTH
+            to = max(at + 1, int(np.searchsorted(ends, begin + SLICE_BYTES, "right")))
+            piece = data[begin:int(ends[to - 1])]
+            inverse, distinct = pd.factorize(self.codes(piece))
+            words = np.array([known.setdefault(w, len(known)) for w in piece.split()], np.int32)
+            self.parts.append((at, to, inverse.astype(np.int32), words))
+            own.append(distinct)
+            at = to
+        which, every = pd.factorize(np.concatenate(own))  # the slices' grams as one list, and in order
+        order = np.argsort(every)
+        self.grams, place = every[order], np.empty(len(every), np.int32)
+        place[order] = np.arange(len(every), dtype=np.int32)
+        cut = np.cumsum([0, *map(len, own)])
+        self.parts = [(at, to, place[which[i:j]][inv], words)
+                      for (at, to, inv, words), i, j in zip(self.parts, cut[:-1], cut[1:])]
+        self.words = list(known)
+        group = np.array([zlib.crc32(w) % WORD_GROUPS for w in known], np.int64)
+        self.word_order = np.argsort(group, kind="stable")
+        self.word_groups = group[self.word_order]
+
+    @staticmethod
+    def codes(piece: bytes) -> np.ndarray:
+        """The code of each byte but the first DEPTH, with the DEPTH bytes before it: the nearest is the code's
+        highest byte, and the byte itself its lowest."""
+        padded = np.zeros(len(piece) + 8 - DEPTH, np.uint8)
+        padded[:len(piece)] = np.frombuffer(piece, np.uint8)
+        eight = np.ndarray((len(piece) - DEPTH,), "<u8", buffer=np.append(padded, np.zeros(DEPTH, np.uint8)), strides=(1,))
+        code = eight & np.uint64(256 ** DEPTH - 1)
+        code <<= np.uint64(8)
+        code |= (eight >> np.uint64(8 * DEPTH)) & np.uint64(255)
+        return code.view(np.int64)
+
+    def spans(self, at, to):
+        """(first, past-the-last) code of each text of a slice."""
+        end = np.cumsum(self.sizes[at:to] + DEPTH) - DEPTH
+        return end - self.sizes[at:to], end
+
+    def text_sums(self, by_gram, by_word):
+        """For each text the sum over its bytes of a value of their grams, and over its words."""
+        grams, words = np.empty(len(self.sizes)), np.empty(len(self.sizes))
+        for at, to, which, ids in self.parts:
+            edges = np.stack(self.spans(at, to), axis=1).ravel()[:-1]
+            grams[at:to] = np.add.reduceat(by_gram[which], edges)[::2]
+            run = np.concatenate([[0.0], np.cumsum(by_word[ids])])
+            end = np.cumsum(self.tokens[at:to])
+            words[at:to] = run[end] - run[end - self.tokens[at:to]]
+        return grams, words
+
+    def counts(self, train):
+        """How often each gram and each word stands in the texts marked."""
+        grams, words = np.zeros(len(self.grams), np.int64), np.zeros(len(self.words), np.int64)
+        for at, to, which, ids in self.parts:
+            mark = np.zeros(len(which) + 1, np.int8)
+            first, end = self.spans(at, to)
+            mark[first[train[at:to]]] = 1
+            mark[end[train[at:to]]] = -1
+            grams += np.bincount(which[np.cumsum(mark[:-1], dtype=np.int8) > 0], minlength=len(grams))
+            words += np.bincount(ids[np.repeat(train[at:to], self.tokens[at:to])], minlength=len(words))
+        return grams, words
+
+
+def planes(x: np.ndarray, kind: str) -> bytes:
+    """Numbers byte by byte, all first bytes first: the high ones, mostly zero, then compress to nothing."""
+    return np.ascontiguousarray(x.astype(kind).view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def from_planes(b: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def group_cuts(keys: np.ndarray) -> np.ndarray:
@@ -127,52 +177,82 @@ def group_cuts(keys: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(np.diff(keys, prepend=-1)), len(keys))
 
 
-def word_group(word: bytes) -> int:
-    return zlib.crc32(word) % WORD_GROUPS
+PACKED = "chunk long, kind int, key int, items binary, counts binary"
 
 
-def chunk_words(data: bytes):
-    """The distinct words in the order in which their groups' rows hold them."""
-    return sorted(set(data.split()), key=lambda w: (word_group(w), w))
+def _pack_batches(batches):
+    for b in batches:
+        for row in range(b.num_rows):
+            chunk, train, tokens, sizes, data = (b.column(c)[row].as_py() for c in ("chunk", "train", "tokens", "sizes", "data"))
+            held = Chunk(sizes, tokens, data)
+            by_gram, by_word = held.counts(np.array(train, bool))
+            key = held.grams // SUFFIX
+            cuts = group_cuts(key)
+            kinds, keys = [GRAM] * (len(cuts) - 1), key[cuts[:-1]].tolist()
+            items = [planes(held.grams[i:j] % SUFFIX, "<u4") for i, j in zip(cuts[:-1], cuts[1:])]
+            counts = [planes(by_gram[i:j], "<i8") for i, j in zip(cuts[:-1], cuts[1:])]
+            cuts = group_cuts(held.word_groups)
+            kinds += [WORD] * (len(cuts) - 1)
+            keys += held.word_groups[cuts[:-1]].tolist()
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                some = held.word_order[i:j]
+                items.append(b" ".join([held.words[w] for w in some]))
+                counts.append(planes(by_word[some], "<i8"))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([chunk] * len(keys), pa.int64()), pa.array(kinds, pa.int32()), pa.array(keys, pa.int32()),
+                 pa.array(items, pa.binary()), pa.array(counts, pa.binary())], names=["chunk", "kind", "key", "items", "counts"])
+
+
+def _merge_batches(batches):
+    """A stream of packed rows by (kind, key): each group's rows become one."""
+    now, held, waiting = None, {}, []
+
+    def fold():
+        """The grams waiting and those held, as one sorted list with its sums."""
+        items, which = np.unique(np.concatenate([x[0] for x in waiting]), return_inverse=True)
+        waiting[:] = [(items, np.bincount(which, weights=np.concatenate([x[1] for x in waiting])).astype(np.int64))]
 
+    def row():
+        if now[0] == GRAM:
+            fold()
+            return (*now, planes(waiting[0][0], "<u4"), planes(waiting[0][1], "<i8"))
+        return (*now, b" ".join(held), planes(np.array(list(held.values()), np.int64), "<i8"))
 
-def _packed(chunk, kind, keys, cuts, items, counts):
-    """Packed rows: one for each key, with its slice of the two flat buffers."""
-    n = len(keys)
-    binary = lambda offsets, flat: pa.Array.from_buffers(
-        pa.binary(), n, [None, pa.py_buffer(np.asarray(offsets, "<i4").tobytes()), pa.py_buffer(flat)])
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, chunk, np.int64)), pa.array(np.full(n, kind, np.int32)), pa.array(np.asarray(keys, np.int32)),
-         binary(items[0], items[1]), binary(np.asarray(cuts, np.int64) * 4, counts.astype("<u4").tobytes())],
-        names=["chunk", "kind", "key", "items", "counts"])
+    out = []
 
+    def batch():
+        kind, key, items, counts = zip(*out) if out else ((),) * 4
+        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(key, pa.int32()), pa.array(items, pa.binary()),
+                                           pa.array(counts, pa.binary())], names=["kind", "key", "items", "counts"])
 
-PACKED = "chunk long, kind int, key int, items binary, counts binary"
+    for b in batches:
+        for kind, key, items, counts in zip(*(b.column(c).to_pylist() for c in ("kind", "key", "items", "counts"))):
+            if now != (kind, key):
+                if now is not None:
+                    out.append(row())
+                now, held, waiting = (kind, key), {}, []
+            counts = from_planes(counts, "<i8")
+            if kind == GRAM:
+                waiting.append((from_planes(items, "<u4"), counts))
+                if sum(len(x[0]) for x in waiting[1:]) > 1_000_000 + len(waiting[0][0]):
+                    fold()
+            else:
+                for w, n in zip(items.split(), counts.tolist()):
+                    held[w] = held.get(w, 0) + n
+        yield batch()
+        out.clear()
+    if now is not None:
+        out.append(row())
+    yield batch()
 
 
-def _pack_batches(batches):
-    for b in batches:
-        for row in range(b.num_rows):
-            chunk, train, sizes, data = (b.column(c)[row].as_py() for c in ("chunk", "train", "sizes", "data"))
-            sizes, train = np.array(sizes, np.int64), np.array(train, bool)
-            codes, parts = chunk_grams(data, sizes)
-            counts = np.zeros(len(codes), np.int64)
-            for at, to, which in parts:
-                counts += np.bincount(which[np.repeat(train[at:to], sizes[at:to])], minlength=len(codes))
-            key = codes // SUFFIX
-            cuts = group_cuts(key)
-            yield _packed(chunk, GRAM, key[cuts[:-1]], cuts, (cuts * 4, (codes % SUFFIX).astype("<u4").tobytes()), counts)
-            words = chunk_words(data)
-            if words:
-                ends = np.cumsum(sizes)
-                learned: collections.Counter = collections.Counter()
-                for k in np.flatnonzero(train):
-                    learned.update(data[ends[k] - sizes[k]:ends[k]].split())
-                key = np.array([word_group(w) for w in words])
-                cuts = group_cuts(key)
-                spots = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])])[cuts]
-                yield _packed(chunk, WORD, key[cuts[:-1]], cuts, (spots, b" ".join(words) + b" "),
-                              np.array([learned[w] for w in words], np.int64))
+def merged(rows: DataFrame, n_chunks: int) -> DataFrame:
+    """(kind, key, items, counts): one row for each group."""
+    kind = "kind int, key int, items binary, counts binary"
+    if n_chunks > MERGE_CHUNKS:
+        rows = rows.withColumn("part", F.pmod("chunk", F.lit(math.ceil(n_chunks / MERGE_CHUNKS))))
+        rows = rows.repartition("kind", "key", "part").sortWithinPartitions("kind", "key", "part").drop("part").mapInArrow(_merge_batches, kind)
+    return materialise(rows.repartition("kind", "key").sortWithinPartitions("kind", "key").drop("chunk").mapInArrow(_merge_batches, kind), "ctw-counts")
 
 
 # ---- the tree
@@ -261,11 +341,11 @@ def _level_columns(level: Level, cuts):
 
 
 def _grams_of(b):
-    """(codes, counts, keys, cuts) of a batch of packed groups, in the batch's order of rows, codes ascending in each."""
-    lists = b.column("grams")
-    size = np.asarray(pc.list_value_length(lists)).astype(np.int64)
-    flat = lists.flatten()
-    codes, counts = np.asarray(flat.field("item"), np.int64), np.asarray(flat.field("n"), np.float64)
+    """(codes, counts, size of each row) of a batch of packed groups."""
+    items = [from_planes(x, "<u4").astype(np.int64) for x in b.column("items").to_pylist()]
+    size = np.array([len(x) for x in items], np.int64)
+    codes = np.repeat(np.asarray(b.column("key")).astype(np.int64), size) * SUFFIX + np.concatenate([*items, np.empty(0, np.int64)])
+    counts = np.concatenate([*(from_planes(x, "<i8") for x in b.column("counts").to_pylist()), np.empty(0, np.int64)])
     return codes, counts, size
 
 
@@ -324,7 +404,7 @@ def root_state(tops: list) -> list[np.ndarray]:
 
 
 def _model_batches(batches):
-    """Packed groups with the state above them -> their grams' suffixes and log10 probabilities."""
+    """Packed groups with the state above them -> their grams and log10 probabilities."""
     for b in batches:
         codes, counts, size = _grams_of(b)
         deepest, which, ones = leaves(codes, counts)
@@ -333,33 +413,12 @@ def _model_batches(batches):
         state = [np.frombuffer(b"".join(b.column(c).take(pa.array(order)).to_pylist()), "<f8") for c in ("p0", "p1", "rest")]
         logs = gram_logs(levels, which, ones, state)
         cuts = np.concatenate([[0], np.cumsum(size)])
-        suffix = (codes % SUFFIX).astype("<u4")
-        each = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])], pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column("key"), each(suffix), each(logs.astype("<f8"))], names=["key", "items", "values"])
+        values = pa.array([logs[i:j].astype("<f8").tobytes() for i, j in zip(cuts[:-1], cuts[1:])], pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column("key"), b.column("items"), values], names=["key", "items", "values"])
 
 
 # ---- answers
 
-def _unpack_grams(batches):
-    for b in batches:
-        keys = np.asarray(b.column("key")).astype(np.int64)
-        items, counts = (b.column(c).to_pylist() for c in ("items", "counts"))
-        size = np.array([len(x) // 4 for x in items])
-        code = np.repeat(keys, size) * SUFFIX + np.frombuffer(b"".join(items), "<u4")
-        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(np.frombuffer(b"".join(counts), "<u4").astype(np.int64))],
-                                         names=["item", "n"])
-
-
-def _unpack_words(batches):
-    for b in batches:
-        items, counts = (b.column(c).to_pylist() for c in ("items", "counts"))
-        words = [x.split() for x in items]
-        keys = np.repeat(np.asarray(b.column("key")), [len(w) for w in words])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.int32()), pa.array([w for ws in words for w in ws], pa.binary()),
-             pa.array(np.frombuffer(b"".join(counts), "<u4").astype(np.int64))], names=["key", "item", "n"])
-
-
 def _answer_batches(batches):
     """A stream by (kind, key, chunk): the model's row of a group comes first and answers the chunks' rows."""
     held, suffixes, values, known = None, None, None, {}
@@ -368,19 +427,19 @@ def _answer_batches(batches):
         columns = (b.column(c).to_pylist() for c in ("chunk", "kind", "key", "items", "values"))
         for chunk, kind, key, items, given in zip(*columns):
             if chunk < 0:
-                held, values = (kind, key), np.frombuffer(given, "<f8")
+                held = (kind, key)
                 if kind == GRAM:
-                    suffixes = np.frombuffer(items, "<u4")
+                    suffixes, values = from_planes(items, "<u4"), np.frombuffer(given, "<f8")
                 else:
-                    known = dict(zip(items.split(), values.tolist()))
+                    known = dict(zip(items.split(), from_planes(given, "<i8").tolist()))
                 continue
             if held != (kind, key):
                 raise ValueError(f"no model row for group {kind}, {key}")
             if kind == GRAM:
-                got = values[np.searchsorted(suffixes, np.frombuffer(items, "<u4"))]
+                got = values[np.searchsorted(suffixes, from_planes(items, "<u4"))].tobytes()
             else:
-                got = np.array([known[w] for w in items.split()], "<f8")
-            out.append((chunk, kind, key, got.tobytes()))
+                got = planes(np.array([known[w] for w in items.split()], np.int64), "<i8")
+            out.append((chunk, kind, key, got))
         chunk, kind, key, got = zip(*out) if out else ((), (), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array(kind, pa.int32()), pa.array(key, pa.int32()),
                                           pa.array(got, pa.binary())], names=["chunk", "kind", "key", "values"])
@@ -391,43 +450,38 @@ def _score_chunk(rows: pa.Table, answers: pa.Table, total: int, distinct: int, e
     parts = []
     for row in range(rows.num_rows):
         ids, train, tokens, sizes, data = (rows.column(c)[row].as_py() for c in ("ids", "train", "tokens", "sizes", "data"))
-        sizes = np.array(sizes, np.int64)
+        held = Chunk(sizes, tokens, data)
         kinds, keys = (np.asarray(answers.column(c)) for c in ("kind", "key"))
-        order = np.lexsort([keys, kinds])
-        cut = int((kinds == GRAM).sum())
+        order, cut = np.lexsort([keys, kinds]), int((kinds == GRAM).sum())
         values = answers.column("values").take(pa.array(order)).to_pylist()
         logs = np.frombuffer(b"".join(values[:cut]), "<f8")
-        counts = np.frombuffer(b"".join(values[cut:]), "<f8")
-        score = np.empty(len(sizes))
-        for at, to, which in chunk_grams(data, sizes)[1]:
-            here = sizes[at:to]
-            score[at:to] = np.add.reduceat(logs[which], np.cumsum(here) - here)
+        counts = np.empty(len(held.words), np.int64)
+        counts[held.word_order] = np.concatenate([*(from_planes(x, "<i8") for x in values[cut:]), np.empty(0, np.int64)])
         scale = total + 0.5 * (distinct + 1)
-        known = dict(zip(chunk_words(data), zip(np.log10((counts + 0.5) / scale).tolist(), (counts > 0).tolist())))
-        base, met, at = [], [], 0
-        last = math.log10((ends + 0.5) / scale)
-        for size in sizes.tolist():
-            facts = [known[w] for w in data[at:at + size].split()]
-            base.append(math.fsum(f[0] for f in facts) + last)
-            met.append(sum(f[1] for f in facts) + (ends > 0))
-            at += size
-        n = len(sizes)
+        score, base = held.text_sums(logs, np.log10((counts + 0.5) / scale))
+        met = held.text_sums(np.zeros(len(logs)), (counts > 0).astype(np.float64))[1].astype(np.int64) + (ends > 0)
+        base += math.log10((ends + 0.5) / scale)
+        n = len(held.sizes)
         parts.append(pa.table([pa.array(ids, out.field(0).type), pa.array(train), pa.array(tokens, pa.int64()), pa.array(met, pa.int64()),
-                               pa.array(np.full(n, total, np.int64)), pa.array(base, pa.float64()), pa.array(score), pa.array(sizes),
-                               pa.array(-score / math.log10(2) / sizes)], schema=out))
+                               pa.array(np.full(n, total, np.int64)), pa.array(base, pa.float64()), pa.array(score), pa.array(held.sizes),
+                               pa.array(-score / math.log10(2) / held.sizes)], schema=out))
     return pa.concat_tables(parts) if parts else out.empty_table()
 
 
+def _word_sums(batches):
+    for b in batches:
+        counts = np.concatenate([np.empty(0, np.int64), *(from_planes(x, "<i8") for x in b.column("counts").to_pylist())])
+        yield pa.RecordBatch.from_arrays([pa.array([int(counts.sum())]), pa.array([int((counts > 0).sum())])], names=["n", "v"])
+
+
 def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, train, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) of every row; ``train``
     marks the rows to learn from."""
     packs = chunks(docs, train, id_col, text_col)
-    rows = materialise(packs.select("chunk", "train", "sizes", "data").mapInArrow(_pack_batches, PACKED), "ctw-packed")
-    grams, words = rows.where(F.col("kind") == GRAM), rows.where(F.col("kind") == WORD)
+    rows = materialise(packs.select("chunk", "train", "tokens", "sizes", "data").mapInArrow(_pack_batches, PACKED), "ctw-packed")
+    counted = merged(rows, packs.count())
+    model, seen = counted.where(F.col("kind") == GRAM).drop("kind"), counted.where(F.col("kind") == WORD)
 
-    counted = grams.select("key", "items", "counts").mapInArrow(_unpack_grams, "item long, n long").groupBy("item").agg(F.sum("n").alias("n"))
-    model = materialise(counted.groupBy(F.floor(F.col("item") / int(SUFFIX)).cast("int").alias("key")).agg(
-        F.sort_array(F.collect_list(F.struct("item", "n"))).alias("grams")), "ctw-counts")
     groups = materialise(model.repartition("key").sortWithinPartitions("key").mapInArrow(_group_batches, f"key int, {NODES}"), "ctw-groups")
     byte = F.floor(F.col("key") / 256 ** (GROUP_DEPTH - 1)).cast("int")
     tops = groups.groupBy(byte.alias("byte")).applyInArrow(_top_groups, f"byte int, {NODES}").collect()  # at most 256 rows
@@ -435,18 +489,13 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     states = groups.groupBy(byte.alias("byte")).applyInArrow(lambda t: _state_groups(t, root), "key int, p0 binary, p1 binary, rest binary")
     logs = model.join(states, "key").mapInArrow(_model_batches, "key int, items binary, values binary")
 
-    seen = words.select("key", "items", "counts").mapInArrow(_unpack_words, "key int, item binary, n long").groupBy("key", "item").agg(
-        F.sum("n").alias("n"))
-    seen = materialise(seen.groupBy("key").agg(
-        F.sort_array(F.collect_list(F.struct("item", F.col("n")))).alias("words")), "ctw-words")
     ends = packs.select(F.sum(F.size(F.filter("train", lambda x: x)))).first()[0] or 0
-    sums = seen.select(F.explode("words").alias("w")).agg(F.sum("w.n").alias("n"), F.count(F.when(F.col("w.n") > 0, 1)).alias("v")).first()
-    total, distinct = (sums["n"] or 0) + ends, sums["v"] + (ends > 0)
-    counts = seen.mapInArrow(_word_values, "key int, items binary, values binary")
+    sums = seen.select("counts").mapInArrow(_word_sums, "n long, v long").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    total, distinct = (sums["n"] or 0) + ends, (sums["v"] or 0) + (ends > 0)
 
     none = F.lit(-1).cast("long").alias("chunk")
     known = logs.select(none, F.lit(GRAM).alias("kind"), "key", "items", "values").unionByName(
-        counts.select(none, F.lit(WORD).alias("kind"), "key", "items", "values"))
+        seen.select(none, "kind", "key", "items", F.col("counts").alias("values")))
     asked = rows.select("chunk", "kind", "key", "items", F.lit(None).cast("binary").alias("values"))
     answers = known.unionByName(asked).repartition("kind", "key").sortWithinPartitions("kind", "key", "chunk").mapInArrow(
         _answer_batches, "chunk long, kind int, key int, values binary")
@@ -462,20 +511,6 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         lambda a, b: _score_chunk(a, b, total, distinct, ends, out), schema)
 
 
-def _word_values(batches):
-    """Each group's words, end to end, with their counts."""
-    for b in batches:
-        lists = b.column("words")
-        size = np.asarray(pc.list_value_length(lists)).astype(np.int64)
-        flat = lists.flatten()
-        words, counts = flat.field("item").to_pylist(), np.asarray(flat.field("n"), np.float64)
-        cuts = np.concatenate([[0], np.cumsum(size)])
-        yield pa.RecordBatch.from_arrays(
-            [b.column("key"), pa.array([b" ".join(words[i:j]) for i, j in zip(cuts[:-1], cuts[1:])], pa.binary()),
-             pa.array([counts[i:j].astype("<f8").tobytes() for i, j in zip(cuts[:-1], cuts[1:])], pa.binary())],
-            names=["key", "items", "values"])
-
-
 HELD_OUT, STEP = 1, 5
 
 
