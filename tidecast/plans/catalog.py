@@ -7,6 +7,7 @@ returned as ``yyyy-MM-dd`` strings and counts as BIGINT in both engines.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,12 +16,18 @@ from pyspark.sql import functions as F
 from ..operators import bars as B
 from . import series
 from ..operators import windows as W
+from ..session import scratch_path
 from ..sources import tables as T
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[QueryFn, str | None]] = {}
 
 
+def _fresh(spark, name: str) -> str:
+    """A new path for a written table in the shared folder."""
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
 def query(name: str, sql: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
         if name in REGISTRY:
@@ -165,6 +172,7 @@ def q_forecast_input(spark, sf):
 # ---------------------------------------------------------------- keyed store
 
 from ..operators import kv as KV  # noqa: E402
+from ..operators import kvstore as KS  # noqa: E402
 from ..functions import scalars as S  # noqa: E402
 
 SQL_WRITES = """writes AS (
@@ -267,6 +275,17 @@ def q_kv_ttl_live(spark, sf):
                                                           "expires_at")
 
 
+@query("kv_store_merge", f"""
+WITH {SQL_WRITES}
+SELECT key, value, written_at, seq, CAST(ttl_seconds AS DOUBLE) AS ttl_seconds FROM store""")
+def q_kv_store_merge(spark, sf):
+    """The same state from the stored table: the writes come in five batches, in no order of time."""
+    store = KS.KeyedStore(spark, _fresh(spark, "kv-store"), buckets=16, turns=4)
+    for k in range(5):
+        store.commit(_writes(spark, sf).where(F.pmod(F.xxhash64("seq"), F.lit(5)) == k), k)
+    return store.read().select("key", "value", "written_at", "seq", F.col("ttl_seconds").cast("double").alias("ttl_seconds"))
+
+
 @query("latest_per_key", """
 SELECT o_orderpriority AS key, o_orderkey, o_orderdate, o_totalprice FROM (
   SELECT *, row_number() OVER (PARTITION BY o_orderpriority
@@ -1088,17 +1107,11 @@ def q_sentence_classifier(spark, sf):
 
 # ---------------------------------------------------------------- CSV sources and sink
 
-from ..session import scratch_path  # noqa: E402
 from ..sources import csv as CSV  # noqa: E402
 
 HISTORY_AS_OF = "2001-08-01 00:00:00"
 
 
-def _fresh(spark, name: str) -> str:
-    import uuid
-    return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
-
-
 @query("price_csv_scan", """
 SELECT upper(replace(o_orderpriority, ' ', '_')) AS ticker, o_orderdate AS ts, o_totalprice AS price FROM orders""")
 def q_price_csv_scan(spark, sf):

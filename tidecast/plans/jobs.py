@@ -26,11 +26,13 @@ from ..operators import text as X
 from ..operators import windows as W
 from ..operators.bars import resample, scale_expr, unscale_expr
 from ..operators.joins import asof_latest, interval_join
+from ..operators.kvstore import KeyedStore
 from ..session import written
 from ..sources import tables as T
 from ..streaming import triggers as TR
 
 SEQ = FE.SEQ_LEN
+VERSIONS_KEPT = 3
 AUX = ("algo", "lex_score", "ml_score", "llm_score")
 
 
@@ -251,37 +253,17 @@ def handlers(spark: SparkSession, sf: str, dim: DataFrame, models, store: str, r
     return {TR.TOPICS[TR.HOURLY]: hourly, TR.TOPICS[TR.DAILY]: daily}
 
 
-STORE_SCHEMA = "key STRING, value STRING, written_at TIMESTAMP_NTZ, seq BIGINT, ttl_seconds BIGINT"
-
-
-def read_store(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    """The newest version of a stored table (older than ``before``); an empty one if there is none."""
-    versions = spark.read.schema("batch_id BIGINT").json(f"{path}/versions", recursiveFileLookup=True) \
-        if _exists(spark, f"{path}/versions") else None
-    if versions is not None and before is not None:
-        versions = versions.where(F.col("batch_id") < before)
-    newest = versions.agg(F.max("batch_id")).first()[0] if versions is not None else None
-    if newest is None:
-        return spark.createDataFrame([], STORE_SCHEMA)
-    return spark.read.schema(STORE_SCHEMA).parquet(f"{path}/data/{newest}")
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def read_store(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The newest (or a given) version of a stored table; an empty one if there is none."""
+    return KeyedStore(spark, path).read(version=version).select(*KV.WRITE_COLS)
 
 
 def upsert_version(spark: SparkSession, path: str, writes: DataFrame, batch_id: int) -> None:
-    """Merge a batch of writes: the version before it plus the batch becomes version ``batch_id``.
-
-    A replayed batch rebuilds its own version from the one before, so results are stored once. A version
-    counts only after its entry is written.
-    """
-    merged = KV.upsert(read_store(spark, path, batch_id), writes)
-    merged.write.mode("overwrite").parquet(f"{path}/data/{batch_id}")
-    spark.range(1).select(F.lit(batch_id).cast("bigint").alias("batch_id")).coalesce(1).write.mode(
-        "overwrite").json(f"{path}/versions/{batch_id}")
+    """Apply a batch of writes to the store, once for each batch id (the micro-batch's, so it must grow), and
+    delete the files that the newest versions do not read."""
+    store = KeyedStore(spark, path)
+    store.commit(writes, batch_id)
+    store.vacuum(keep=VERSIONS_KEPT)
 
 
 def results_as_writes(predictions: DataFrame) -> DataFrame:
