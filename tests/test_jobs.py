@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidecast.operators import features as FE
 from tidecast.plans import catalog
 from tidecast.plans import jobs as JB
+from tidecast.sources import topics as TL
 from tidecast.streaming import flow
 
 from conftest import SF_SMALL
@@ -50,8 +51,9 @@ def test_trigger_to_store_with_replay_and_restart(spark, tmp_dir):
             '"2024-01-%02dT10:30:00-05:00", "scheduled_time_ny_friendly": "10:30 AM"}')
 
     def send(day):
+        TL.register(spark)
         spark.createDataFrame([("hourly_topic", body % day), ("hourly_topic", "junk")],
-                              "topic STRING, value STRING").write.mode("append").json(inbox)
+                              "topic STRING, value STRING").write.format(TL.FORMAT).mode("append").save(inbox)
 
     def drain():
         q = (flow.read_messages(spark, path=inbox).writeStream
@@ -75,10 +77,3 @@ def test_trigger_to_store_with_replay_and_restart(spark, tmp_dir):
     assert first.items() < second.items()
     assert {k[:10] for k in second} == {"2024-01-20", "2024-01-22"}
     assert spark.read.parquet(os.path.join(tmp_dir, "bad")).count() == 2
-
-
-def test_late_rows_are_counted(spark, tmp_dir):
-    late = spark.createDataFrame([("2024-01-01 10:00:00",), ("2024-01-01 09:55:00",), ("2024-01-01 08:00:00",)],
-                                 "t string").select(F.to_timestamp_ntz("t").alias("ts"))
-    counted = flow.count_late(late, "2024-01-01 10:00:00")
-    assert counted.first().n_late == 1

@@ -95,5 +95,6 @@ def payload_struct(company: Column, time_text: Column, algo: Column, senti: Colu
                     blend(algo, senti).alias("predicted_stock_senti"))
 
 
+# fixed values: the fields of a stored result.
 PAYLOAD_SCHEMA = ("company STRING, time STRING, predicted_stock_algo DOUBLE, "
                   "predicted_stock_senti DOUBLE")

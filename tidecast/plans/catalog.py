@@ -780,6 +780,7 @@ WITH {SQL_MSG},
 inbox AS (SELECT topic, CAST(value AS VARCHAR) AS value FROM msg
           UNION ALL SELECT 'hourly_topic', props FROM events WHERE event_type <> 'error'
           UNION ALL SELECT topic, CAST(value AS VARCHAR) || ' xx' FROM msg
+          UNION ALL SELECT topic, regexp_replace(CAST(value AS VARCHAR), '"scheduled_time_ny_iso":"20', '"scheduled_time_ny_iso":"soon 20') FROM msg
           UNION ALL SELECT 'other_topic', 'not json ' || props FROM events WHERE event_type = 'error'),
 v AS (SELECT topic, value, coalesce(json_valid(value), false) AS ok FROM inbox),
 x AS (SELECT topic, value, ok,
@@ -790,6 +791,8 @@ SELECT topic, value, trigger_type, coalesce(f, 'N/A') AS slot_friendly,
        CASE WHEN NOT ok THEN 'bad_json'
             WHEN trigger_type IS NULL THEN 'missing_trigger_type'
             WHEN topic NOT IN ('hourly_topic', 'daily_topic') THEN 'unexpected_topic'
+            WHEN json_extract_string(value, '$.scheduled_time_ny_iso') IS NOT NULL
+                 AND TRY_CAST(json_extract_string(value, '$.scheduled_time_ny_iso') AS TIMESTAMPTZ) IS NULL THEN 'bad_slot_time'
             ELSE 'ok' END AS status
 FROM x""")
 def q_message_parse(spark, sf):
@@ -798,6 +801,8 @@ def q_message_parse(spark, sf):
              .unionByName(e.where(F.col("event_type") != "error")
                           .select(F.lit("hourly_topic").alias("topic"), F.col("props").alias("value")))
              .unionByName(_messages(spark, sf).select("topic", F.concat("value", F.lit(" xx")).alias("value")))
+             .unionByName(_messages(spark, sf).select("topic", F.replace("value", F.lit('"scheduled_time_ny_iso":"20'), F.lit(
+                 '"scheduled_time_ny_iso":"soon 20')).alias("value")))
              .unionByName(e.where(F.col("event_type") == "error")
                           .select(F.lit("other_topic").alias("topic"),
                                   F.concat(F.lit("not json "), "props").alias("value"))))

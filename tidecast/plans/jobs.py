@@ -227,7 +227,7 @@ def hourly_predict(spark: SparkSession, sf: str, models: Models, dim: DataFrame,
 
 def runs_of_messages(messages: DataFrame, bars: DataFrame) -> DataFrame:
     """The runs that parsed hourly messages ask for: their slot's time, for every ticker with bars."""
-    at = F.to_timestamp(F.get_json_object("value", "$.scheduled_time_ny_iso"))
+    at = TR.slot_time(F.col("value"))
     utc = messages.select(F.col("slot_friendly").alias("slot"), F.to_timestamp_ntz(
         F.date_format(at, "yyyy-MM-dd HH:mm:ss")).alias("run_ts")).where("run_ts is not null").distinct()
     # a message is for every ticker; a batch has few distinct slots, so they travel as one literal array

@@ -2,12 +2,14 @@
 
 * ``trigger_messages`` - clock stream -> slot match (stream-static join with the 9-row slot table) ->
   first fire per (type, date, slot) with ``dropDuplicatesWithinWatermark`` -> topic + JSON value.
-* ``write_messages``   - Kafka sink when servers are given (without the connector that raises), else a
-  JSON file sink partitioned by topic; both checkpointed in the shared folder, so a restart neither
-  loses nor repeats a slot.
-* ``route``            - ``foreachBatch`` router: parse, quarantine bad rows, call one handler per
-  topic; a failing handler is recorded and does not stop the stream.
+* ``write_messages``   - Kafka sink when servers are given (without the connector that raises), else the topic
+  log of ``sources.topics``; both checkpointed in the shared folder, so a restart neither loses nor repeats a
+  slot.
+* ``route``            - ``foreachBatch`` router: parse, quarantine bad rows, call one handler per topic; what a
+  failing handler was given is kept as dead letters and given to it again with the next batch.
 * ``stream_bars``      - event-time hourly bars with a watermark, appended when a window closes.
+* ``split_late``       - ``foreachBatch`` splitter that sends the rows a watermark would drop to a side table.
+* ``rows_dropped``     - how many rows a query's stateful operators have dropped as late, from its progress.
 
 Event time must be TIMESTAMP (not TIMESTAMP_NTZ) for watermarks, so ``ts`` is cast first; the
 session time zone is UTC, so the instant is unchanged.
@@ -19,10 +21,12 @@ import os
 import traceback
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.kvstore import Files
 from ..session import scratch_path
+from ..sources import topics as TL
 from . import triggers as TR
 
 WATERMARK = "10 minutes"
@@ -66,49 +70,90 @@ def write_messages(msgs: DataFrame, name: str, path: str | None = None,
              .option("checkpointLocation", ckpt))
     else:
         target = path or scratch_path(spark, f"streams/{name}/data")
-        w = (out.writeStream.format("json").partitionBy("topic").option("path", target)
+        TL.register(spark)
+        w = (out.writeStream.format(TL.FORMAT).option("path", target).option("writer", name)
              .option("checkpointLocation", ckpt))
     return w.outputMode("append").queryName(name)
 
 
 def read_messages(spark: SparkSession, path: str | None = None, kafka_servers: str | None = None,
-                  topics: tuple[str, ...] = tuple(TR.TOPICS.values())) -> DataFrame:
-    """Two-topic source from the earliest offset (Kafka) or the JSON folders of ``write_messages``."""
+                  topics: tuple[str, ...] = tuple(TR.TOPICS.values()), group: str | None = None) -> DataFrame:
+    """Two-topic source from the earliest offset: Kafka, or the topic log at ``path``. A ``group`` has its
+    offsets told to the log as its batches are done."""
     if kafka_servers:
         need_kafka(spark)
         return (spark.readStream.format("kafka").option("kafka.bootstrap.servers", kafka_servers)
                 .option("subscribe", ",".join(topics)).option("startingOffsets", "earliest")
                 .load().select("topic", F.col("value").cast("string").alias("value")))
-    return (spark.readStream.schema("value STRING, topic STRING").json(path)
-            .select("topic", "value"))
+    TL.register(spark)
+    stream = spark.readStream.format(TL.FORMAT).option("topics", ",".join(topics))
+    if group:
+        stream = stream.option("group", group)
+    return stream.load(path).select("topic", "value")
 
 
 Handler = Callable[[DataFrame, int], None]
 
 
-def route(handlers: dict[str, Handler], quarantine: str, status_log: str | None = None):
+LETTER = "topic STRING, value STRING, attempts INT, first_batch BIGINT, error STRING"
+
+
+def dead_letters(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """The messages still to be applied after the newest batch (before batch ``before``)."""
+    done = [int(n.split("=")[1]) for n in Files(spark, path).names("") if n.startswith("batch_id=")]
+    done = [n for n in done if before is None or n < before]
+    if not done:
+        return spark.createDataFrame([], LETTER)
+    return spark.read.schema(LETTER).parquet(os.path.join(path, f"batch_id={max(done)}"))
+
+
+def route(handlers: dict[str, Handler], quarantine: str, status_log: str | None = None, dead: str | None = None,
+          max_attempts: int | None = None):
     """``foreachBatch`` function: ok rows go to their topic's handler, others to ``quarantine``.
 
-    Each batch's quarantine and status rows are written under ``batch_id=N`` with overwrite, so a
-    replayed batch replaces its own output instead of duplicating it.
+    A handler is called with rows and a call number that grows from call to call and is the same when a batch is
+    replayed: first with the dead letters of its topic, then with the batch's own rows, so neither can fail the other.
+    What a failing call was given becomes (or stays) dead letters in ``dead``, one more attempt counted; after
+    ``max_attempts`` they move to the quarantine, with that as their status. Without ``dead`` they go there at once.
+
+    Each batch's outputs are written under ``batch_id=N`` with overwrite, and read only those of earlier
+    batches, so a replayed batch replaces its own output instead of adding to it.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         parsed = TR.parse_messages(batch).persist()  # read once for the quarantine and every route
-        bad = parsed.where(F.col("status") != "ok")
-        bad.write.mode("overwrite").parquet(os.path.join(quarantine, f"batch_id={batch_id}"))
-        results = []
+        old = dead_letters(spark, dead, batch_id) if dead else spark.createDataFrame([], LETTER)
+        waiting = TR.parse_messages(old).persist()
+        fresh = parsed.where("status = 'ok'").withColumns({
+            "attempts": F.lit(0), "first_batch": F.lit(batch_id).cast("bigint"), "error": F.lit(None).cast("string")})
+        left, results = waiting.where(~F.col("topic").isin(*handlers)), []
         for topic, fn in handlers.items():
-            part = parsed.where((F.col("status") == "ok") & (F.col("topic") == topic))
-            try:
-                fn(part, batch_id)
-                results.append((batch_id, topic, "ok", None))
-            except Exception as e:  # noqa: BLE001 - one failed route must not stop the stream
-                results.append((batch_id, topic, "failed", "".join(
-                    traceback.format_exception_only(type(e), e))))
+            for call, rows in ((2 * batch_id, waiting), (2 * batch_id + 1, fresh)):
+                mine = rows.where(F.col("topic") == topic)
+                if rows is waiting and mine.isEmpty():
+                    continue
+                try:
+                    fn(mine.drop("attempts", "first_batch", "error"), call)
+                    results.append((batch_id, topic, "ok", None))
+                except Exception as e:  # noqa: BLE001 - one failed route must not stop the stream
+                    error = "".join(traceback.format_exception_only(type(e), e))
+                    results.append((batch_id, topic, "failed", error))
+                    left = left.unionByName(mine.withColumn("attempts", F.col("attempts") + 1).withColumn("error", F.lit(error)))
+        spent = F.lit(True) if not dead else F.col("attempts") >= max_attempts if max_attempts else F.lit(False)
+        bad = parsed.where("status <> 'ok'").unionByName(left.where(spent).select(*parsed.drop("status").columns, F.concat(
+            F.lit("failed "), "attempts", F.lit(" times")).alias("status")))
+        bad.write.mode("overwrite").parquet(os.path.join(quarantine, f"batch_id={batch_id}"))
+        if dead:
+            left.where(~spent).select("topic", "value", "attempts", "first_batch", "error").write.mode("overwrite").parquet(
+                os.path.join(dead, f"batch_id={batch_id}"))
+            files = Files(spark, dead)
+            for name in files.names(""):  # the version before serves a replay of this batch
+                if name.startswith("batch_id=") and int(name.split("=")[1]) < batch_id - 1:
+                    files.delete(name)
         parsed.unpersist()
+        waiting.unpersist()
         if status_log:
-            spark = batch.sparkSession
             (spark.createDataFrame(results, "batch_id LONG, topic STRING, status STRING, "
                                             "error STRING")
              .write.mode("overwrite").parquet(os.path.join(status_log, f"batch_id={batch_id}")))
@@ -128,8 +173,34 @@ def stream_bars(ticks: DataFrame, width: str = "1 hour", watermark: str = WATERM
                     "high", "low", "close", "n_ticks")
 
 
-def count_late(rows: DataFrame, seen_until: str, ts: str = "ts", watermark: str = WATERMARK) -> DataFrame:
-    """How many rows come too late: older than the newest event time seen before them by more than the
-    watermark's delay. For ``foreachBatch`` before the stateful step, which drops such rows silently."""
-    limit = F.expr(f"TIMESTAMP_NTZ '{seen_until}' - INTERVAL {watermark}")
-    return rows.agg(F.count(F.when(F.col(ts) < limit, 1)).alias("n_late"))
+def split_late(on_time: Handler, late: str, marks: str, closes: Column | None = None, watermark: str = WATERMARK,
+               behind: int = 1):
+    """``foreachBatch`` function: the rows that a watermark would drop go to the table ``late``, the others to
+    ``on_time``, so that none is lost.
+
+    The watermark is Spark's: the newest ``event_time`` of the batches before, less the delay, without those of the
+    last ``behind`` batches, as Spark filters late rows by the watermark that the batch before was run with. A row is
+    late when its ``closes`` (its event time, or the end of its window) is not after it. The newest time of each
+    batch is kept in ``marks``, so a restart goes on with the same watermark and a replayed batch is split alike.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.persist()
+        done = [n for n in Files(spark, marks).names("") if n.startswith("batch_id=") and int(n.split("=")[1]) < batch_id - behind]
+        newest = spark.read.schema("newest TIMESTAMP").parquet(*[os.path.join(marks, n) for n in done]).agg(
+            F.max("newest")).first()[0] if done else None
+        limit = F.lit(newest).cast("timestamp") - F.expr(f"INTERVAL {watermark}")
+        is_late = F.coalesce((F.col("event_time") if closes is None else closes) <= limit, F.lit(False))
+        batch.where(is_late).write.mode("overwrite").parquet(os.path.join(late, f"batch_id={batch_id}"))
+        on_time(batch.where(~is_late), batch_id)
+        batch.agg(F.max("event_time").alias("newest")).write.mode("overwrite").parquet(os.path.join(marks, f"batch_id={batch_id}"))
+        batch.unpersist()
+
+    return run
+
+
+def rows_dropped(query) -> int:
+    """Rows that the stateful operators of a query have dropped as late, as far as its progress tells. An aggregation
+    drops rows already summed in their task, so this says that rows were lost, and ``split_late`` which."""
+    return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"])

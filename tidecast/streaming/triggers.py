@@ -17,6 +17,7 @@ DAILY_SLOT = (8, 0)
 HOURLY, DAILY = "hourly_prediction", "daily_train"
 TOPICS = {HOURLY: "hourly_topic", DAILY: "daily_topic"}
 
+# fixed values: the fields of a message.
 MESSAGE_SCHEMA = ("trigger_type STRING, event_timestamp_utc STRING, scheduled_time_ny_iso STRING, "
                   "scheduled_time_ny_friendly STRING")
 
@@ -88,13 +89,20 @@ def message(fired: DataFrame, ts: str = "ts") -> DataFrame:
         c for c in fired.columns if c not in ("topic", "value")])
 
 
+def slot_time(value: Column) -> Column:
+    """The slot's instant that a message names; NULL if it names none, or one that is no time."""
+    return F.try_to_timestamp(F.get_json_object(value, "$.scheduled_time_ny_iso"))
+
+
 def parse_messages(msgs: DataFrame, value: str = "value") -> DataFrame:
-    """Decode messages; ``status`` says ok / bad_json / missing_trigger_type / unexpected_topic."""
+    """Decode messages; ``status`` says ok / bad_json / missing_trigger_type / unexpected_topic / bad_slot_time
+    (a slot time that is given but is no time)."""
     text = F.col(value).cast("string")
     m = msgs.withColumn("_p", S.strict_json(text, f"struct<{MESSAGE_SCHEMA}>")).withColumn("_m", F.col("_p.v"))
     status = (F.when(~F.col("_p.ok"), F.lit("bad_json"))
               .when(F.col("_m.trigger_type").isNull(), F.lit("missing_trigger_type"))
               .when(~F.col("topic").isin(*TOPICS.values()), F.lit("unexpected_topic"))
+              .when(F.col("_m.scheduled_time_ny_iso").isNotNull() & slot_time(text).isNull(), F.lit("bad_slot_time"))
               .otherwise(F.lit("ok")))
     return m.select(
         "*", F.col("_m.trigger_type").alias("trigger_type"),
