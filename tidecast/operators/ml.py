@@ -6,12 +6,9 @@ on all series at once; nothing is collected to the driver except fitted paramete
 
 from __future__ import annotations
 
-import math
-
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,33 +47,13 @@ def drop_incomplete(df: DataFrame, cols=WIDE_COLS) -> DataFrame:
 def standardize_fit(df: DataFrame, cols) -> dict[str, tuple[float, float]]:
     """Mean and sample standard deviation per column (2 numbers per column reach the driver).
 
-    One pass without a blow-up of rows: complete rows go through the vector summarizer; a column of rows
-    with NULL cells, which it cannot skip, is summed apart, and both parts' moments are merged.
+    One pass: cells become (column, value) pairs that are summed in the task that reads them; the aggregates skip
+    NULL cells by themselves. Hundreds of aggregates side by side would outgrow the JVM's limits for one method.
     """
     cols = list(cols)
-    d = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    values = F.array(*[F.col(c) for c in cols])
-    d = d.withColumn("_ok", F.forall(values, lambda x: x.isNotNull()))
-    v = array_to_vector(F.transform(values, lambda x: F.coalesce(x, F.lit(0.0))))
-    weight = F.when(F.col("_ok"), 1.0).otherwise(0.0)
-    whole = d.select(Summarizer.metrics("mean", "variance").summary(v, weight).alias("s"),
-                     F.sum(weight).alias("n")).first()
-    rest = d.where(~F.col("_ok")).select(*cols).unpivot([], cols, "name", "value").groupBy("name").agg(
-        F.count("value").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("q"))
-    parts = {r["name"]: (r["n"], r["m"], r["q"]) for r in rest.collect() if r["n"]}
-    out, n1 = {}, whole["n"] or 0.0
-    for i, c in enumerate(cols):
-        m1 = float(whole["s"]["mean"][i]) if n1 else 0.0
-        q1 = float(whole["s"]["variance"][i]) * (n1 - 1) if n1 > 1 else 0.0
-        n2, m2, q2 = parts.get(c, (0, 0.0, 0.0))
-        n = n1 + n2
-        if not n:
-            out[c] = (None, None)
-            continue
-        gap = m2 - m1
-        spread = q1 + q2 * n2 + gap * gap * n1 * n2 / n
-        out[c] = (m1 + gap * n2 / n, math.sqrt(spread / (n - 1)) if n > 1 else None)
-    return out
+    cells = df.select(F.posexplode(F.array(*[F.col(c).cast("double") for c in cols])).alias("k", "x"))
+    got = {r["k"]: r for r in cells.groupBy("k").agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s")).collect()}
+    return {c: (got[i]["m"], got[i]["s"]) if i in got else (None, None) for i, c in enumerate(cols)}
 
 
 def standardize_apply(df: DataFrame, fit: dict[str, tuple[float, float]],

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans import series
@@ -29,19 +29,32 @@ def sequence_windows(bars: DataFrame, n: int = SEQ_LEN, unit: str = "hour",
             .select("ticker", "bar_ts", "idx", "seq", F.col(value).alias("label")))
 
 
+def sliding_extremes(bars: DataFrame, n: int, unit: str = "hour", value: str = "close", key: str = "ticker",
+                     order: str = "bar_ts", block_rows: int = series.DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """Every row that has ``n`` rows up to and with it, with their min and max (``mn``, ``mx``) and ``idx``.
+
+    Positions are cut into stretches of ``n``: a window is the end of one stretch and the start of the next, so
+    its extremes are those of the running extremes from a stretch's end back to the window's first row, and from
+    the next one's start on to its last. Each row is looked at a fixed number of times, whatever ``n``.
+    """
+    placed = series.with_reach(series.series_index(bars, key, order, chunk_of(unit, order)), n - 1, block_rows=max(block_rows, n))
+    placed = placed.withColumn("_part", F.expr(f"idx div {n}")).repartition(key, series.BLOCK)
+    part = Window.partitionBy(key, series.BLOCK, "_part")
+    on, back = part.orderBy("idx"), part.orderBy(F.col("idx").desc())
+    on, back = (w.rowsBetween(Window.unboundedPreceding, Window.currentRow) for w in (on, back))
+    ran = placed.withColumns({"_a": F.min(value).over(on), "_b": F.max(value).over(on),
+                              "_c": F.min(value).over(back), "_d": F.max(value).over(back)})
+    first = Window.partitionBy(key, series.BLOCK).orderBy("idx")
+    ran = ran.withColumns({"_c": F.lag("_c", n - 1).over(first), "_d": F.lag("_d", n - 1).over(first)})
+    whole = series.drop_context(ran.where(F.col("idx") >= n - 1))
+    return whole.withColumns({"mn": F.least("_a", "_c"), "mx": F.greatest("_b", "_d")}).drop("_a", "_b", "_c", "_d", "_part")
+
+
 def window_minmax(bars: DataFrame, n: int = SEQ_LEN, unit: str = "hour", value: str = "close",
                   block_rows: int = series.DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Min-max fitted on each full ``n``-row window ending at a row (that row included)."""
-
-    def cols(w):
-        frame = w.rowsBetween(-(n - 1), 0)
-        return {"mn": F.min(value).over(frame), "mx": F.max(value).over(frame),
-                "n": F.count(F.lit(1)).over(frame)}
-
-    out = series.rolling(bars, "ticker", "bar_ts", chunk_of(unit), n - 1, cols, block_rows)
-    return (out.where(F.col("n") == n)
-            .select("ticker", "bar_ts", "idx", F.col(value).alias("close"), "mn", "mx",
-                    scale_expr(F.col(value), F.col("mn"), F.col("mx")).alias("scaled")))
+    return sliding_extremes(bars, n, unit, value, block_rows=block_rows).select(
+        "ticker", "bar_ts", "idx", F.col(value).alias("close"), "mn", "mx", scale_expr(F.col(value), F.col("mn"), F.col("mx")).alias("scaled"))
 
 
 def window_sequences(bars: DataFrame, n: int = SEQ_LEN, unit: str = "hour", value: str = "close",
@@ -50,11 +63,11 @@ def window_sequences(bars: DataFrame, n: int = SEQ_LEN, unit: str = "hour", valu
 
     def cols(w):
         frame = w.rowsBetween(-(n - 1), 0)
-        return {"seq": F.collect_list(value).over(frame), "mn": F.min(value).over(frame),
-                "mx": F.max(value).over(frame)}
+        return {"seq": F.collect_list(value).over(frame)}
 
-    out = series.rolling(bars, "ticker", "bar_ts", chunk_of(unit), n - 1, cols, block_rows)
-    return out.where(F.size("seq") == n)
+    out = series.rolling(bars, "ticker", "bar_ts", chunk_of(unit), n - 1, cols, block_rows).where(F.size("seq") == n)
+    # the values are at hand in the row, so their extremes are one more look at them
+    return out.withColumns({"mn": F.array_min("seq"), "mx": F.array_max("seq")})
 
 
 def minmax_roundtrip(scaled: DataFrame) -> DataFrame:

@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bars as B
+from ..operators import states as ST
 from . import series
 from ..operators import windows as W
-from ..session import scratch_path
+from ..session import scratch_path, written
 from ..sources import tables as T
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +83,29 @@ def q_bars_daily(spark, sf):
     return _daily(spark, sf)
 
 
+def _r6(x: str) -> str:
+    return f"floor({x} * 1e6 + 0.5) / 1e6"
+
+
+@query("bars_rollup", " UNION ALL ".join(f"""
+SELECT '{u}' AS unit, event_type AS ticker, date_trunc('{u}', ts) AS bar_ts, arg_min(value, (ts, event_id)) AS open,
+       max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS n_ticks,
+       {_r6('avg(value)')} AS mean, {_r6('stddev_samp(value)')} AS std
+FROM events GROUP BY 2, 3""" for u in ("hour", "day")))
+def q_bars_rollup(spark, sf):
+    """Hours and days from stored minute states: a quarter of the ticks comes late, in a second batch."""
+    ticks, late = T.ticks(spark, sf), F.pmod(F.xxhash64("seq"), F.lit(4)) == 0
+    store = ST.BarStore(spark, _fresh(spark, "bar-states"))
+    store.add(ticks.where(~late), 0)
+    store.add(ticks.where(late), 1)
+    out = None
+    for unit, states in store.states("hour", "day").items():
+        b = ST.bars_of(states).select(F.lit(unit).alias("unit"), "ticker", "bar_ts", "open", "high", "low", "close", "n_ticks",
+                                      _round6(F.col("mean")).alias("mean"), _round6(F.col("std")).alias("std"))
+        out = b if out is None else out.unionByName(b)
+    return out
+
+
 LOOKBACK_AS_OF = "2024-01-25 10:00:00"
 
 
@@ -973,6 +997,20 @@ def q_standardize_columns(spark, sf):
     return z.select("id", *[_round6(F.col(f"v{k}_z")).alias(f"z{k}") for k in range(1, 66)])
 
 
+@query("scaler_rollup", f"""
+WITH {SQL_WIDE}, cells AS (SELECT unnest(range(1, 66)) AS k, unnest([{", ".join(f"CAST(v{k} AS DOUBLE)" for k in range(1, 66))}]) AS x FROM wide)
+SELECT 'v' || k AS name, count(x) AS n, {_r6('avg(x)')} AS mean, {_r6('stddev_samp(x)')} AS std FROM cells GROUP BY k""")
+def q_scaler_rollup(spark, sf):
+    """The scaler from stored moments, one state for each column and year of orders."""
+    o = T.table(spark, sf, "orders")
+    wide = ML.synthetic_wide(o, "o_orderkey").join(o.select(F.col("o_orderkey").alias("id"), F.year("o_orderdate").alias("year")), "id")
+    cells = wide.select("year", F.posexplode(F.array(*[F.col(c).cast("double") for c in ML.WIDE_COLS])).alias("k", "x"))
+    states = written(cells.groupBy("k", "year").agg(*[c.alias(n) for n, c in ST.moments("x").items()]), "scaler-states")
+    m = ST.merge_moments(states, ["k"], "year")
+    return m.select(F.concat(F.lit("v"), (F.col("k") + 1).cast("string")).alias("name"), "n", _round6(F.col("mean")).alias("mean"),
+                    _round6(ST.spread(F.col("n"), F.col("m2"))).alias("std"))
+
+
 @query("train_test_split", """
 SELECT o_orderkey, (CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 7) AS BIGINT) % 5) = 0
        AS is_test FROM orders""")

@@ -57,13 +57,11 @@ def with_reach(indexed: DataFrame, reach: int, idx: str = "idx",
     """Add block and context columns so a frame of ``reach`` rows back is whole per block."""
     if reach > block_rows:
         raise ValueError(f"reach {reach} exceeds block_rows {block_rows}")
-    own = (indexed.withColumn(BLOCK, F.expr(f"{idx} div {block_rows}"))
-           .withColumn(CONTEXT, F.lit(False)))
+    own = F.expr(f"{idx} div {block_rows}")
     # A row is context for the next block when its reach crosses the block boundary.
-    spill = (own.where(F.expr(f"({idx} + {reach}) div {block_rows}") > F.col(BLOCK))
-             .withColumn(BLOCK, F.col(BLOCK) + 1)
-             .withColumn(CONTEXT, F.lit(True)))
-    return own.unionByName(spill)
+    blocks = F.when(F.expr(f"({idx} + {reach}) div {block_rows}") > own, F.array(own, own + 1)).otherwise(F.array(own))
+    spread = indexed.withColumn(BLOCK, F.explode(blocks))
+    return spread.withColumn(CONTEXT, F.col(BLOCK) > own)
 
 
 def block_window(key: str | Sequence[str], idx: str = "idx"):
