@@ -18,9 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+MADE: list[str] = []  # paths of all intermediate tables, in order
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share."""
-    return scratch_path(spark, f"llm-{name}-{uuid.uuid4().hex}")
+    MADE.append(scratch_path(spark, f"llm-{name}-{uuid.uuid4().hex}"))
+    return MADE[-1]
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -228,17 +228,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     table that is not read from files is written first.
     """
     docs = docs.drop("position")
-    keep = [F.col(f"`{c}`") for c in docs.columns]
     row = file_row(docs)
     if row is None:
-        docs = materialise(docs.withColumn("__at", F.monotonically_increasing_id()), "mix-docs")
-        row = F.struct(F.lit("").alias("file"), F.col("__at").alias("at"))
+        docs = materialise(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), F.monotonically_increasing_id().alias("at")),
+                           "mix-docs").select("r.*", F.struct(F.lit("").alias("file"), "at").alias("__mix"))
+        row = F.col("__mix")
+    keep = [F.col(f"`{c}`") for c in docs.columns if c != "__mix"]
     plan = plan_mix(docs, id_col, text_col, source_col, row=row, **options)
-    taken = plan.where("copies > 0").select(F.col("row.file").alias("__file"), F.col("row.at").alias("__place"), F.col("positions").alias("__when"))
-    marked = docs.select(*keep, row["file"].alias("__from"), row["at"].alias("__row"))
-    joined = marked.join(taken, (F.col("__from") == F.col("__file")) & (F.col("__row") == F.col("__place")))
-    return (joined.select(*keep, F.explode("__when").alias("position"))
-            .repartitionByRange("position").sortWithinPartitions("position", f"`{id_col}`"))
+    taken = plan.where("copies > 0").select(F.col("row.file").alias("file"), F.col("row.at").alias("at"), "positions")
+    marked = docs.select(F.struct(*keep).alias("r"), row["file"].alias("file"), row["at"].alias("at"))
+    return (marked.join(taken, ["file", "at"]).select("r", F.explode("positions").alias("position"))
+            .repartitionByRange("position").sortWithinPartitions("position", F.col("r")[id_col]).select("r.*", "position"))
 
 
 SQL = rf"""
