@@ -39,7 +39,8 @@ def test_price_sink_window_default_name_and_empty(spark, tmp_dir):
     path = os.path.join(tmp_dir, "h")
     assert CSV.write_price_history(rows, path, "2024-01-01 00:00:00")
     got = spark.read.option("header", True).csv(path).collect()
-    assert sorted((r.Close, r.Ticker) for r in got) == [("2.0", "UNKNOWN"), ("3.0", "UNKNOWN")]
+    # [a day before less ten years, a day before): the rows of 2013-12-31 and 2014-01-02
+    assert sorted((r.Close, r.Ticker) for r in got) == [("1.0", "UNKNOWN"), ("2.0", "UNKNOWN")]
     none = os.path.join(tmp_dir, "none")
     assert CSV.write_price_history(rows, none, "1990-01-01 00:00:00", "t") is False
     assert not os.path.exists(none)
@@ -167,3 +168,26 @@ def test_scaler_merges_complete_and_incomplete_rows(spark):
     import statistics
     for c, values in (("a", [1.0, 2.0, 4.0, 9.0]), ("b", [10.0, 30.0, 50.0, 70.0])):
         assert fit[c] == pytest.approx((statistics.mean(values), statistics.stdev(values)))
+
+
+def test_price_files_with_different_columns(spark, tmp_dir):
+    put = lambda name, text: open(os.path.join(tmp_dir, name), "w").write(text)
+    put("aa.us.csv", "Date,Close\n2024-01-02,1.5\n2024-01-03,2.5\n")
+    put("bb.csv", "Date,Open,Close\n2024-01-02,9,3.5\n2024-01-03,9,\n")
+    put("cc.csv", 'Volume,"Close","Date"\n7,4.5,2024-01-04 10:00:00\n')
+    put("dd.csv", "Date,Close\n")
+    got = sorted((r.ticker, str(r.ts), r.price) for r in CSV.read_prices(spark, tmp_dir).collect())
+    assert got == [("AA", "2024-01-02 00:00:00", 1.5), ("AA", "2024-01-03 00:00:00", 2.5), ("BB", "2024-01-02 00:00:00", 3.5),
+                   ("CC", "2024-01-04 10:00:00", 4.5)]
+    put("ee.csv", "Day,Close\n2024-01-02,1\n")
+    with pytest.raises(ValueError, match="no Date and Close"):
+        CSV.read_prices(spark, tmp_dir)
+
+
+def test_price_sink_keeps_all_columns_under_its_default_name(spark, tmp_dir):
+    rows = spark.createDataFrame([("2020-01-01", 1.0, 5, "zz")], "d string, price double, Volume int, ticker string").select(
+        F.to_timestamp_ntz("d").alias("ts"), "price", "Volume", "ticker")
+    path = CSV.write_price_history(rows, None, "2024-01-01 00:00:00", "aapl", tmp_dir)
+    assert path == os.path.join(tmp_dir, "AAPL_10_years_data.csv")
+    got = spark.read.option("header", True).csv(path)
+    assert got.columns == ["Date", "Close", "Volume", "Ticker"] and got.first().Ticker == "AAPL" and got.first().Volume == "5"

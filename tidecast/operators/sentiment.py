@@ -3,7 +3,7 @@
 Lexicon scoring runs inside each row with higher-order array functions: tokens, longest-phrase match,
 modifier context and the per-document sums are one projection over the document table, without explode,
 shuffle or window, so that a document of any length is scored whole in the task that reads it. A lexicon
-given as a table is matched by equi-joins on its terms instead, whatever its size.
+given as a table is walked as a trie by equi-joins instead, whatever its size.
 
 Scoring rules (the lexicon names classes; the weights are this package's choice):
 * tokens are lower-case ``[a-z]+`` runs; a term is 1 to K tokens; at each position the longest term
@@ -16,11 +16,14 @@ Scoring rules (the lexicon names classes; the weights are this package's choice)
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from .text import tokens
 
 # fixed values: the shipped term -> class dictionary, in file order.
@@ -46,20 +49,34 @@ def load_lexicon(spark, path: str) -> DataFrame:
 
 
 def _term(col: Column) -> Column:
-    return F.array_join(F.filter(F.split(F.lower(col), r"\\s+"), lambda w: w != ""), " ")
+    return F.array_join(F.filter(F.split(F.lower(col), r"\s+"), lambda w: w != ""), " ")
 
 
 def lexicon_pairs(lexicon: Iterable[tuple[str, str]]) -> list[tuple[str, str]]:
-    """Lower-cased terms with single blanks; of equal terms the last one counts."""
-    return list({" ".join(t.lower().split()): c for t, c in lexicon if t and t.strip() and c}.items())
+    """Lower-cased terms with single blanks (ASCII ones); of equal terms the greatest class counts, as a table has
+    no order to go by."""
+    out: dict[str, str] = {}
+    for term, cls in lexicon:
+        words = re.findall(r"[^ \t\n\x0b\f\r]+", (term or "").lower())
+        if words and cls:
+            out[" ".join(words)] = max(cls, out.get(" ".join(words), cls))
+    return list(out.items())
 
 
-def lexicon_table(lexicon: DataFrame) -> DataFrame:
-    """(term, cls, first, n): the same normal form for a table; of equal terms the greatest class counts."""
+def lexicon_trie(lexicon: DataFrame) -> DataFrame:
+    """The lexicon's terms, in the same normal form, as a trie: (node, word, next, n, cls, more).
+
+    A node is named by the words that lead to it, the root by none. ``cls`` is the class of the term that ends with
+    this word, if one does, and ``more`` tells whether a longer one goes on.
+    """
     t = lexicon.where("cls is not null").select(_term(F.col("term")).alias("term"), "cls").where("term <> ''")
     t = t.groupBy("term").agg(F.max("cls").alias("cls"))
     words = F.split("term", " ")
-    return t.select("term", "cls", F.element_at(words, 1).alias("first"), F.size(words).alias("n"))
+    path = lambda k: F.array_join(F.slice(words, F.lit(1), k), " ")
+    steps = t.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: F.struct(
+        path(k - 1).alias("node"), F.element_at(words, k).alias("word"), path(k).alias("next"), k.alias("n"),
+        F.when(k == F.size(words), F.col("cls")).alias("cls"), (k < F.size(words)).alias("more")))).alias("s"))
+    return steps.select("s.*").groupBy("node", "word", "next", "n").agg(F.max("cls").alias("cls"), F.max("more").alias("more"))
 
 
 def _weights(cls: Column, table: dict, default: float) -> Column:
@@ -127,29 +144,54 @@ def _hits_in_row(a: DataFrame, keep: list, pairs: list) -> DataFrame:
     return a.select(*keep, F.size(t).alias("n_tokens"), F.array_compact(F.transform(z, match)).alias("_h"))
 
 
-def _hits_by_join(a: DataFrame, keep: list, lexicon: DataFrame) -> DataFrame:
-    """The same for a lexicon table of any size: tokens that begin some term are joined with its terms.
+GATE_BITS = 1 << 20
+
+
+def _gate(trie: DataFrame) -> Column:
+    """A predicate maker for the words that may begin a term: a table of GATE_BITS bits, whatever the lexicon's
+    size. It lets all words through that do, and of the others those that share a bit with one."""
+    rows = trie.where("n = 1").select(F.pmod(F.xxhash64("word"), F.lit(GATE_BITS)).alias("h")).selectExpr(
+        "h div 64 as k", "shiftleft(1L, int(h % 64)) as bit")
+    bits = [0] * (GATE_BITS // 64)
+    for r in rows.groupBy("k").agg(F.bit_or("bit").alias("b")).collect():  # at most GATE_BITS / 64 rows
+        bits[r["k"]] = r["b"]
+    table = F.from_json(F.lit(json.dumps(bits)), "array<bigint>")
+
+    def may_begin(word):
+        x = F.pmod(F.xxhash64(word), F.lit(GATE_BITS))
+        return F.getbit(F.get(table, (x / 64).cast("int")), (x % 64).cast("int")) == 1
 
-    Tokens are first met with the lexicon's distinct first words, so that only those that can begin a
-    term carry the words after them; ``keep`` has to identify the row. The longest match at a token comes
-    from a partial maximum, and a row gathers its own matches only.
+    return may_begin
+
+
+def _hits_by_trie(a: DataFrame, keep: list, lexicon: DataFrame) -> DataFrame:
+    """(keep, n_tokens, _h) for a lexicon table of any size, walked as a trie by equi-joins.
+
+    A gate of fixed size, tested inside the row, keeps tokens that begin no term from becoming rows. The others
+    carry the few words after them, and go on level by level while the trie has a node for the next word. Rows are
+    told apart by ``keep`` and a hash of their tokens: rows equal in both have equal matches.
     """
-    longest = lexicon.agg(F.max("n")).first()[0] or 1  # one number
-    t = F.col("_t")
-    sized = a.withColumn("n_tokens", F.size(t))
-    placed = a.select(*keep, F.posexplode(F.transform(
-        t, lambda w, i: F.struct(w.alias("w"), F.slice(t, i + 1, longest).alias("next")))).alias("pos", "x"))
-    first = lexicon.select(F.col("first").alias("w")).distinct()
-    able = placed.select(*keep, "pos", F.col("x.w").alias("w"), F.col("x.next").alias("next")).join(first, "w")
-    grams = able.select(*keep, "pos", F.explode(F.transform(
-        F.sequence(F.lit(1), F.size("next")), lambda n: F.array_join(F.slice("next", F.lit(1), n), " "))).alias("term"))
-    hits = grams.join(lexicon.select("term", "cls", "n"), "term").groupBy(*keep, "pos").agg(
-        F.max(F.struct("n", "cls")).alias("b"))
-    found = hits.groupBy(*keep).agg(F.sort_array(F.collect_list(F.struct(
-        F.col("pos"), F.col("b.cls").alias("cls"), F.col("b.n").alias("len")))).alias("_h"))
-    on = [sized[k].eqNullSafe(found[k]) for k in keep]
-    return sized.join(found, on, "left").select(
-        *[sized[k] for k in keep], "n_tokens", F.coalesce("_h", F.array().cast(f"array<{HIT_DDL}>")).alias("_h"))
+    trie = written(lexicon_trie(lexicon), "lexicon-trie")
+    longest = trie.agg(F.max("n")).first()[0] or 1  # one number
+    t, may_begin = F.col("_t"), _gate(trie)
+    # ids may repeat, and a hash join wants no NULL keys
+    sized = a.withColumn("n_tokens", F.size(t)).withColumn("_row", F.sha2(F.to_json(F.struct(*keep, "_t")), 256))
+    starts = sized.select("_row", F.explode(F.filter(F.transform(
+        t, lambda w, i: F.when(may_begin(w), F.struct(i.alias("pos"), F.slice(t, i + 1, longest).alias("words")))),
+        lambda x: x.isNotNull())).alias("x")).select("_row", "x.pos", "x.words").distinct()
+    walk = written(starts.withColumn("node", F.lit("")), "lexicon-starts")
+    found = None
+    for k in range(1, longest + 1):
+        level = trie.where(F.col("n") == k).drop("n")
+        step = walk.withColumn("word", F.get("words", F.lit(k - 1))).join(level, ["node", "word"])
+        hits = step.where("cls is not null").select("_row", "pos", F.lit(k).alias("len"), "cls")
+        found = hits if found is None else found.unionByName(hits)
+        walk = step.where("more").select("_row", "pos", "words", F.col("next").alias("node"))
+    best = found.groupBy("_row", "pos").agg(F.max(F.struct("len", "cls")).alias("b"))
+    lists = best.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct(
+        "pos", F.col("b.cls").alias("cls"), F.col("b.len").alias("len")))).alias("_h"))
+    return sized.join(lists, "_row", "left").select(
+        *keep, "n_tokens", F.coalesce("_h", F.array().cast(f"array<{HIT_DDL}>")).alias("_h"))
 
 
 def lexicon_scores(docs: DataFrame, text: str = "text",
@@ -165,7 +207,7 @@ def lexicon_scores(docs: DataFrame, text: str = "text",
     toks = F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z]+"), "")
     a = docs.select(*keep, toks.alias("_t"))
     if isinstance(lexicon, DataFrame):
-        b = _hits_by_join(a, keep, lexicon_table(lexicon))
+        b = _hits_by_trie(a, keep, lexicon)
     else:
         b = _hits_in_row(a, keep, lexicon_pairs(lexicon))
 

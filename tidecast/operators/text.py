@@ -141,6 +141,52 @@ def search(articles: DataFrame, company: str, lang: str = "en", page_size: int =
                     "score"))
 
 
+INDEX_BUCKETS = 64
+
+
+def build_index(articles: DataFrame, path: str, buckets: int = INDEX_BUCKETS) -> str:
+    """Write an inverted index of whole articles under ``path``: ``postings`` (term, doc_id, tf), in buckets by term,
+    and ``facts`` (doc_id, company, lang, published_at, title, description, url, n_tokens), which hold no text.
+
+    A NULL text has no token. Articles that share an id count as one text. Terms are counted where the text is read,
+    so a frequent term costs one row an article.
+    """
+    spark = articles.sparkSession
+    posts = articles.select("doc_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(
+        F.count("*").alias("tf")).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    # a bucket is as many files as tasks: no bucket passes through one task, however frequent its terms
+    posts.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    articles.select("doc_id", "company", "lang", "published_at", "title", F.regexp_extract("text", r"^[^\n]*", 0).alias("description"),
+                    "url", F.coalesce(F.size(tokens(F.col("text"))), F.lit(0)).alias("n_tokens")).write.parquet(f"{path}/facts")
+    return path
+
+
+def search_index(spark, path: str, queries: DataFrame, page_size: int = 100, lang: str | None = None, start: str | None = None,
+                 end: str | None = None, buckets: int = INDEX_BUCKETS) -> DataFrame:
+    """(query, rank, score, and the facts) of the ``page_size`` best articles of every (query, words) row.
+
+    The score is the number of the article's tokens that are words of the query, ties go to the smaller id. Only the
+    buckets of the queries' words are read, and each query's top comes from partial tops of the tasks.
+    """
+    words = queries.select("query", F.explode(F.array_distinct(tokens(F.col("words")))).alias("term")).distinct()
+    words = words.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    facts = spark.read.parquet(f"{path}/facts").dropDuplicates(["doc_id"])
+    if lang is not None:
+        facts = facts.where(F.col("lang") == lang)
+    if start is not None:
+        facts = facts.where(F.col("published_at") >= F.lit(start).cast("timestamp_ntz"))
+    if end is not None:
+        facts = facts.where(F.col("published_at") < F.lit(end).cast("timestamp_ntz"))
+    kinds = facts.schema["doc_id"].dataType.simpleString()
+    posts = spark.read.schema(f"doc_id {kinds}, term STRING, tf BIGINT, bucket INT").parquet(f"{path}/postings").join(words, ["bucket", "term"])
+    scored = posts.groupBy("query", "doc_id").agg(F.sum("tf").alias("score"))
+    if (lang, start, end) != (None, None, None):
+        scored = scored.join(facts.select("doc_id"), "doc_id", "left_semi")
+    w = Window.partitionBy("query").orderBy(F.col("score").desc(), "doc_id")
+    top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= page_size)
+    return top.join(facts, "doc_id").select("query", "rank", "score", *facts.columns)
+
+
 def top_n_per_company(articles: DataFrame, n: int = 10) -> DataFrame:
     """First ``n`` articles per company, newest first (rank 1 = newest)."""
     w = Window.partitionBy("company").orderBy(F.col("published_at").desc(), F.col("doc_id").desc())

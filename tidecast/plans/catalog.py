@@ -480,6 +480,27 @@ def q_news_search(spark, sf):
     return X.search(X.articles_between(spark, sf, SEARCH_START, SEARCH_END), SEARCH_COMPANY)
 
 
+# Stand-in companies for the search over all of them: their names are words of the test texts.
+SEARCH_COMPANIES = ("the", "and", "le", "der", "que", "with", "of", "la casa", "absent name")
+
+
+@query("news_search_all", f"""
+WITH {SQL_ARTICLES}, names(company) AS (VALUES {", ".join(f"('{c}')" for c in SEARCH_COMPANIES)}),
+q AS (SELECT DISTINCT company AS query, unnest(string_split(company || ' stock', ' ')) AS term FROM names),
+tok AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS term FROM arts
+        WHERE published_at >= TIMESTAMP '{SEARCH_START}' AND published_at < TIMESTAMP '{SEARCH_END}'),
+s AS (SELECT query, doc_id, count(*) AS score FROM tok JOIN q USING (term) GROUP BY 1, 2),
+r AS (SELECT query, doc_id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS rank FROM s)
+SELECT query AS company, CAST(rank AS INTEGER) AS rank, doc_id, score, title, regexp_extract(text, '^[^\n]*', 0) AS description, url
+FROM r JOIN arts USING (doc_id) WHERE rank <= 100""")
+def q_news_search_all(spark, sf):
+    """All companies' searches in one plan over an inverted index, which is made here and holds every article."""
+    index = X.build_index(T.articles(spark, sf), _fresh(spark, "news-index"))
+    queries = spark.createDataFrame([(c, f"{c} stock") for c in SEARCH_COMPANIES], "query STRING, words STRING")
+    found = X.search_index(spark, index, queries, page_size=100, start=SEARCH_START, end=SEARCH_END)
+    return found.select(F.col("query").alias("company"), "rank", "doc_id", "score", "title", "description", "url")
+
+
 NEWS_AS_OF = "2024-01-20 12:00:00"
 
 
@@ -596,11 +617,20 @@ def q_lexicon_sentiment(spark, sf):
     return SN.lexicon_scores(T.table(spark, sf, "documents"), "text", PROBE_LEXICON)
 
 
-@query("lexicon_table_sentiment", SQL_LEXICON)
+SQL_LEXICON_TWICE = (SQL_LEXICON.replace("FROM documents),", "FROM src),")
+                     .replace("WITH lex", "WITH src AS (SELECT doc_id * 2 AS doc_id, text FROM documents UNION ALL SELECT "
+                              "doc_id * 2 + 1, regexp_extract(text, '^[^\\n]*', 0) FROM documents), lex")
+                     .replace("SELECT doc_id, n_tokens, s AS", "SELECT doc_id // 2 AS doc_id, n_tokens, s AS"))
+
+
+@query("lexicon_table_sentiment", SQL_LEXICON_TWICE)
 def q_lexicon_table_sentiment(spark, sf):
-    """The same scores with the lexicon as a table: matched by joins instead of inside the plan."""
-    lexicon = spark.createDataFrame(list(PROBE_LEXICON), "term STRING, cls STRING")
-    return SN.lexicon_scores(T.table(spark, sf, "documents"), "text", lexicon)
+    """Scores with the lexicon as a table, of untidy terms, over whole texts and first lines under the same ids."""
+    untidy = [(f"  {t.upper()} ".replace(" ", "  \t"), c) for t, c in PROBE_LEXICON]
+    lexicon = spark.createDataFrame(untidy + [("the", "negative"), (" ", "positive"), ("and", None)], "term STRING, cls STRING")
+    docs = T.table(spark, sf, "documents").select("doc_id", "text")
+    lines = docs.withColumn("text", F.regexp_extract("text", r"^[^\n]*", 0))
+    return SN.lexicon_scores(docs.unionByName(lines), "text", lexicon)
 
 
 def _annotations(spark, sf):
@@ -1158,12 +1188,16 @@ HISTORY_AS_OF = "2001-08-01 00:00:00"
 @query("price_csv_scan", """
 SELECT upper(replace(o_orderpriority, ' ', '_')) AS ticker, o_orderdate AS ts, o_totalprice AS price FROM orders""")
 def q_price_csv_scan(spark, sf):
-    """Daily prices written as CSV, one folder per series, and read back with names from the paths."""
+    """Daily prices written as CSV, one folder per series, their columns in another order and number for some of
+    them, and read back with names from the paths."""
     path = _fresh(spark, "price-csv")
-    file = F.concat(F.lower(F.replace("ticker", F.lit(" "), F.lit("_"))), F.lit(".daily.csv"))
-    (T.daily_prices(spark, sf).select(F.col("ts").alias("Date"), F.col("price").alias("Close"),
-                                      F.lit(1).alias("Volume"), file.alias("file"))
-     .write.option("header", True).partitionBy("file").csv(path))
+    name = F.lower(F.replace("ticker", F.lit(" "), F.lit("_")))
+    rows = T.daily_prices(spark, sf).select(F.col("ts").alias("Date"), F.col("price").alias("Close"), F.lit(1).alias("Volume"),
+                                            F.concat(name, F.lit(".daily.csv")).alias("file"))
+    urgent = F.col("file").rlike("^[12]")
+    rows.where(~urgent).write.option("header", True).partitionBy("file").csv(path)
+    rows.where(urgent).select("Volume", "Close", F.lit("a, b").alias("Note"), "Date", "file").write.mode("append").option(
+        "header", True).partitionBy("file").csv(path)
     return CSV.read_prices(spark, path)
 
 
@@ -1175,11 +1209,12 @@ def q_wide_csv_scan(spark, sf):
 
 
 @query("price_csv_sink", f"""
-SELECT o_orderdate AS "Date", o_totalprice AS "Close", 'AAPL' AS "Ticker" FROM orders
-WHERE o_orderdate >= TIMESTAMP '{HISTORY_AS_OF}' - INTERVAL {int(CSV.HISTORY_DAYS * 24)} HOUR
-  AND o_orderdate <= TIMESTAMP '{HISTORY_AS_OF}'""")
+SELECT o_orderdate AS "Date", o_totalprice AS "Close", o_orderkey AS "Volume", 'AAPL' AS "Ticker" FROM orders
+WHERE o_orderdate >= TIMESTAMP '{HISTORY_AS_OF}' - INTERVAL 87684 HOUR AND o_orderdate < TIMESTAMP '{HISTORY_AS_OF}' - INTERVAL 24 HOUR""")
 def q_price_csv_sink(spark, sf):
-    path = _fresh(spark, "history-csv")
-    CSV.write_price_history(T.daily_prices(spark, sf), path, HISTORY_AS_OF, "aapl")
+    """Ten years that end a day before, without their last instant, under the default name, all columns kept."""
+    folder = _fresh(spark, "history-csv")
+    prices = T.daily_prices(spark, sf).select("ts", "price", F.col("seq").alias("Volume"))
+    path = CSV.write_price_history(prices, None, HISTORY_AS_OF, "aapl", folder)
     return spark.read.option("header", True).schema(
-        "Date TIMESTAMP_NTZ, Close DOUBLE, Ticker STRING").csv(path)
+        "Date TIMESTAMP_NTZ, Close DOUBLE, Volume BIGINT, Ticker STRING").csv(path)
