@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 N_WIDE = 65
@@ -117,5 +117,12 @@ def first_pairs(pred: DataFrame, order: list[str], n: int = 5, label: str = "lab
     return pred.orderBy(*order).limit(n).select(*order, label, prediction)
 
 
+def first_pairs_by(pred: DataFrame, key: str, order: list[str], n: int = 5, label: str = "label",
+                   prediction: str = "prediction") -> DataFrame:
+    """The first ``n`` (prediction, truth) pairs of every key, with their rank; partial limits in the tasks."""
+    w = Window.partitionBy(key).orderBy(*order)
+    return pred.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select(key, "rank", *order, label, prediction)
+
+
 def vector_values(df: DataFrame, vec: str, out: str = "values") -> DataFrame:
     return df.withColumn(out, vector_to_array(F.col(vec)))

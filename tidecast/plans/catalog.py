@@ -84,7 +84,7 @@ def q_bars_daily(spark, sf):
 
 
 def _r6(x: str) -> str:
-    return f"floor({x} * 1e6 + 0.5) / 1e6"
+    return f"floor(({x}) * 1e6 + 0.5) / 1e6"
 
 
 @query("bars_rollup", " UNION ALL ".join(f"""
@@ -964,6 +964,7 @@ def q_mse_naive(spark, sf):
 from pyspark.ml.functions import array_to_vector, vector_to_array  # noqa: E402
 
 from ..operators import classifier as CL  # noqa: E402
+from ..operators import gram as GR  # noqa: E402
 from ..operators import ml as ML  # noqa: E402
 from . import jobs as JB  # noqa: E402
 
@@ -1082,6 +1083,60 @@ def q_evaluate(spark, sf):
     return ML.evaluate(model.transform(sw.where("is_test")))
 
 
+LAGS = 3
+
+
+def _lagged(spark, sf):
+    """Bars with the three closes before them, and the ticker's mean close as the centre."""
+    bars = _hourly(spark, sf)
+    lags = series.rolling(bars, "ticker", "bar_ts", B.chunk_of("hour"), LAGS, lambda w: {
+        f"x{k}": F.lag("close", k).over(w) for k in range(1, LAGS + 1)})
+    return lags.join(bars.groupBy("ticker").agg(F.avg("close").alias("mid")), "ticker").select(
+        "ticker", "bar_ts", "close", "x1", "x2", "x3", "mid")
+
+
+# Normal equations of three lags about their means, solved by Cramer's rule.
+SQL_BY_TICKER = f"""
+WITH {sql_bars('hour')},
+l AS (SELECT ticker, close AS y, lag(close, 1) OVER w AS a, lag(close, 2) OVER w AS b, lag(close, 3) OVER w AS c FROM bars
+      WINDOW w AS (PARTITION BY ticker ORDER BY bar_ts)),
+m AS (SELECT *, y - avg(y) OVER p AS dy, a - avg(a) OVER p AS da, b - avg(b) OVER p AS db, c - avg(c) OVER p AS dc,
+             avg(y) OVER p AS my, avg(a) OVER p AS ma, avg(b) OVER p AS mb, avg(c) OVER p AS mc
+      FROM l WHERE c IS NOT NULL WINDOW p AS (PARTITION BY ticker)),
+s AS (SELECT ticker, count(*) AS n, any_value(my) AS my, any_value(ma) AS ma, any_value(mb) AS mb, any_value(mc) AS mc,
+             sum(da * da) AS aa, sum(da * db) AS ab, sum(da * dc) AS ac, sum(db * db) AS bb, sum(db * dc) AS bc, sum(dc * dc) AS cc,
+             sum(da * dy) AS ay, sum(db * dy) AS by_, sum(dc * dy) AS cy FROM m GROUP BY ticker),
+d AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det,
+             ay * (bb * cc - bc * bc) - ab * (by_ * cc - bc * cy) + ac * (by_ * bc - bb * cy) AS d1,
+             aa * (by_ * cc - bc * cy) - ay * (ab * cc - bc * ac) + ac * (ab * cy - by_ * ac) AS d2,
+             aa * (bb * cy - by_ * bc) - ab * (ab * cy - by_ * ac) + ay * (ab * bc - bb * ac) AS d3 FROM s),
+w AS (SELECT ticker, n, d1 / det AS w1, d2 / det AS w2, d3 / det AS w3, my, ma, mb, mc FROM d)"""
+
+
+@query("forecast_by_ticker", SQL_BY_TICKER + f"""
+SELECT ticker, n, {_r6('my - w1 * ma - w2 * mb - w3 * mc')} AS intercept, {_r6('w1')} AS w1, {_r6('w2')} AS w2, {_r6('w3')} AS w3 FROM w""")
+def q_forecast_by_ticker(spark, sf):
+    """One model for each ticker, all solved from their sums of products."""
+    m = GR.fit_by(_lagged(spark, sf), "ticker", ["x1", "x2", "x3"], "close", centre="mid")
+    return m.select("ticker", "n", _round6(F.col("intercept")).alias("intercept"),
+                    *[_round6(F.get("weights", F.lit(k))).alias(f"w{k + 1}") for k in range(LAGS)])
+
+
+@query("forecast_by_ticker_pairs", SQL_BY_TICKER + f""",
+r AS (SELECT ticker, bar_ts, close, lag(close, 1) OVER w AS a, lag(close, 2) OVER w AS b, lag(close, 3) OVER w AS c,
+             row_number() OVER (PARTITION BY ticker ORDER BY bar_ts) AS i FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY bar_ts))
+SELECT r.ticker, bar_ts, CAST(i - {LAGS} AS INTEGER) AS rank, close AS truth,
+       {_r6('my - w1 * ma - w2 * mb - w3 * mc + w1 * a + w2 * b + w3 * c')} AS prediction
+FROM r JOIN w USING (ticker) WHERE i BETWEEN {LAGS + 1} AND {LAGS + 5}""")
+def q_forecast_by_ticker_pairs(spark, sf):
+    """The first five (prediction, truth) pairs of every ticker."""
+    rows = written(_lagged(spark, sf), "lagged")
+    models = GR.fit_by(rows, "ticker", ["x1", "x2", "x3"], "close", centre="mid")
+    pred = GR.predict_by(rows.where("x3 is not null"), models, "ticker", ["x1", "x2", "x3"])
+    return ML.first_pairs_by(pred, "ticker", ["bar_ts"], 5, "close").select(
+        "ticker", "bar_ts", "rank", F.col("close").alias("truth"), _round6(F.col("prediction")).alias("prediction"))
+
+
 def _trained(spark, sf):
     return JB.daily_train(spark, sf, FE.ticker_dim(spark, NEWS_DIM))
 
