@@ -53,3 +53,64 @@ def test_registry_latest_wins(spark, tmp_dir):
     assert loaded.coefficients[0] == pytest.approx(m2.coefficients[0])
     with pytest.raises(ValueError):
         registry.latest(spark, "nope", root=tmp_dir)
+
+
+class Saved:
+    """Stands for a model: writes a folder with its name in it."""
+
+    def __init__(self, spark, name):
+        self.spark, self.name = spark, name
+
+    def write(self):
+        return self
+
+    def overwrite(self):
+        return self
+
+    def save(self, path):
+        self.spark.createDataFrame([(self.name,)], "name STRING").coalesce(1).write.parquet(path)
+
+
+def test_replacing_leaves_one_live_version_and_appending_all(spark, tmp_dir):
+    for k in range(3):
+        registry.save(spark, Saved(spark, f"a{k}"), "kept", {"k": k}, root=tmp_dir)
+        registry.save(spark, Saved(spark, f"r{k}"), "only", {"k": k}, root=tmp_dir, replace=True)
+    assert [v["metrics"]["k"] for v in registry.live(spark, "kept", tmp_dir)] == [0, 1, 2]
+    assert [v["metrics"]["k"] for v in registry.live(spark, "only", tmp_dir)] == [2]
+    registry.retire(spark, "kept", 3, tmp_dir)
+    assert registry.latest(spark, "kept", tmp_dir).metrics == {"k": 1.0}
+    with pytest.raises(ValueError):
+        registry.retire(spark, "kept", 3, tmp_dir)
+    assert registry.expire(spark, "kept", tmp_dir) == 1 and registry.expire(spark, "only", tmp_dir) == 2
+    assert spark.read.parquet(registry.latest(spark, "kept", tmp_dir).path).first().name == "a1"
+    assert [v["version"] for v in registry.live(spark, "kept", tmp_dir)] == [1, 2]
+
+
+def test_of_racing_writers_one_replacement_is_live(spark, tmp_dir):
+    import threading
+    errors = []
+
+    def write(name, replace):
+        try:
+            registry.save(spark, Saved(spark, name), "m", root=tmp_dir, replace=replace)
+        except Exception as e:  # noqa: BLE001
+            errors.append(e)
+
+    threads = [threading.Thread(target=write, args=(n, True)) for n in "abcd"]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert not errors and len(registry.live(spark, "m", tmp_dir)) == 1
+    threads = [threading.Thread(target=write, args=(n, False)) for n in "ef"]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert not errors and len(registry.live(spark, "m", tmp_dir)) == 3
+    assert len({v["path"] for v in registry.live(spark, "m", tmp_dir)}) == 3
+
+
+def test_a_registry_outside_the_checkpoint_folder(spark, tmp_dir):
+    spark.conf.set(registry.SETTING, tmp_dir + "/models-of-mine")
+    try:
+        path = registry.save(spark, Saved(spark, "x"), "m")
+        assert path.startswith(tmp_dir + "/models-of-mine") and registry.latest(spark, "m").path == path
+    finally:
+        spark.conf.unset(registry.SETTING)

@@ -1,50 +1,107 @@
-"""Model registry: versioned Spark ML model folders plus an append-only registry table.
+"""Model registry: versioned Spark ML model folders, switched by manifests that are created once.
 
-A save writes the model to a new folder under the shared checkpoint folder, then appends one registry
-row; readers take the latest row per model name. Replacing a model is therefore "write the new
-version, then switch", with no moment where no model exists.
+A save writes the model to a new folder, then creates the next manifest of its name, which lists the live versions,
+newest last; readers take the newest manifest's last entry. So there is no moment without a model, a reader meets a
+whole list or the one before, and of two writers that race one fails, reads the other's manifest and adds to that.
+``append`` keeps the versions before it (the newest ``KEEP``), ``replace`` is the one live version from its manifest on,
+``retire`` takes a version out, and ``expire`` deletes the folders that the newest manifests do not name.
+
+The registry lies in ``root``, or in ``spark.tidecast.registry``, or in the folder that driver and executors share;
+set one of the first two to keep models beyond a checkpoint folder's life.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import Row, SparkSession
-from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .kv import latest_per_key
+from .kvstore import ATTEMPTS, Conflict, Files
+
+SETTING = "spark.tidecast.registry"
+KEEP = 100
+
+
+def registry_root(spark: SparkSession, root: str | None = None) -> str:
+    return root or spark.conf.get(SETTING, None) or scratch_path(spark, "registry")
+
+
+def _files(spark: SparkSession, root: str | None) -> Files:
+    return Files(spark, registry_root(spark, root))
+
 
-REGISTRY_TABLE = "model_registry"
-SCHEMA = "model_name STRING, path STRING, trained_at TIMESTAMP_NTZ, seq STRING, metrics MAP<STRING,DOUBLE>"
+def _numbers(files: Files, name: str) -> list[int]:
+    return [int(n[1:-5]) for n in files.names(f"manifests/{name}") if n.startswith("v") and n.endswith(".json")]
 
 
-def registry_path(spark: SparkSession, root: str | None = None) -> str:
-    return f"{root}/{REGISTRY_TABLE}" if root else scratch_path(spark, REGISTRY_TABLE)
+def live(spark: SparkSession, name: str, root: str | None = None) -> list[dict]:
+    """The live versions of ``name``, newest last: dicts of version, path, trained_at, metrics."""
+    files = _files(spark, root)
+    for n in sorted(_numbers(files, name), reverse=True):
+        try:
+            return json.loads(files.read(f"manifests/{name}/v{n:012d}.json"))
+        except json.JSONDecodeError:
+            continue  # its writer died
+    return []
 
 
-def save(spark: SparkSession, model, name: str, metrics: dict | None = None,
-         root: str | None = None) -> str:
-    now = datetime.now(timezone.utc).replace(tzinfo=None)
-    seq = f"{now:%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
-    base = root or scratch_path(spark, "models")
-    path = f"{base}/models/{name}/{seq}" if root else f"{base}/{name}/{seq}"
+def _switch(spark: SparkSession, name: str, root: str | None, change) -> list[dict]:
+    """Make ``change(live versions, next number)`` the live versions."""
+    files = _files(spark, root)
+    for _ in range(ATTEMPTS):
+        number = max(_numbers(files, name), default=0) + 1
+        now = change(live(spark, name, root), number)
+        try:
+            files.create(f"manifests/{name}/v{number:012d}.json", json.dumps(now))
+            return now
+        except Conflict:
+            continue
+    raise Conflict(f"no manifest of {name!r} could be made in {ATTEMPTS} attempts")
+
+
+def save(spark: SparkSession, model, name: str, metrics: dict | None = None, root: str | None = None, replace: bool = False) -> str:
+    """Write a model and make it the newest version (the only one, if ``replace``); returns its path."""
+    at = datetime.now(timezone.utc).replace(tzinfo=None)
+    path = f"{registry_root(spark, root)}/models/{name}/{at:%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
     model.write().overwrite().save(path)
-    row = spark.createDataFrame(
-        [(name, path, now, seq, {k: float(v) for k, v in (metrics or {}).items()})], SCHEMA)
-    row.write.mode("append").parquet(registry_path(spark, root))
+    told = {k: float(v) for k, v in (metrics or {}).items()}
+    _switch(spark, name, root, lambda old, number: [*([] if replace else old[-(KEEP - 1):]), {
+        "version": number, "path": path, "trained_at": at.isoformat(), "metrics": told}])
     return path
 
 
+def retire(spark: SparkSession, name: str, version: int, root: str | None = None) -> None:
+    """Take a version out of the live ones; its folder stays until ``expire``."""
+    if all(v["version"] != version for v in live(spark, name, root)):
+        raise ValueError(f"model {name!r} has no live version {version}")
+    _switch(spark, name, root, lambda old, _: [v for v in old if v["version"] != version])
+
+
+def expire(spark: SparkSession, name: str, root: str | None = None) -> int:
+    """Delete what only manifests before the newest name; returns how many model folders went.
+
+    For use while no save is under way: a folder whose manifest is still to come looks like one that is gone.
+    """
+    files = _files(spark, root)
+    kept = {v["path"].rsplit("/", 1)[1] for v in live(spark, name, root)}
+    gone = [n for n in files.names(f"models/{name}") if n not in kept]
+    for n in gone:
+        files.delete(f"models/{name}/{n}")
+    for n in sorted(_numbers(files, name))[:-1]:
+        files.delete(f"manifests/{name}/v{n:012d}.json")
+    return len(gone)
+
+
 def latest(spark: SparkSession, name: str, root: str | None = None) -> Row:
-    """Registry row of the newest version of ``name``; raises when there is none."""
-    reg = spark.read.schema(SCHEMA).parquet(registry_path(spark, root))
-    best = latest_per_key(reg.where(F.col("model_name") == name), "model_name", "trained_at", "seq")
-    row = best.first()
-    if row is None:
+    """The newest live version of ``name``; raises when there is none."""
+    versions = live(spark, name, root)
+    if not versions:
         raise ValueError(f"model {name!r} not found in the registry")
-    return row
+    v = versions[-1]
+    return Row(model_name=name, version=v["version"], path=v["path"], trained_at=datetime.fromisoformat(v["trained_at"]), metrics=v["metrics"])
 
 
 def load(spark: SparkSession, name: str, loader, root: str | None = None):

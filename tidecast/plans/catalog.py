@@ -962,6 +962,7 @@ def q_mse_naive(spark, sf):
 # ---------------------------------------------------------------- model operators
 
 from pyspark.ml.functions import array_to_vector, vector_to_array  # noqa: E402
+from pyspark.ml.regression import LinearRegressionModel  # noqa: E402
 
 from ..operators import classifier as CL  # noqa: E402
 from ..operators import gram as GR  # noqa: E402
@@ -1065,8 +1066,8 @@ def q_assemble(spark, sf):
 
 def _split_windows(spark, sf):
     sw = W.sequence_windows(_hourly(spark, sf)).withColumn("features", array_to_vector("seq"))
-    return sw.withColumn("is_test", ML.is_test(
-        F.concat_ws("|", "ticker", F.col("bar_ts").cast("string"))))
+    # the windows feed the fit and the scores: written once
+    return written(sw.withColumn("is_test", ML.is_test(F.concat_ws("|", "ticker", F.col("bar_ts").cast("string")))), "split-windows")
 
 
 @query("forecast_regression")
@@ -1137,8 +1138,20 @@ def q_forecast_by_ticker_pairs(spark, sf):
         "ticker", "bar_ts", "rank", F.col("close").alias("truth"), _round6(F.col("prediction")).alias("prediction"))
 
 
+_TRAINED: dict[tuple[str, str], str] = {}  # (application, tables) -> registry folder
+
+
 def _trained(spark, sf):
-    return JB.daily_train(spark, sf, FE.ticker_dim(spark, NEWS_DIM))
+    """(models, metrics, the second model's rows) of these tables: trained and registered once in an application,
+    loaded by every later query."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _TRAINED:
+        root = _fresh(spark, "models")
+        _, metrics = JB.daily_train(spark, sf, FE.ticker_dim(spark, NEWS_DIM), register=root, rows_path=f"{root}/rows")
+        metrics.write.parquet(f"{root}/metrics")
+        _TRAINED[key] = root
+    root = _TRAINED[key]
+    return JB.load_models(spark, LinearRegressionModel, root), spark.read.parquet(f"{root}/metrics"), spark.read.parquet(f"{root}/rows")
 
 
 @query("daily_training")
@@ -1148,26 +1161,46 @@ def q_daily_training(spark, sf):
 
 @query("senti_regression")
 def q_senti_regression(spark, sf):
-    models, _ = _trained(spark, sf)
-    wide = JB.history_rows(spark, sf, FE.ticker_dim(spark, NEWS_DIM), models.forecaster)
+    models, _, wide = _trained(spark, sf)
     z = ML.scaled_vector(wide, models.scaler, JB.FEATS)
     return models.senti.transform(z).select("ticker", "run_ts", F.col("v65").alias("target"), "prediction")
 
 
 @query("predict_rows")
 def q_predict_rows(spark, sf):
-    models, _ = _trained(spark, sf)
-    dim = FE.ticker_dim(spark, NEWS_DIM)
-    wide = JB.history_rows(spark, sf, dim, models.forecaster).drop(JB.TARGET)
-    z = ML.scaled_vector(wide, models.scaler, JB.FEATS)
+    models, _, wide = _trained(spark, sf)
+    z = ML.scaled_vector(wide.drop(JB.TARGET), models.scaler, JB.FEATS)
     return models.senti.transform(z).select("ticker", "run_ts", "prediction")
 
 
 @query("hourly_predictions")
 def q_hourly_predictions(spark, sf):
-    dim = FE.ticker_dim(spark, NEWS_DIM)
-    models, _ = JB.daily_train(spark, sf, dim)
-    return JB.hourly_predict(spark, sf, models, dim)
+    return JB.hourly_predict(spark, sf, _trained(spark, sf)[0], FE.ticker_dim(spark, NEWS_DIM))
+
+
+SQL_NEWS_SCORE = f"""
+WITH {SQL_CAL}, arts AS (SELECT doc_id, source AS company,
+  TIMESTAMP '{T.ARTICLE_ORIGIN}' + to_minutes(doc_id * {T.ARTICLE_SPACING_MINUTES}) AS published_at FROM documents),
+{sql_bars('hour')}, dim(ticker, company) AS (VALUES {_sql_values(NEWS_DIM)}),
+src AS (SELECT page_id AS doc_id, text FROM ({SQL_PAGE_TEXT}) WHERE status = 'ok'),
+scored AS (SELECT doc_id, compound FROM ({SQL_LEXICON.replace("FROM documents),", "FROM src),")})),
+days_of AS (SELECT DISTINCT ticker, CAST((bar_ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS DATE) AS ny_date FROM bars),
+runs AS (SELECT d.ticker, e.run_ts, t.company FROM days_of d JOIN cal e USING (ny_date) JOIN dim t USING (ticker)
+         WHERE e.trigger_type = 'hourly_prediction'),
+near AS (SELECT r.ticker, r.run_ts, z.compound, row_number() OVER (PARTITION BY r.ticker, r.run_ts
+           ORDER BY o.published_at DESC, o.doc_id DESC) AS i
+         FROM runs r JOIN arts o ON o.company = r.company AND o.published_at >= r.run_ts - INTERVAL 25 HOUR
+           AND o.published_at < r.run_ts - INTERVAL 24 HOUR JOIN scored z USING (doc_id))
+SELECT ticker, run_ts, count(*) AS n_articles, {_r6('avg(compound)')} AS lex_score FROM near WHERE i <= 2 GROUP BY 1, 2"""
+
+
+@query("hourly_news_score", SQL_NEWS_SCORE)
+def q_hourly_news_score(spark, sf):
+    """The hourly run's news score: page texts of the window's newest articles, pages that failed left out."""
+    pages = X.page_text(T.pages(spark, sf)).select(F.col("page_id").alias("doc_id"), "text", "status")
+    runs = FE.runs_for(JB.hourly_bars(spark, sf))
+    out = JB.news_scores(spark, sf, runs, FE.ticker_dim(spark, NEWS_DIM), per_run=2, lexicon=PROBE_LEXICON, lang=None, pages=pages)
+    return out.select("ticker", "run_ts", "n_articles", _round6(F.col("lex_score")).alias("lex_score"))
 
 
 class LastValue:

@@ -49,10 +49,13 @@ def hourly_bars(spark: SparkSession, sf: str) -> DataFrame:
 
 def news_scores(spark: SparkSession, sf: str, runs: DataFrame, dim: DataFrame,
                 per_run: int = 1, lexicon=SN.DEFAULT_LEXICON, lang: str | None = "en",
-                keyword: str | None = None) -> DataFrame:
+                keyword: str | None = None, pages: DataFrame | None = None) -> DataFrame:
     """(ticker, run_ts) -> mean lexicon compound of the first ``per_run`` articles of the ticker's company
     published in [run - 25h, run - 24h), in order of relevance to ``keyword`` if one is given, then newest
-    first; runs without news get no row.
+    first, and how many they are (``n_articles``); runs without news get no row.
+
+    With ``pages`` (doc_id, text, status; as ``text.page_text`` makes them) an article's page text is scored, and
+    articles whose page is missing, was not fetched or holds no text are left out.
 
     Each article is scored once, where it lies; only ids, times and scores are joined.
     """
@@ -61,17 +64,21 @@ def news_scores(spark: SparkSession, sf: str, runs: DataFrame, dim: DataFrame,
     if lang:
         arts = arts.where(F.col("lang") == lang)
     hits = X.relevance(F.col("text"), f"{keyword} stock") if keyword else F.lit(0)
-    arts = arts.select("company", "doc_id", "published_at", hits.alias("hits"),
-                       F.concat("title", "text").alias("body"))
+    body = F.concat("title", "text") if pages is None else F.lit(None).cast("string")
+    arts = arts.select("company", "doc_id", "published_at", hits.alias("hits"), body.alias("body"))
     if keyword:
         arts = arts.where("hits > 0")
-    scored = SN.lexicon_scores(arts, "body", lexicon, keep=("company", "doc_id", "published_at", "hits")).select(
-        "company", "doc_id", "published_at", "hits", "compound")
+    facts = ("company", "published_at", "hits")
+    if pages is None:
+        scored = SN.lexicon_scores(arts, "body", lexicon, keep=("doc_id", *facts)).select("doc_id", *facts, "compound")
+    else:
+        scored = SN.lexicon_scores(pages.where("status = 'ok'"), "text", lexicon).select("doc_id", "compound").join(
+            arts.drop("body"), "doc_id")
     j = interval_join(r, scored, "run_ts", "published_at", 25, 24, keys=["company"])
     w = Window.partitionBy("ticker", "run_ts").orderBy(
         F.col("hits").desc(), F.col("published_at").desc(), F.col("doc_id").desc())
     top = j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_run)
-    return top.groupBy("ticker", "run_ts").agg(F.avg("compound").alias("lex_score"))
+    return top.groupBy("ticker", "run_ts").agg(F.avg("compound").alias("lex_score"), F.count("*").alias("n_articles"))
 
 
 def run_windows(bars: DataFrame, runs: DataFrame) -> DataFrame:
@@ -102,7 +109,7 @@ def feature_rows(rows: DataFrame, scores: DataFrame | None) -> DataFrame:
     A run without news scores 0 for the lexicon; the reply score is NULL unless a ``reply`` column is
     present, and a NULL is replaced by 0 with ``llm_missing`` set instead of spoiling the row.
     """
-    r = rows if scores is None else rows.join(scores, ["ticker", "run_ts"], "left")
+    r = rows if scores is None else rows.join(scores.select("ticker", "run_ts", "lex_score"), ["ticker", "run_ts"], "left")
     if "lex_score" not in r.columns:
         r = r.withColumn("lex_score", F.lit(None).cast("double"))
     reply = S.parse_score(F.col("reply")) if "reply" in r.columns else F.lit(None).cast("double")
@@ -148,11 +155,12 @@ def fit_senti(wide: DataFrame, kind: str = "linear", fit_on_all: bool = False):
 
 
 def daily_train(spark: SparkSession, sf: str, dim: DataFrame, kind: str = "linear",
-                register: bool | str = False, fit_on_all: bool = False, wide: DataFrame | None = None):
+                register: bool | str = False, fit_on_all: bool = False, wide: DataFrame | None = None,
+                rows_path: str | None = None):
     """Fit both models; returns (Models, metrics DataFrame). ``fit_on_all`` scales with statistics
     of all rows (the pipeline's behaviour) instead of the training rows only. ``wide`` replaces the rows
     of the second model, e.g. a wide CSV file cast to numbers. ``register`` saves both models, with
-    metrics and scaler, in the registry (a string names its folder)."""
+    metrics and scaler, in the registry (a string names its folder). ``rows_path`` keeps the second model's rows."""
     bars = hourly_bars(spark, sf)
     sw = W.sequence_windows(bars)
     sw = sw.withColumn("features", array_to_vector("seq"))  # one model for all tickers, on scaled series
@@ -167,7 +175,12 @@ def daily_train(spark: SparkSession, sf: str, dim: DataFrame, kind: str = "linea
             F.concat_ws("|", "ticker", F.col("run_ts").cast("string"))))
     elif "is_test" not in wide.columns:
         wide = wide.withColumn("is_test", ML.is_test(F.concat_ws("|", *wide.columns)))
-    senti, scaler, m2 = fit_senti(written(wide, "train-rows"), kind, fit_on_all)
+    if rows_path:
+        wide.write.parquet(rows_path)
+        wide = spark.read.schema(wide.schema).parquet(rows_path)
+    else:
+        wide = written(wide, "train-rows")
+    senti, scaler, m2 = fit_senti(wide, kind, fit_on_all)
     metrics = (m1.withColumn("model", F.lit("forecaster"))
                .unionByName(m2.withColumn("model", F.lit("senti"))))
     models = Models(forecaster, senti, scaler)
