@@ -37,10 +37,10 @@ def brute_cut(rows, n=lpf.MIN_LEN):
     return collections.Counter(out)
 
 
-def cut(df):
+def cut(df, n=lpf.MIN_LEN):
     return collections.Counter(
         (r.doc_id, r.n_bytes, tuple((s.start, s.end) for s in r.spans), bytes(r.kept))
-        for r in lpf.dedup_substrings(df).collect())
+        for r in lpf.dedup_substrings(df, min_len=n).collect())
 
 
 def test_lpf_matches_brute_force(spark):
@@ -57,6 +57,27 @@ def test_lpf_matches_brute_force(spark):
     assert cut(d) == brute_cut([(i, (t or "").encode()) for i, t in rows])
 
 
+@pytest.mark.parametrize("n", [16, 23, 64, 100, 128, 200, 255])
+def test_lpf_matches_brute_force_at_other_lengths(spark, n):
+    rng = random.Random(n)
+    base = ["".join(rng.choice("ab c") for _ in range(rng.randint(n, 5 * n))) for _ in range(8)]
+
+    def piece():
+        own = rng.choice(base)
+        return rng.choice([own, own[rng.randint(0, 30):][:rng.randint(n - 10, 3 * n)], "x" * rng.randint(0, 2 * n),
+                           "".join(rng.choice("abcdefgh é") for _ in range(n))])
+
+    rows = [(rng.choice([k, k, 7]), "".join(piece() for _ in range(rng.randint(0, 5)))) for k in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert cut(d, n) == brute_cut([(i, t.encode()) for i, t in rows], n)
+
+
+def test_lpf_refuses_lengths_it_cannot_serve(edge):
+    for n in (15, 256):
+        with pytest.raises(ValueError):
+            lpf.dedup_substrings(edge, min_len=n)
+
+
 def test_lpf_edge_cases(spark, edge, edge_rows, empty):
     rows = [(r[0], (r[1] or "").encode()) for r in edge_rows if len(r[1] or "") < 10_000]
     d = edge.where("text is null or length(text) < 10000")

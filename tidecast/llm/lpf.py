@@ -41,6 +41,10 @@ _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F16
         0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165)
 
 
+MOST_RUN = 31  # windows of one snippet: their mask is a 32-bit number
+LENGTHS = (16, 255)  # lengths that can be asked for: an anchor's place in its window is one byte
+
+
 def gram_words(min_len: int) -> int:
     """8-byte words in an anchor's k-gram."""
     return max(1, min_len // 16)
@@ -57,8 +61,8 @@ def gram_hashes(data: np.ndarray, words: int, at=None) -> np.ndarray:
     total = None
     for w in range(words):
         part = (eight[at + 8 * w] if at is not None else eight[8 * w:len(eight) - 8 * (words - 1 - w)])
-        part = part * np.uint64(_ODD[w]) ^ (part >> np.uint64(29 + w))
-        total = part if total is None else total * np.uint64(_ODD[w + 3]) + part
+        part = part * np.uint64(_ODD[w % 12]) ^ (part >> np.uint64(29 + w % 12))
+        total = part if total is None else total * np.uint64(_ODD[(w + 3) % 12]) + part
     return mix64(total)
 
 
@@ -85,6 +89,10 @@ def anchors(texts: list[bytes], min_len: int):
     new = np.ones(len(pick), bool)
     new[1:] = (pick[1:] != pick[:-1]) | (of[1:] != of[:-1])
     first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(pick)))
+    if len(size) and size.max() > MOST_RUN:  # a long run is several snippets of one anchor
+        cuts = -(-size // MOST_RUN)
+        first = ranges(np.zeros(len(size), np.int64), cuts) * MOST_RUN + np.repeat(first, cuts)
     run = np.diff(np.append(first, len(pick))).astype(np.uint8)
     off = (pick[first] - window[first]).astype(np.uint8)
     cut = np.searchsorted(of[first], np.arange(1, len(texts)))
@@ -171,15 +179,15 @@ class Block:
 
 
 def snippet_hash(data, lo, size, off):
-    """Two hashes of each snippet together with its anchor's place; snippets are under 96 bytes."""
+    """Two hashes of each whole snippet together with its anchor's place."""
     eight = _loads(data)
     out = [off.astype(np.uint64) + np.uint64(1), off.astype(np.uint64) * np.uint64(3) + size.astype(np.uint64)]
-    for w in range(12):
+    for w in range(-(-int(size.max(initial=0)) // 8)):
         left = np.clip(size - 8 * w, 0, 8)
         mask = np.where(left >= 8, np.uint64(2**64 - 1), (np.uint64(1) << (8 * np.minimum(left, 7)).astype(np.uint64)) - np.uint64(1))
-        part = np.where(left > 0, eight[np.minimum(lo + 8 * w, len(eight) - 1)], np.uint64(0)) & mask
-        out[0] = mix64(out[0] * np.uint64(_ODD[w]) + part)
-        out[1] = mix64(out[1] * np.uint64(_ODD[11 - w]) ^ part)
+        part = eight[np.minimum(lo + 8 * w, len(eight) - 1)] & mask
+        mixed = mix64(out[0] * np.uint64(_ODD[w % 12]) + part), mix64(out[1] * np.uint64(_ODD[11 - w % 12]) ^ part)
+        out = [np.where(left > 0, new, old) for new, old in zip(mixed, out)]  # whatever the longest here
     return out
 
 
@@ -355,6 +363,8 @@ def _cut(rows: pa.Table, masks: pa.Table, min_len, buckets) -> pa.Table:
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      min_len: int = MIN_LEN) -> DataFrame:
     """One row per input row: ``id_col``, n_bytes, spans (removed byte ranges) and kept (bytes)."""
+    if not LENGTHS[0] <= min_len <= LENGTHS[1]:
+        raise ValueError(f"min_len must lie in {LENGTHS}, not {min_len}")
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"llm_blocks_{uuid.uuid4().hex}"
