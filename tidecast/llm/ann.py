@@ -6,8 +6,12 @@ to predict a vector's part from how its neighbours are spread. Every vector is t
 probable part. A query is sent to its few most probable parts and ranked there exactly. The number of
 parts probed is the smallest that reaches ``TARGET_RECALL`` on queries from the sample.
 
-Parts are read in chunks of about ``CHUNK`` vectors, so a part that holds a third of all vectors is many
-tasks' work; each chunk returns at most ``k`` rows a query, and the ranks are cut again before the shuffle.
+Tables of ``PART_ROWS`` vectors and more are cut into parts, in proportion to their size and at most ``MAX_PARTS``
+(what a sample of ``SAMPLE`` vectors can tell apart); ``exact`` searches without parts. ``SHARD_PARTS`` parts make a
+shard, and a query is sent once to each shard with the list of its parts there. Shards are read in chunks of about
+``CHUNK`` vectors and queries in blocks of ``QUERY_BLOCK``, so a part that holds a third of all vectors is many
+tasks' work and no task holds all queries; each returns at most ``k`` rows a query, and the ranks are cut again before
+the shuffle.
 
 Nearness is the largest inner product in double precision, summed dimension by dimension, so that equal
 vectors tie exactly; ties go to the smaller id.
@@ -28,9 +32,11 @@ from .common import materialise, table
 
 SAMPLE = 8192
 GRAPH_NEIGHBOURS = 16
-PART_ROWS = 4096
+PART_ROWS = 128
 MAX_PARTS = 64
+SHARD_PARTS = 8
 CHUNK = 4096
+QUERY_BLOCK = 16384
 HIDDEN = 64
 EPOCHS = 30
 TARGET_RECALL = 0.94
@@ -113,6 +119,13 @@ def spread(graph: np.ndarray, part: np.ndarray, parts: int) -> np.ndarray:
     return votes
 
 
+def part_scores(weights, x: np.ndarray) -> np.ndarray:
+    """A score of each part for each vector."""
+    w1, b1, w2, b2 = weights
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.maximum(x / np.where(norm > 0, norm, 1) @ w1 + b1, 0) @ w2 + b2
+
+
 class Router:
     """A network with one hidden layer that gives the probability of each part."""
 
@@ -121,10 +134,12 @@ class Router:
         self.w1, self.b1 = rng.normal(0, np.sqrt(2 / max(dim, 1)), (dim, HIDDEN)), np.zeros(HIDDEN)
         self.w2, self.b2 = rng.normal(0, np.sqrt(1 / HIDDEN), (HIDDEN, parts)), np.zeros(parts)
 
+    def weights(self) -> tuple[np.ndarray, ...]:
+        """Plain arrays, as a broadcast is read by name: the tasks need not have this class."""
+        return self.w1, self.b1, self.w2, self.b2
+
     def scores(self, x: np.ndarray) -> np.ndarray:
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        hidden = np.maximum(x / np.where(norm > 0, norm, 1) @ self.w1 + self.b1, 0)
-        return hidden @ self.w2 + self.b2
+        return part_scores(self.weights(), x)
 
     def fit(self, x: np.ndarray, goal: np.ndarray, epochs: int = EPOCHS, rate: float = 0.01) -> "Router":
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -150,13 +165,13 @@ class Router:
 
 
 def fit(vectors: DataFrame, k: int = K, sample_size: int = SAMPLE, target: float = TARGET_RECALL,
-        part_rows: int = PART_ROWS):
-    """(router, parts to probe) from at most ``sample_size`` of the (id, v) rows."""
+        part_rows: int = PART_ROWS, exact: bool = False):
+    """(router, parts to probe) from at most ``sample_size`` of the (id, v) rows; one part if ``exact``."""
     spark = vectors.sparkSession
     total = vectors.count()
     chosen = vectors.orderBy(F.xxhash64("id"), "id").limit(sample_size).toPandas()  # bounded by sample_size
     parts = int(min(MAX_PARTS, max(1, total // part_rows), max(1, len(chosen) // (2 * k))))
-    if parts == 1 or len(chosen) <= k:
+    if exact or parts == 1 or len(chosen) <= k:
         dim = len(chosen["v"].iloc[0]) if len(chosen) else 0
         return Router(dim, 1), 1
     points = np.stack(chosen["v"].to_numpy()).astype(np.float64)
@@ -175,27 +190,32 @@ def fit(vectors: DataFrame, k: int = K, sample_size: int = SAMPLE, target: float
     return router, probes
 
 
-def _route_batches(batches, model, probes):
+def _route_batches(batches, weights, probes):
     for b in batches:
-        scores = model.value.scores(matrix(b.column("v")))
-        order = np.argsort(-scores, axis=1, kind="stable")[:, :probes]
+        order = np.argsort(-part_scores(weights.value, matrix(b.column("v"))), axis=1, kind="stable")[:, :probes]
         yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(order.tolist(), pa.list_(pa.int32()))],
                                          names=["id", "v", "parts"])
 
 
 def _rank(queries: pa.Table, found: pa.Table, k: int) -> pa.Table:
-    """The ``k`` nearest of one chunk to each of its queries."""
+    """The ``k`` nearest of one chunk to each of its queries, in the query's parts."""
     out = [[], [], []]
     if queries.num_rows and found.num_rows:
         q, v = matrix(queries.column("id_v")), matrix(found.column("v"))
-        qid, vid = queries.column("id").to_numpy(), found.column("id").to_numpy()
+        qid, vid, part = queries.column("id").to_numpy(), found.column("id").to_numpy(), found.column("part").to_numpy()
+        asked = queries.column("parts").to_pylist()
+        every = np.unique(part)
+        column = np.searchsorted(every, part)
         for s in range(0, len(q), 256):
             rough = q[s:s + 256] @ v.T
             rough[qid[s:s + 256, None] == vid[None, :]] = -np.inf
+            probed = np.array([np.isin(every, p) for p in asked[s:s + 256]])
+            rough[~probed[:, column]] = -np.inf
             top = min(k, len(vid))
             edge = -np.partition(-rough, top - 1, axis=1)[:, top - 1]
             for r in range(len(rough)):
-                at = np.flatnonzero((rough[r] >= edge[r] - 1e-9 * max(1.0, abs(edge[r]))) & (rough[r] > -np.inf))
+                least = edge[r] - 1e-9 * max(1.0, abs(edge[r])) if np.isfinite(edge[r]) else -np.inf
+                at = np.flatnonzero((rough[r] >= least) & (rough[r] > -np.inf))
                 score = np.zeros(len(at))
                 for d in range(q.shape[1]):
                     score += q[s + r, d] * v[at, d]
@@ -210,19 +230,25 @@ def _rank(queries: pa.Table, found: pa.Table, k: int) -> pa.Table:
 def nearest(vectors: DataFrame, queries: DataFrame, model, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score) of (id, v) queries among all (id, v) vectors but their own."""
     router, probes = model
-    shared = vectors.sparkSession.sparkContext.broadcast(router)  # dim x HIDDEN + HIDDEN x parts numbers
+    shared = vectors.sparkSession.sparkContext.broadcast(router.weights())  # dim x HIDDEN + HIDDEN x parts numbers
     route = lambda df, n: df.mapInArrow(
         lambda it: _route_batches(it, shared, n), "id long, v array<double>, parts array<int>")
     typed = lambda df: df.select(F.col("id").cast("long").alias("id"), "v")
-    index = materialise(route(typed(vectors), 1).select("id", "v", F.col("parts")[0].alias("part")), "ann-index")
-    sizes = index.groupBy("part").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    # as many rows as there are parts
-    chunked = index.join(F.broadcast(sizes), "part").select(
-        "part", F.pmod(F.xxhash64("id"), "chunks").cast("int").alias("chunk"), "id", "v")
-    asked = route(typed(queries), probes).select("id", F.col("v").alias("id_v"), F.explode("parts").alias("part"))
-    asked = asked.join(F.broadcast(sizes), "part").select(
-        "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "id", "id_v")
-    found = asked.groupBy("part", "chunk").cogroup(chunked.groupBy("part", "chunk")).applyInArrow(
+    shard = lambda part: F.floor(part / SHARD_PARTS).cast("int")
+    index = materialise(route(typed(vectors), 1).select("id", "v", F.col("parts")[0].alias("part")).withColumn(
+        "shard", shard(F.col("part"))), "ann-index")
+    sizes = index.groupBy("shard").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    asked = materialise(route(typed(queries), probes).select("id", F.col("v").alias("id_v"), "parts"), "ann-queries")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    # sizes has as many rows as there are shards, at most MAX_PARTS / SHARD_PARTS
+    every = F.sequence(F.lit(0), F.lit(blocks - 1))
+    chunked = index.join(F.broadcast(sizes), "shard").select(
+        "shard", F.pmod(F.xxhash64("id"), "chunks").cast("int").alias("chunk"), F.explode(every).alias("block"), "id", "v", "part")
+    sent = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn(
+        "shard", F.explode(F.array_distinct(F.transform("parts", shard)))).join(F.broadcast(sizes), "shard")
+    sent = sent.select("shard", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "block", "id", "id_v", "parts")
+    keys = ("shard", "chunk", "block")
+    found = sent.groupBy(*keys).cogroup(chunked.groupBy(*keys)).applyInArrow(
         lambda a, b: _rank(a, b, k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
