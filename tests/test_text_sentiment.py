@@ -3,7 +3,11 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
+from conftest import SF_CHECK
+from tidecast.sources import tables as T
+from tidecast.operators import classifier as CL
 from tidecast.operators import sentiment as SN
 from tidecast.operators import text as X
 
@@ -58,3 +62,28 @@ def test_zip_shortest_cuts(spark):
     df = spark.createDataFrame([(["a", "b", "c"], ["1", "2"])], "x ARRAY<STRING>, y ARRAY<STRING>")
     z = df.select(F.size(SN.zip_shortest(F.col("x"), F.col("y"))).alias("n")).collect()[0].n
     assert z == 2
+
+
+def test_all_named_references_decode_like_the_standard_library(spark):
+    import html
+    from html.entities import html5
+    cases = [f"a &{n} b" for n in html5 if n.endswith(";")]
+    cases += ["&amp;lt;", "&amp;#65;", "&#65;&#x42;", "&nosuch; &lt &;", "&#0; &#xD800; &#1114112;", "&&amp;&", "plain", "R&D &Eacute;t&eacute;"]
+    got = [r.t for r in spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i INT, c STRING").select(
+        "i", X.decode_entities(F.col("c")).alias("t")).orderBy("i").collect()]
+    n = len(cases) - 8
+    assert got[:n] == [html.unescape(c) for c in cases[:n]] and n > 2000
+    assert got[n:] == ["&lt;", "&#65;", "AB", "&nosuch; &lt &;", "&#0; &#xD800; &#1114112;", "&&&", "plain", "R&D Été"]
+
+
+def test_sentence_classifier_on_held_out_documents(spark):
+    docs = T.table(spark, SF_CHECK, "documents")
+    labels = T.table(spark, SF_CHECK, "labels").where("quality is not null")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 0
+    model = CL.fit(docs, labels.where(~held))
+    told = SN.signed_confidence(CL.annotate(model, docs.join(labels.where(held), "doc_id", "left_semi")))
+    rows = told.join(labels, "doc_id").select((F.col("score") > 0).cast("int").alias("p"), "quality").collect()
+    right = sum(r.p == r.quality for r in rows) / len(rows)
+    most = max(sum(r.quality for r in rows), sum(1 - r.quality for r in rows)) / len(rows)
+    print(f"held-out accuracy {right:.3f} of {len(rows)}, majority {most:.3f}")
+    assert len(rows) > 50 and right > most

@@ -23,6 +23,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lookup import hashed_map, look_up
 from ..session import written
 from .text import tokens
 
@@ -86,25 +87,6 @@ def _weights(cls: Column, table: dict, default: float) -> Column:
     return out
 
 
-def _hashed_map(entries: dict) -> tuple[Column, int]:
-    """An array of small maps, an entry's map being picked by its key's hash: a look-up reads one or two
-    entries, however many there are (a map look-up is a scan of the map)."""
-    import zlib
-
-    n = max(1, len(entries))
-    slots: list[list] = [[] for _ in range(n)]
-    for k, v in entries.items():
-        slots[zlib.crc32(k.encode("utf-8")) % n].append((k, v))
-    empty = F.lit(None).cast("map<string,string>")
-    maps = [F.create_map(*[F.lit(x) for kv in s for x in kv]) if s else empty for s in slots]
-    return F.array(*maps), n
-
-
-def _look_up(table: tuple[Column, int], key: Column) -> Column:
-    maps, n = table
-    return F.element_at(F.get(maps, F.pmod(F.crc32(key.cast("binary")), F.lit(n)).cast("int")), key)
-
-
 def _ahead(arr: Column, k: int) -> Column:
     """Element i -> arr[i + k] once zipped (the zip pads the shorter arrays with NULL)."""
     return F.slice(arr, k + 1, F.greatest(F.size(arr), F.lit(1)))
@@ -125,21 +107,21 @@ def _hits_in_row(a: DataFrame, keep: list, pairs: list) -> DataFrame:
     if not pairs:
         return a.select(*keep, F.size(t).alias("n_tokens"), F.array().cast(f"array<{HIT_DDL}>").alias("_h"))
     k_max = max(len(term.split()) for term, _ in pairs)
-    lex = _hashed_map(dict(pairs))
-    starts = _hashed_map({term.split()[0]: "" for term, _ in pairs})
+    lex = hashed_map(dict(pairs))
+    starts = hashed_map({term.split()[0]: "" for term, _ in pairs})
     z = F.arrays_zip(*[(t if k == 1 else _ahead(t, k - 1)).alias(f"w{k}") for k in range(1, k_max + 1)])
 
     def match(x, i):
         hits = {}
         for k in range(1, k_max + 1):
             gram = F.when(x[f"w{k}"].isNotNull(), F.concat_ws(" ", *[x[f"w{j}"] for j in range(1, k + 1)]))
-            hits[k] = _look_up(lex, gram)
+            hits[k] = look_up(lex, gram)
         cls = F.coalesce(*[hits[k] for k in range(k_max, 0, -1)])
         length = F.lit(0)
         for k in range(1, k_max + 1):
             length = F.when(hits[k].isNotNull(), F.lit(k)).otherwise(length)
         found = F.when(length > 0, F.struct(i.alias("pos"), cls.alias("cls"), length.alias("len")))
-        return F.when(_look_up(starts, x["w1"]).isNotNull(), found)
+        return F.when(look_up(starts, x["w1"]).isNotNull(), found)
 
     return a.select(*keep, F.size(t).alias("n_tokens"), F.array_compact(F.transform(z, match)).alias("_h"))
 

@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import math
 from datetime import datetime, timedelta
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lookup import hashed_map, look_up
 from ..sources import tables as T
 
 NO_CONTENT = "No readable content found."  # fixed value: text of a page without paragraphs
@@ -24,36 +26,33 @@ _DROP = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
 _P_OPEN = r"(?i)<p(?:\s[^>]*)?>"
 _CUT = r"(?is)</?(?:" + _BLOCK_TAGS + r")\b.*$"
 
-# fixed values: named character references decoded in paragraph text; &amp; is decoded last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "),
-            ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&lsquo;", "‘"), ("&rsquo;", "’"),
-            ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"), ("&bull;", "•"),
-            ("&middot;", "·"), ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"), ("&euro;", "€"),
-            ("&pound;", "£"), ("&cent;", "¢"), ("&yen;", "¥"), ("&deg;", "°"), ("&times;", "×"),
-            ("&eacute;", "é"), ("&egrave;", "è"), ("&agrave;", "à"), ("&ccedil;", "ç"), ("&uuml;", "ü"),
-            ("&ouml;", "ö"), ("&auml;", "ä"), ("&szlig;", "ß"), ("&ntilde;", "ñ"), ("&amp;", "&"))
+# Named character references that end in a semicolon, all of the standard's, as Python's library lists them.
+ENTITIES = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
+NAMED = r"^([A-Za-z][A-Za-z0-9]*);"  # what follows & in a named reference
 NUMERIC = r"^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"  # what follows &# in a numeric reference
 MAX_CODE = 0x10FFFF
 
 
-def _numeric(piece: Column) -> Column:
-    """The text after ``&#``: a numeric reference becomes its character, anything else stays."""
-    ref = F.regexp_extract(piece, NUMERIC, 1)
+def _reference(piece: Column, names) -> Column:
+    """The text after ``&``: a numeric or named reference becomes its characters, anything else stays."""
+    rest = F.substring(piece, 2, 1 << 30)
+    ref = F.when(F.startswith(piece, F.lit("#")), F.regexp_extract(rest, NUMERIC, 1)).otherwise("")
     hexed = F.lower(F.substring(ref, 1, 1)) == "x"
     n = F.when(hexed, F.conv(F.substring(ref, 2, 6), 16, 10)).otherwise(ref).try_cast("int")
     fine = (ref != "") & n.between(1, MAX_CODE) & ~n.between(0xD800, 0xDFFF)
     char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
-    return F.when(F.coalesce(fine, F.lit(False)), F.concat(char, F.regexp_replace(piece, NUMERIC, ""))).otherwise(
-        F.concat(F.lit("&#"), piece))
+    named = look_up(names, F.regexp_extract(piece, NAMED, 1))
+    return (F.when(F.coalesce(fine, F.lit(False)), F.concat(char, F.regexp_replace(rest, NUMERIC, "")))
+            .when(named.isNotNull(), F.concat(named, F.regexp_replace(piece, NAMED, "")))
+            .otherwise(F.concat(F.lit("&"), piece)))
 
 
 def decode_entities(c: Column) -> Column:
-    pieces = F.split(c, "&#", -1)
-    c = F.when(F.instr(c, "&#") == 0, c).otherwise(F.concat(
-        F.element_at(pieces, 1), F.array_join(F.transform(F.slice(pieces, 2, 1 << 30), _numeric), "")))
-    for ent, ch in ENTITIES:
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
+    """Character references decoded once, from left to right: ``&amp;lt;`` gives ``&lt;``."""
+    names = hashed_map(ENTITIES)
+    pieces = F.split(c, "&", -1)
+    return F.when(F.instr(c, "&") == 0, c).otherwise(F.concat(F.element_at(pieces, 1), F.array_join(
+        F.transform(F.slice(pieces, 2, 1 << 30), lambda p: _reference(p, names)), "")))
 
 
 def paragraph_texts(html: Column) -> Column:

