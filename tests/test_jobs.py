@@ -7,6 +7,7 @@ from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import functions as F
 
 from tidecast.operators import features as FE
+from tidecast.operators import registry
 from tidecast.plans import catalog
 from tidecast.plans import jobs as JB
 from tidecast.sources import topics as TL
@@ -77,3 +78,22 @@ def test_trigger_to_store_with_replay_and_restart(spark, tmp_dir):
     assert first.items() < second.items()
     assert {k[:10] for k in second} == {"2024-01-20", "2024-01-22"}
     assert spark.read.parquet(os.path.join(tmp_dir, "bad")).count() == 2
+
+
+def test_daily_message_trains_on_a_wide_file_and_registers(spark, tmp_dir):
+    """The daily route itself: a message, a wide CSV file with bad cells, and both models in the registry."""
+    wide, root = os.path.join(tmp_dir, "wide.csv"), os.path.join(tmp_dir, "models")
+    rows = spark.range(300).select(*[((F.col("id") * k) % 100).cast("string").alias(f"v{k}") for k in range(1, 66)])
+    rows = rows.withColumn("v7", F.when(F.rand(1) < 0.1, "n/a").otherwise(F.col("v7")))
+    rows.coalesce(1).write.option("header", True).csv(wide)
+    whole = rows.where("v7 <> 'n/a'").count()
+    handlers = JB.handlers(spark, SF_SMALL, FE.ticker_dim(spark, catalog.NEWS_DIM), None, os.path.join(tmp_dir, "store"), root, wide)
+    body = '{"trigger_type": "daily_train", "scheduled_time_ny_friendly": "08:00 AM"}'
+    run = flow.route(handlers, os.path.join(tmp_dir, "bad"), os.path.join(tmp_dir, "log"))
+    run(spark.createDataFrame([("daily_topic", body)], "topic STRING, value STRING"), 0)
+    assert {(r.topic, r.status) for r in spark.read.parquet(os.path.join(tmp_dir, "log")).collect()} == {
+        ("daily_topic", "ok"), ("hourly_topic", "ok")}
+    loaded = JB.load_models(spark, LinearRegressionModel, root)
+    assert set(loaded.scaler) == {*JB.FEATS, JB.TARGET} and loaded.senti.numFeatures == 64
+    n = registry.latest(spark, "senti", root)["metrics"]["n"]
+    assert 0 < n < whole <= 300

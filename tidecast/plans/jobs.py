@@ -28,6 +28,7 @@ from ..operators.bars import resample, scale_expr, unscale_expr
 from ..operators.joins import asof_latest, interval_join
 from ..operators.kvstore import KeyedStore
 from ..session import written
+from ..sources import csv as CSV
 from ..sources import tables as T
 from ..streaming import triggers as TR
 
@@ -156,11 +157,15 @@ def fit_senti(wide: DataFrame, kind: str = "linear", fit_on_all: bool = False):
 
 def daily_train(spark: SparkSession, sf: str, dim: DataFrame, kind: str = "linear",
                 register: bool | str = False, fit_on_all: bool = False, wide: DataFrame | None = None,
-                rows_path: str | None = None):
+                rows_path: str | None = None, wide_csv: str | None = None):
     """Fit both models; returns (Models, metrics DataFrame). ``fit_on_all`` scales with statistics
     of all rows (the pipeline's behaviour) instead of the training rows only. ``wide`` replaces the rows
     of the second model, e.g. a wide CSV file cast to numbers. ``register`` saves both models, with
-    metrics and scaler, in the registry (a string names its folder). ``rows_path`` keeps the second model's rows."""
+    metrics and scaler, in the registry (a string names its folder). ``rows_path`` keeps the second model's rows.
+    ``wide_csv`` is such a file (or a folder of them): its cells are cast, rows with a bad or empty cell go."""
+    if wide_csv:
+        wide = ML.drop_incomplete(ML.wide_cast(CSV.read_wide(spark, wide_csv), keep=()))
+        wide = wide.select(*[F.col(c).cast("double").alias(c) for c in wide.columns])
     bars = hourly_bars(spark, sf)
     sw = W.sequence_windows(bars)
     sw = sw.withColumn("features", array_to_vector("seq"))  # one model for all tickers, on scaled series
@@ -250,9 +255,11 @@ def runs_of_messages(messages: DataFrame, bars: DataFrame) -> DataFrame:
     return runs.select("ticker", F.to_date(S.ny_local(F.col("run_ts"))).alias("ny_date"), "slot", "run_ts")
 
 
-def handlers(spark: SparkSession, sf: str, dim: DataFrame, models, store: str, registry_root: str | None = None):
-    """Topic -> function of (parsed messages, batch id): hourly messages predict and store their runs,
-    daily ones train and register. ``models`` is a function that gives the current models."""
+def handlers(spark: SparkSession, sf: str, dim: DataFrame, models, store: str, registry_root: str | None = None,
+             wide_csv: str | None = None):
+    """Topic -> function of (parsed messages, call number): hourly messages predict and store their runs,
+    daily ones train and register, on the rows of ``wide_csv`` if it is given. ``models`` is a function that gives the
+    current models."""
     def hourly(messages: DataFrame, batch_id: int) -> None:
         if messages.isEmpty():
             return
@@ -261,7 +268,7 @@ def handlers(spark: SparkSession, sf: str, dim: DataFrame, models, store: str, r
 
     def daily(messages: DataFrame, batch_id: int) -> None:
         if not messages.isEmpty():
-            daily_train(spark, sf, dim, register=registry_root or True)
+            daily_train(spark, sf, dim, register=registry_root or True, wide_csv=wide_csv)
 
     return {TR.TOPICS[TR.HOURLY]: hourly, TR.TOPICS[TR.DAILY]: daily}
 
