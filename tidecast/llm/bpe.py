@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table
-from .kernels import ranges, span_hash
+from .kernels import ranges, span_hash, trimmed
 
 CACHE_PIECES = 200_000
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 
 def byte_alphabet() -> list[str]:
@@ -238,7 +238,7 @@ def encode(docs: DataFrame, text_col: str = "text", ranks_path: str | None = Non
     model = _broadcast_model(docs.sparkSession, _default(ranks_path))
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
     added += [T.StructField("offsets", T.BinaryType())] * offsets
-    return docs.mapInArrow(lambda it: _encode_batches(it, model, text_col, offsets), _schema(docs, added))
+    return docs.mapInArrow(lambda it: trimmed(_encode_batches(it, model, text_col, offsets)), _schema(docs, added))
 
 
 def _decode_batches(batches, model, ids_name):
@@ -261,7 +261,7 @@ def decode(df: DataFrame, ids_col: str = "ids", ranks_path: str | None = None) -
     """Add ``decoded``, the bytes of the ids. Cast it to string for text: characters split over tokens
     are whole in the joined bytes; a slice of ids that begins or ends inside a character keeps its bytes."""
     model = _broadcast_model(df.sparkSession, _default(ranks_path))
-    return df.mapInArrow(lambda it: _decode_batches(it, model, ids_col),
+    return df.mapInArrow(lambda it: trimmed(_decode_batches(it, model, ids_col)),
                          _schema(df, [T.StructField("decoded", T.BinaryType())]))
 
 

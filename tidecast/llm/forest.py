@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import lookup_skewed, materialise, table
-from .kernels import mix64, ranges, runs, slices, span_hash
+from .kernels import mix64, ranges, runs, slices, span_hash, trimmed
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -275,7 +275,7 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("th"),
                        F.col(f"`{text_col}`").alias("text"))
-    sketch = materialise(rows.mapInArrow(lambda it: _sketch_batches(it, depth, n_words),
+    sketch = materialise(rows.mapInArrow(lambda it: trimmed(_sketch_batches(it, depth, n_words)),
                                          f"id {kind}, th long, digest binary, size long, keys binary"), "sketches")
     place = F.struct(F.col("id").isNull().alias("last"), "id", "th")
     classes = materialise(sketch.where("digest is not null").groupBy("digest").agg(
@@ -298,16 +298,16 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     facts = classes.select("digest", "size", "keys")
     needed = _by_cell(cells.join(facts, "digest")).mapInArrow(
-        lambda it: _needed_batches(it, threshold), "cell long, digest binary")
+        lambda it: trimmed(_needed_batches(it, threshold)), "cell long, digest binary")
     needed = materialise(needed, "needed")
     wanted = needed.select("digest").distinct().join(classes, "digest").select(
         "digest", F.col("first.id").alias("i"), F.col("first.th").alias("h"))
     texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h"))).select("digest", "text")
-    sets = texts.mapInArrow(lambda it: _shingle_batches(it, n_words), "digest binary, shingles binary")
+    sets = texts.mapInArrow(lambda it: trimmed(_shingle_batches(it, n_words)), "digest binary, shingles binary")
     sets = materialise(sets.dropDuplicates(["digest"]), "shingles")
     full = needed.join(cells, ["cell", "digest"]).join(facts, "digest").join(sets, "digest")
     found = materialise(_by_cell(full.select("cell", "digest", "size", "keys", "side", "tree", "shingles")).mapInArrow(
-        lambda it: _verify_batches(it, threshold), "a binary, b binary, links long"), "links")
+        lambda it: trimmed(_verify_batches(it, threshold)), "a binary, b binary, links long"), "links")
 
     links = found.where("b is null").groupBy(F.col("a").alias("digest")).agg(F.sum("links").alias("n_links"))
     roots = connected(found.where("b is not null").select("a", "b"))

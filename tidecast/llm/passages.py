@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import lookup_skewed, materialise
-from .kernels import runs, span_hash
+from .kernels import runs, span_hash, trimmed
 
 MIN_RUN = 50
 WINDOWS_AT_ONCE = 100_000
@@ -130,7 +130,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("th"),
                        F.col(f"`{text_col}`").alias("text"))
-    found = materialise(rows.mapInArrow(lambda it: _anchor_batches(it, min_run),
+    found = materialise(rows.mapInArrow(lambda it: trimmed(_anchor_batches(it, min_run)),
                                         f"id {kind}, th long, anchor long, m long"), "anchors")
     total = found.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
     facts = found.groupBy("anchor").agg(F.sum("m").alias("n")).where("n > 1")
@@ -138,7 +138,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.collect_set("anchor").alias("live")), "live-anchors")
     same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["th"] == b["th"])
     windows = rows.join(live, same(rows, live)).select(rows["id"], rows["th"], "text", "live").mapInArrow(
-        lambda it: _window_batches(it, min_run), f"id {kind}, th long, at int, one long, two long")
+        lambda it: trimmed(_window_batches(it, min_run)), f"id {kind}, th long, at int, one long, two long")
     first = windows.groupBy("one", "two").agg(F.min(F.struct(
         F.col("id").isNull().alias("last"), "id", "th", "at")).alias("f"))
     kept = first.groupBy("f.id", "f.th").agg(F.collect_list("f.at").alias("kept"))
@@ -148,4 +148,4 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = docs.withColumn("__th", F.xxhash64(f"`{text_col}`")).join(
         facts, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h")), "left")
     return joined.drop("__th", "__id", "__h").mapInArrow(
-        lambda it: _cut_batches(it, text_col, min_run), T.StructType([docs.schema[c] for c in docs.columns]))
+        lambda it: trimmed(_cut_batches(it, text_col, min_run)), T.StructType([docs.schema[c] for c in docs.columns]))

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table
+from .kernels import trimmed
 
 MIN_WORDS = 5
 ADDED = ("n_units", "n_removed", "removed_chars", "removed_spans")
@@ -71,7 +72,7 @@ def keepers(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Data
     """For each document the positions of its comparable units that are the earliest of their digest."""
     keyed = _keyed(docs, id_col, text_col).where(F.length("__text") > 0)
     kind = docs.schema[id_col].dataType
-    found = keyed.mapInArrow(lambda it: _scan(it, min_words), T.StructType([
+    found = keyed.mapInArrow(lambda it: trimmed(_scan(it, min_words)), T.StructType([
         T.StructField("__id", kind), T.StructField("__h", T.LongType()),
         T.StructField("unit", T.IntegerType()), T.StructField("digest", T.BinaryType())]))
     first = found.groupBy("digest").agg(F.min(F.struct(
@@ -125,7 +126,7 @@ def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = T.StructType([*[docs.schema[c] for c in rest], T.StructField(text_col, T.StringType()),
                            *[T.StructField(c, T.LongType()) for c in ADDED[:3]],
                            T.StructField(ADDED[3], span)])
-    return joined.mapInArrow(lambda it: _apply(it, text_col, min_words, ADDED), schema)
+    return joined.mapInArrow(lambda it: trimmed(_apply(it, text_col, min_words, ADDED)), schema)
 
 
 SQL = rf"""
